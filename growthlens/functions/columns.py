@@ -80,7 +80,8 @@ def _dtype(df: DataFrame, name: str) -> T.DataType:
 # ---------------------------------------------------------------------------
 # timestamps
 # ---------------------------------------------------------------------------
-_EPOCH_NTZ = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+def _epoch_ntz() -> Column:
+    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
 
 
 def parse_event_ts(df: DataFrame, name: str) -> Column:
@@ -111,13 +112,13 @@ def epoch_seconds(ts: Column) -> Column:
     Computed as a difference of wall-clock values, so it does not depend on
     the session time zone.
     """
-    micros = F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, ts)
+    micros = F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts)
     return F.bround(micros / F.lit(1e6), 0).cast("bigint")
 
 
 def epoch_millis(ts: Column) -> Column:
     """Epoch milliseconds of a TIMESTAMP_NTZ (truncating sub-millisecond parts)."""
-    return F.timestamp_diff("MILLISECOND", _EPOCH_NTZ, ts)
+    return F.timestamp_diff("MILLISECOND", _epoch_ntz(), ts)
 
 
 def as_ts_column(value, default: Column | None = None) -> Column:
