@@ -18,6 +18,7 @@ from growthlens.functions.columns import (  # noqa: F401
     parse_event_ts,
     parse_price,
     pick_column,
+    project_once,
     ratio_or_null,
     ratio_or_zero,
     resolve_columns,

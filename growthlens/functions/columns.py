@@ -203,9 +203,13 @@ def category_alias(c: Column) -> Column:
     return F.coalesce(F.element_at(m, t), t)
 
 
+# characters Python's str.strip() removes (all of them lie below U+3001)
+_PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip_ws(c: Column) -> Column:
-    """Leading and trailing whitespace removed (spaces, tabs, newlines)."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    """Leading and trailing whitespace removed, as Python's ``str.strip()`` does."""
+    return F.btrim(c.cast("string"), F.lit(_PY_WHITESPACE))
 
 
 def norm_category(c: Column) -> Column:
@@ -239,6 +243,18 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits))
 
 
+def project_once(df: DataFrame, keep: Sequence[str], **named: Column) -> DataFrame:
+    """Columns ``keep`` plus the ``named`` expressions, each computed once per row.
+
+    The expressions go through a one-row generator: the optimizer does not
+    rewrite later filters or projections into a generator's input, so an
+    expensive expression (JSON parse, split, a wide CASE upstream) is not
+    re-evaluated for every later reference to its result.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in named.items()])
+    return df.select(*keep, F.inline(F.array(packed)))
+
+
 def nonfinite_to_null(c: Column) -> Column:
     """NaN and +/-Infinity become NULL."""
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)

@@ -71,27 +71,24 @@ def review_lines(spark, sf_dir) -> DataFrame:
     li = bd.table(spark, sf_dir, "lineitem")
     v = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
     asin, user = _s(F.col("l_partkey")), _s(F.col("l_orderkey"))
-    r = _s(((F.col("l_quantity").cast("int") % 5) + 1).cast("double"))
+    r = ((F.col("l_quantity").cast("int") % 5) + 1).cast("double")
     ms = epoch_millis(F.col("l_shipdate"))
-    secs = _s(F.floor(ms / 1000).cast("bigint"))
+    secs = F.floor(ms / 1000).cast("bigint")
     title = F.concat(F.lit("line "), _s(F.col("l_linenumber")))
     text = F.concat(F.lit("flag "), F.col("l_returnflag"), F.col("l_linestatus"))
-
-    def q(c):
-        return F.concat(F.lit('"'), c, F.lit('"'))
-    new = F.concat(F.lit('{"parent_asin": '), q(asin), F.lit(', "user_id": '), q(user),
-                   F.lit(', "rating": '), r, F.lit(', "timestamp": '), _s(ms), F.lit(', "title": '),
-                   q(title), F.lit(', "text": '), q(text), F.lit("}"))
-    old = F.concat(F.lit('{"asin": '), q(asin), F.lit(', "reviewerID": '), q(user),
-                   F.lit(', "overall": '), r, F.lit(', "unixReviewTime": '), secs,
-                   F.lit(', "reviewTitle": '), q(title), F.lit(', "reviewText": '), q(text), F.lit("}"))
-    mixed = F.concat(F.lit('{"parent_asin": "", "asin": '), q(asin), F.lit(', "user_id": "", "reviewerID": '),
-                     q(user), F.lit(', "rating": 0, "overall": '), r,
-                     F.lit(', "timestamp": 0, "unixReviewTime": '), secs,
-                     F.lit(', "title": "", "reviewTitle": '), q(title), F.lit(', "text": null, "reviewText": '),
-                     q(text), F.lit("}"))
-    value = (F.when(v == 0, F.lit(""))
-             .when(v == 1, F.concat(F.lit('{"parent_asin": '), q(asin), F.lit(", ")))
+    empty = F.lit("")
+    new = F.to_json(F.struct(asin.alias("parent_asin"), user.alias("user_id"), r.alias("rating"),
+                             ms.alias("timestamp"), title.alias("title"), text.alias("text")))
+    old = F.to_json(F.struct(asin.alias("asin"), user.alias("reviewerID"), r.alias("overall"),
+                             secs.alias("unixReviewTime"), title.alias("reviewTitle"),
+                             text.alias("reviewText")))
+    # empty / zero new-style fields fall back to the old-style ones
+    mixed = F.to_json(F.struct(empty.alias("parent_asin"), asin.alias("asin"), empty.alias("user_id"),
+                               user.alias("reviewerID"), F.lit(0).alias("rating"), r.alias("overall"),
+                               F.lit(0).alias("timestamp"), secs.alias("unixReviewTime"),
+                               empty.alias("title"), title.alias("reviewTitle"), text.alias("reviewText")))
+    broken = F.concat(F.lit('{"parent_asin": "'), asin, F.lit('", '))
+    value = (F.when(v == 0, empty).when(v == 1, broken)
              .when(v == 2, old).when(v == 3, mixed).otherwise(new))
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"),
                      value.alias("value"), F.col("l_partkey").alias("_part"))

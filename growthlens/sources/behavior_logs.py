@@ -16,6 +16,7 @@ from growthlens.functions.columns import (
     ACTIONS,
     action_names_or_codes,
     parse_event_ts,
+    project_once,
     resolve_columns,
     strip_ws,
 )
@@ -58,7 +59,7 @@ def import_behavior_csv(lines: DataFrame, limit: int | None = None,
         import re
         first_line = lines.select(F.min("line_no")).scalar()
         fields = F.split(F.col("value"), re.escape(delimiter))
-    parts = lines.select("line_no", fields.alias("f"))
+    parts = project_once(lines, ["line_no"], f=fields)
     header = (F.col("line_no") == first_line) & ~F.col("f")[0].rlike(r"^[0-9]+$")
     rows = parts.where(~header & (F.size("f") >= 5)).select(
         "line_no", *[strip_ws(F.col("f")[i]).alias(n) for i, n in enumerate(CSV_FIELDS)])

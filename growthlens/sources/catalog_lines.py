@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlens.functions.columns import category_alias, first_text, parse_price, strip_ws
+from growthlens.functions.columns import category_alias, first_text, parse_price, project_once, strip_ws
 
 _S = T.StringType()
 
@@ -35,8 +35,18 @@ REVIEW_SCHEMA = T.StructType([T.StructField(n, _S) for n in (
 def nonblank_lines(lines: DataFrame) -> DataFrame:
     """Lines stripped of surrounding whitespace, blank ones removed."""
     keep = [c for c in lines.columns if c != "value"]
-    return lines.select(strip_ws(F.col("value")).alias("value"), *keep) \
-        .where(F.col("value") != "")
+    return project_once(lines, keep, value=strip_ws(F.col("value"))).where(F.col("value") != "")
+
+
+def _parsed(nb: DataFrame, schema: T.StructType) -> DataFrame:
+    """``raw_json``, ``line_no`` (if any) and the schema fields of each line.
+
+    The parse sits in a generator so later filters on its fields are not
+    pushed below it (which would parse every line once per referenced field).
+    """
+    keep = [c for c in nb.columns if c == "line_no"]
+    return nb.select(F.col("value").alias("raw_json"), *keep,
+                     F.inline(F.array(F.from_json("value", schema))))
 
 
 def _first_n(df: DataFrame, n: int | None) -> DataFrame:
@@ -62,18 +72,16 @@ def _to_long(c: Column) -> Column:
 def parse_item_meta(lines: DataFrame, category: str, meta_limit: int | None = None) -> DataFrame:
     """Item metadata lines -> items, stamped with the (aliased) import category."""
     nb = _first_n(nonblank_lines(lines), meta_limit)
-    j = nb.select(F.col("value").alias("raw_json"), F.from_json("value", META_SCHEMA).alias("j"),
-                  *[c for c in nb.columns if c == "line_no"])
-    asin = F.col("j.parent_asin")
+    j = _parsed(nb, META_SCHEMA)
+    asin = F.col("parent_asin")
     cats_null = F.col("raw_json").rlike(r'"categories"\s*:\s*null')
-    cats = (F.when(F.col("j.categories").isNotNull(), _json_list_text(F.col("j.categories")))
+    cats = (F.when(F.col("categories").isNotNull(), _json_list_text(F.col("categories")))
             .when(cats_null, F.lit("null")).otherwise(F.lit("[]")))
     return j.where(asin.isNotNull() & (asin != "")).select(
-        asin.alias("parent_asin"), F.col("j.title").alias("title"),
-        F.col("j.main_category").alias("main_category"), cats.alias("categories_json"),
-        F.col("j.store").alias("store"), parse_price(F.col("j.price")).alias("price"),
-        F.col("j.average_rating").try_cast("double").alias("average_rating"),
-        _to_long(F.col("j.rating_number")).alias("rating_number"),
+        asin.alias("parent_asin"), "title", "main_category", cats.alias("categories_json"),
+        "store", parse_price(F.col("price")).alias("price"),
+        F.col("average_rating").try_cast("double").alias("average_rating"),
+        _to_long(F.col("rating_number")).alias("rating_number"),
         "raw_json", category_alias(F.lit(category)).alias("category"),
         *[c for c in j.columns if c == "line_no"])
 
@@ -85,10 +93,8 @@ def _nonzero_number(c: Column) -> Column:
 
 def parse_reviews(lines: DataFrame, category: str) -> DataFrame:
     """Review lines -> reviews, with the old field names as fallbacks."""
-    nb = nonblank_lines(lines)
-    j = nb.select(F.col("value").alias("raw_json"), F.from_json("value", REVIEW_SCHEMA).alias("j"),
-                  *[c for c in nb.columns if c == "line_no"])
-    g = lambda n: F.col(f"j.{n}")
+    j = _parsed(nonblank_lines(lines), REVIEW_SCHEMA)
+    g = F.col
     asin = first_text(g("parent_asin"), g("asin"))
     rating = F.coalesce(_nonzero_number(g("rating")), _nonzero_number(g("overall")))
     ts = F.coalesce(_nonzero_number(g("timestamp")), _nonzero_number(g("unixReviewTime")))
