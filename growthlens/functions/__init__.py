@@ -10,6 +10,7 @@ from growthlens.functions.columns import (  # noqa: F401
     category_alias,
     epoch_millis,
     epoch_seconds,
+    fetch_scalar,
     first_text,
     fixed,
     is_buy,

@@ -243,6 +243,17 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits))
 
 
+def fetch_scalar(df: DataFrame):
+    """The single value of a one-row, one-column aggregate (a bounded driver fetch).
+
+    Used for data-dependent constants (an anchor day, an as-of date): as a
+    literal the value is computed once and can be pushed into file scans,
+    where a scalar subquery would be re-planned for every reference.
+    """
+    row = df.first()
+    return None if row is None else row[0]
+
+
 def project_once(df: DataFrame, keep: Sequence[str], **named: Column) -> DataFrame:
     """Columns ``keep`` plus the ``named`` expressions, each computed once per row.
 

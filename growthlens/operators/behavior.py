@@ -7,14 +7,18 @@ users / days / segments in one distributed pass; nothing is collected.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.functions.columns import (
     ACTIONS,
     action_strict,
+    fetch_scalar,
     is_buy,
     parse_event_ts,
+    project_once,
     ratio_or_null,
     ratio_or_zero,
     resolve_columns,
@@ -159,10 +163,15 @@ def d1_retention_by_day(behavior: DataFrame, roles: dict | None = None) -> DataF
 
 
 def d1_retention_latest(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
-    """The latest day strictly before the last day (rate 0 after a gap day)."""
-    by_day = d1_retention_by_day(behavior, roles)
-    last_day = _user_days(behavior, roles).select(F.max("d")).scalar()
-    return by_day.where(F.col("day") < last_day).orderBy(F.col("day").desc()).limit(1)
+    """The latest day strictly before the last day (rate 0 after a gap day).
+
+    The last active day is the newest row of the per-day table, so the two
+    newest days (a bounded top-2) decide it without another pass.
+    """
+    from pyspark.sql import Window
+    top2 = d1_retention_by_day(behavior, roles).orderBy(F.col("day").desc()).limit(2)
+    newest = F.max("day").over(Window.partitionBy())   # over at most two rows
+    return top2.withColumn("_newest", newest).where(F.col("day") < F.col("_newest")).drop("_newest")
 
 
 # ---------------------------------------------------------------------------
@@ -194,13 +203,17 @@ def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7)
 def user_lifecycle(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
     """Per user active in the 30 days up to the anchor (= last active day): segment.
 
-    The anchor is a scalar subquery; distinct (user, day) pairs are combined
-    map-side before the per-user aggregation, so a hot user costs at most one
-    row per day.
+    The anchor is fetched once as a literal, so the 30-day bound reaches the
+    file scan; distinct (user, day) pairs are combined map-side before the
+    per-user aggregation, so a hot user costs at most one row per day.
     """
-    days = _user_days(behavior, roles)
-    anchor = days.select(F.max("d")).scalar()
-    pairs = days.where(F.col("d") >= F.date_sub(anchor, 30)).distinct()
+    ev = behavior_events(behavior, roles)
+    anchor_day = fetch_scalar(ev.select(F.max(F.to_date("ts"))))
+    anchor = F.lit(anchor_day).cast("date")
+    # the window bound on the raw time column reaches the file scan as a pushed filter
+    since = F.lit(anchor_day - _dt.timedelta(days=30) if anchor_day else None).cast("timestamp_ntz")
+    pairs = (ev.where(F.col("ts").isNotNull() & (F.col("ts") >= since))
+             .select("user_id", F.to_date("ts").alias("d")).distinct())
     agg = pairs.groupBy("user_id").agg(
         F.min("d").alias("first_day"), F.max("d").alias("last_day"),
         F.sum(F.when(F.col("d") >= F.date_sub(anchor, 7), 1).otherwise(0)).cast("bigint").alias("days_7d"),
@@ -237,7 +250,8 @@ def lifecycle_advice(behavior: DataFrame, roles: dict | None = None) -> DataFram
     """Advice rows from the latest D1 rate and the seven-day repurchase rate."""
     rep = repurchase_7d(behavior, roles)
     d1_rate = d1_retention_latest(behavior, roles).select("rate").scalar()
-    base = rep.select(d1_rate.alias("d1_rate"), F.col("rate").alias("rep_rate"))
+    # one evaluation of the D1 subquery, however often the rules refer to it
+    base = project_once(rep, [], d1_rate=d1_rate, rep_rate=F.col("rate"))
     d1 = (F.when(F.col("d1_rate").isNull(), _advice_struct(ADVICE_D1_UNKNOWN))
           .when(F.col("d1_rate") < D1_LOW_RATE, _advice_struct(ADVICE_D1_LOW))
           .otherwise(_advice_struct(ADVICE_D1_OK)))

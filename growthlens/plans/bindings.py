@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.functions.columns import epoch_millis
+from growthlens.functions.columns import epoch_millis, fetch_scalar
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +118,8 @@ def aff_clicks(spark, sf_dir) -> DataFrame:
 
 def aff_contents(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    last = table(spark, sf_dir, "orders").select(F.max("o_orderdate")).scalar()
+    last = F.lit(fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate"))))
+    last = last.cast("timestamp_ntz")
     k = F.col("doc_id")
     return d.select(k.alias("id"), (k % 3 + 1).alias("taoke_id"), (k % 3 + 1).alias("merchant_id"),
                     F.col("source").alias("content_type"),
@@ -155,17 +156,19 @@ def entity_dim(spark, sf_dir) -> DataFrame:
         F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
 
 
-def aff_as_of(spark, sf_dir) -> Column:
-    """Scalar subquery: the date of the last order."""
-    return table(spark, sf_dir, "orders").select(F.max("o_orderdate").cast("date")).scalar()
+def aff_as_of(spark, sf_dir):
+    """The date of the last order (fetched once; used as a literal)."""
+    return fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate").cast("date")))
 
 
-def behavior_as_of(df: DataFrame) -> Column:
-    return df.select(F.max("ts")).scalar()
+def behavior_as_of(df: DataFrame):
+    """The newest event time of a behavior log."""
+    return fetch_scalar(df.select(F.max("ts")))
 
 
-def catalog_as_of(spark, sf_dir) -> Column:
-    return table(spark, sf_dir, "lineitem").select(F.max("l_shipdate")).scalar()
+def catalog_as_of(spark, sf_dir):
+    """The newest review time."""
+    return fetch_scalar(table(spark, sf_dir, "lineitem").select(F.max("l_shipdate")))
 
 
 # ---------------------------------------------------------------------------
