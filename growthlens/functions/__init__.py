@@ -12,6 +12,8 @@ from growthlens.functions.columns import (  # noqa: F401
     epoch_seconds,
     fetch_scalar,
     first_text,
+    int_or_null,
+    long_or_null,
     fixed,
     is_buy,
     nonfinite_to_null,

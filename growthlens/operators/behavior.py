@@ -180,9 +180,11 @@ def d1_retention_latest(behavior: DataFrame, roles: dict | None = None) -> DataF
 def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7) -> DataFrame:
     """Buyers, buyers with another buy in (first, first + 7 days], and the rate.
 
-    First buys come from a map-side combined aggregate; the range check is an
-    equi-join on user (a hot buyer's rows are split by adaptive skew handling,
-    the first-buy side holds one row per buyer).
+    First buys come from a map-side combined aggregate.  The range check is an
+    equi-join on user with the buys streamed and the one-row-per-buyer side
+    buffered, so a hot buyer's rows can be split by adaptive skew handling;
+    matches collapse to one row per user and join back to the (identically
+    partitioned) first buys for both counts in one aggregate.
     """
     ev = behavior_events(behavior, roles)
     buys = ev.where(F.col("ts").isNotNull() & is_buy(F.col("action"))).select("user_id", "ts")
@@ -190,10 +192,10 @@ def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7)
     repeat = (buys.join(first, "user_id")
               .where((F.col("ts") > F.col("first_ts")) &
                      (F.col("ts") <= F.timestamp_add("DAY", F.lit(days), F.col("first_ts"))))
-              .select("user_id").distinct())
-    repurchasers = repeat.select(F.count(F.lit(1))).scalar()
-    out = first.agg(F.count(F.lit(1)).alias("buyers"))
-    out = out.withColumn("repurchasers_7d", repurchasers)
+              .groupBy("user_id").agg(F.lit(1).alias("repeat")))
+    flagged = first.join(repeat, "user_id", "left")
+    out = flagged.agg(F.count(F.lit(1)).alias("buyers"),
+                      F.count("repeat").alias("repurchasers_7d"))
     return out.withColumn("rate", ratio_or_null(F.col("repurchasers_7d"), F.col("buyers")))
 
 

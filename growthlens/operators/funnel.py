@@ -23,6 +23,7 @@ from growthlens.functions.columns import (
     as_ts_column,
     epoch_seconds,
     fixed,
+    long_or_null,
     parse_event_ts,
     ratio_or_null,
     ratio_or_zero,
@@ -72,7 +73,7 @@ def behavior_norm(df: DataFrame, roles: dict | None = None) -> DataFrame:
     elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         ts = epoch_seconds(t.cast("timestamp_ntz"))
     else:
-        ts = F.coalesce(t.cast("string").try_cast("bigint"),
+        ts = F.coalesce(long_or_null(t),
                         epoch_seconds(parse_event_ts(df, r["ts"])))
     return (df.where(u.isNotNull() & i.isNotNull() & a.isNotNull() & t.isNotNull())
             .select(u.cast("bigint").alias("user_id"), i.cast("bigint").alias("item_id"),

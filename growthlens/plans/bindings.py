@@ -116,10 +116,13 @@ def aff_clicks(spark, sf_dir) -> DataFrame:
                     (F.col("_supp") % 3 + 1).alias("merchant_id"), "clicked_at")
 
 
-def aff_contents(spark, sf_dir) -> DataFrame:
+def aff_contents(spark, sf_dir, last_order=None) -> DataFrame:
+    """Contents created over the 40 days up to the last order (``last_order``
+    may be passed in when the caller already fetched it)."""
     d = table(spark, sf_dir, "documents")
-    last = F.lit(fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate"))))
-    last = last.cast("timestamp_ntz")
+    if last_order is None:
+        last_order = fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate")))
+    last = F.lit(last_order).cast("timestamp_ntz")
     k = F.col("doc_id")
     return d.select(k.alias("id"), (k % 3 + 1).alias("taoke_id"), (k % 3 + 1).alias("merchant_id"),
                     F.col("source").alias("content_type"),
@@ -156,9 +159,14 @@ def entity_dim(spark, sf_dir) -> DataFrame:
         F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
 
 
-def aff_as_of(spark, sf_dir):
+def last_order_time(spark, sf_dir):
+    return fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate")))
+
+
+def aff_as_of(spark, sf_dir, last_order=None):
     """The date of the last order (fetched once; used as a literal)."""
-    return fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate").cast("date")))
+    last_order = last_order_time(spark, sf_dir) if last_order is None else last_order
+    return None if last_order is None else last_order.date()
 
 
 def behavior_as_of(df: DataFrame):

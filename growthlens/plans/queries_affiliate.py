@@ -58,9 +58,10 @@ _M_ALL = ("m", _rates_sql("taoke_base", True) + "\nUNION ALL\n" + _rates_sql("me
 
 
 def _inputs(spark, sf_dir):
+    last = bd.last_order_time(spark, sf_dir)
     return dict(orders=bd.aff_orders(spark, sf_dir), clicks=bd.aff_clicks(spark, sf_dir),
-                contents=bd.aff_contents(spark, sf_dir), dim=bd.entity_dim(spark, sf_dir),
-                as_of=bd.aff_as_of(spark, sf_dir))
+                contents=bd.aff_contents(spark, sf_dir, last), dim=bd.entity_dim(spark, sf_dir),
+                as_of=bd.aff_as_of(spark, sf_dir, last))
 
 
 def _tk_metrics(t):
