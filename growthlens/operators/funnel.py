@@ -115,25 +115,31 @@ def _flag(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
 
 
+def _funnel_aggs(strict: bool, prefix: str = "") -> list[Column]:
+    cond = _stage_conditions(strict)
+    return [_flag(F.col("pv_ts").isNotNull()).alias(f"{prefix}pv"),
+            _flag(cond["fav"]).alias(f"{prefix}fav"),
+            _flag(cond["cart"]).alias(f"{prefix}cart"),
+            _flag(cond["buy"]).alias(f"{prefix}buy"),
+            _flag(cond["fav_cart"]).alias(f"{prefix}_fav_cart"),
+            _flag(cond["cart_buy"]).alias(f"{prefix}_cart_buy")]
+
+
+def _funnel_columns(prefix: str = "") -> list[Column]:
+    pv, fav, cart, buy = (F.col(f"{prefix}{a}") for a in ACTIONS)
+    return [pv.alias("pv"), fav.alias("fav"), cart.alias("cart"), buy.alias("buy"),
+            *[F.col(f"{prefix}{a}").alias(f"{a}_count") for a in ACTIONS],
+            ratio_or_null(fav, pv).alias("pv_to_fav_rate"),
+            ratio_or_null(cart, pv).alias("pv_to_cart_rate"),
+            ratio_or_null(buy, pv).alias("pv_to_buy_rate"),
+            ratio_or_null(F.col(f"{prefix}_fav_cart"), fav).alias("fav_to_cart_rate"),
+            ratio_or_null(F.col(f"{prefix}_cart_buy"), cart).alias("cart_to_buy_rate")]
+
+
 def item_funnel(stage: DataFrame, strict: bool = False) -> DataFrame:
     """Per item: distinct users per stage, duplicate ``*_count`` columns and rates."""
-    cond = _stage_conditions(strict)
-    agg = stage.groupBy("item_id").agg(
-        _flag(F.col("pv_ts").isNotNull()).alias("pv"),
-        _flag(cond["fav"]).alias("fav"),
-        _flag(cond["cart"]).alias("cart"),
-        _flag(cond["buy"]).alias("buy"),
-        _flag(cond["fav_cart"]).alias("_fav_cart"),
-        _flag(cond["cart_buy"]).alias("_cart_buy"))
-    pv, fav, cart, buy = (F.col(a) for a in ACTIONS)
-    return agg.select(
-        "item_id", "pv", "fav", "cart", "buy",
-        *[F.col(a).alias(f"{a}_count") for a in ACTIONS],
-        ratio_or_null(fav, pv).alias("pv_to_fav_rate"),
-        ratio_or_null(cart, pv).alias("pv_to_cart_rate"),
-        ratio_or_null(buy, pv).alias("pv_to_buy_rate"),
-        ratio_or_null(F.col("_fav_cart"), fav).alias("fav_to_cart_rate"),
-        ratio_or_null(F.col("_cart_buy"), cart).alias("cart_to_buy_rate"))
+    agg = stage.groupBy("item_id").agg(*_funnel_aggs(strict))
+    return agg.select("item_id", *_funnel_columns())
 
 
 def item_funnel_loose(stage: DataFrame) -> DataFrame:
@@ -145,11 +151,16 @@ def item_funnel_strict(stage: DataFrame) -> DataFrame:
 
 
 def item_funnel_both(stage: DataFrame) -> DataFrame:
-    """Loose and strict funnels stacked, flagged by ``strict`` 0/1."""
-    loose = item_funnel_loose(stage)
-    strict = item_funnel_strict(stage)
-    return (loose.select(F.lit(0).alias("strict"), *loose.columns)
-            .unionByName(strict.select(F.lit(1).alias("strict"), *strict.columns)))
+    """Loose and strict funnels stacked, flagged by ``strict`` 0/1.
+
+    Both are computed in one aggregation over the stage table and then split
+    into two rows per item.
+    """
+    agg = stage.groupBy("item_id").agg(*_funnel_aggs(False, "l_"), *_funnel_aggs(True, "s_"))
+    rows = [F.struct(F.lit(flag).alias("strict"), *_funnel_columns(prefix))
+            for flag, prefix in ((0, "l_"), (1, "s_"))]
+    out = agg.select("item_id", F.inline(F.array(*rows)))
+    return out.select("strict", "item_id", *[c for c in out.columns if c not in ("strict", "item_id")])
 
 
 def funnel_rate_check(funnel: DataFrame) -> DataFrame:
