@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed application is batch only -- imports, funnels, KPIs and alerts
+all run on request over stored tables; it has no event-time windows,
+watermarks or stateful operators.  Every operator in this package is a plain
+DataFrame -> DataFrame function, so a caller that wants incremental runs can
+apply one inside ``foreachBatch`` of a Structured Streaming query; no
+streaming-specific operator exists to build.
+"""
