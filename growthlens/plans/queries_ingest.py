@@ -68,7 +68,10 @@ FROM part WHERE p_partkey % 50 NOT IN (0, 1, 2)"""
 
 
 def review_lines(spark, sf_dir) -> DataFrame:
-    li = bd.table(spark, sf_dir, "lineitem")
+    # a directory of review files is read in many splits; spread the rows alike
+    li = bd.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    li = li.repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
     v = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
     asin, user = _s(F.col("l_partkey")), _s(F.col("l_orderkey"))
     r = ((F.col("l_quantity").cast("int") % 5) + 1).cast("double")
