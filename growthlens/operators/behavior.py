@@ -117,16 +117,23 @@ def _action_totals(behavior: DataFrame, roles: dict | None) -> DataFrame:
     return behavior.agg(*[F.count_if(k == F.lit(a)).alias(a) for a in ACTIONS])
 
 
-def behavior_counts(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def action_totals(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+    """One row of event counts per action (pv, fav, cart, buy)."""
+    return _action_totals(behavior, roles)
+
+
+def behavior_counts(behavior: DataFrame, roles: dict | None = None,
+                    totals: DataFrame | None = None) -> DataFrame:
     """Rows per action for exactly pv/fav/cart/buy; codes 1..4 and any case accepted."""
-    totals = _action_totals(behavior, roles)
+    totals = _action_totals(behavior, roles) if totals is None else totals
     pairs = ", ".join(f"'{a}', {a}" for a in ACTIONS)
     return totals.selectExpr(f"stack({len(ACTIONS)}, {pairs}) AS (action, cnt)")
 
 
-def journey_rates(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def journey_rates(behavior: DataFrame, roles: dict | None = None,
+                  totals: DataFrame | None = None) -> DataFrame:
     """pv->fav, fav->cart, cart->buy event ratios (0 when the base is 0) with advice."""
-    totals = _action_totals(behavior, roles)
+    totals = _action_totals(behavior, roles) if totals is None else totals
     rows = [F.struct(F.lit(key).alias("key"), F.lit(a).alias("from_action"),
                      F.lit(b).alias("to_action"),
                      ratio_or_zero(F.col(b), F.col(a)).alias("rate"),
@@ -248,10 +255,13 @@ def _advice_struct(values: tuple) -> Column:
     return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, _ADVICE_FIELDS)])
 
 
-def lifecycle_advice(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
-    """Advice rows from the latest D1 rate and the seven-day repurchase rate."""
-    rep = repurchase_7d(behavior, roles)
-    d1_rate = d1_retention_latest(behavior, roles).select("rate").scalar()
+def lifecycle_advice(behavior: DataFrame, roles: dict | None = None,
+                     repurchase: DataFrame | None = None, d1_latest: DataFrame | None = None) -> DataFrame:
+    """Advice rows from the latest D1 rate and the seven-day repurchase rate
+    (pass already built ``repurchase`` / ``d1_latest`` frames to share their stages)."""
+    rep = repurchase_7d(behavior, roles) if repurchase is None else repurchase
+    d1 = d1_retention_latest(behavior, roles) if d1_latest is None else d1_latest
+    d1_rate = d1.select("rate").scalar()
     # one evaluation of the D1 subquery, however often the rules refer to it
     base = project_once(rep, [], d1_rate=d1_rate, rep_rate=F.col("rate"))
     d1 = (F.when(F.col("d1_rate").isNull(), _advice_struct(ADVICE_D1_UNKNOWN))

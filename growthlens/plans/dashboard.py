@@ -42,7 +42,8 @@ def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
     parts.append(_rows(ov, "overview", F.lit(None), {
         c: F.col(c) for c in ("user_behavior_rows", "distinct_users", "distinct_items",
                               "item_funnel_features_rows")}))
-    counts = B.behavior_counts(behavior, roles)
+    totals = B.action_totals(behavior, roles)
+    counts = B.behavior_counts(behavior, roles, totals=totals)
     parts.append(_rows(counts, "behavior_counts", F.col("action"), {"cnt": F.col("cnt")}))
     d1 = B.d1_retention_latest(behavior, roles)
     parts.append(_rows(d1, "d1_retention", F.col("day"),
@@ -57,14 +58,16 @@ def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
                        {"users": F.col("users"), "share": F.col("share"),
                         "avg_actions": F.col("avg_actions")}, {"anchor_day": F.col("anchor_day")}))
     item_cols = {c: F.col(c) for c in ("pv", "fav", "cart", "buy", "pv_to_buy_rate")}
+    # the funnel feeds the overview count and both item lists: one computation
+    # when the frames share it (adaptive execution reuses identical stages)
     parts.append(_rows(FN.items_top(funnel, items_limit, min_pv), "items_top", F.col("item_id"), item_cols))
     parts.append(_rows(FN.items_opportunity(funnel, items_limit, max(50, min_pv)), "items_opportunity",
                        F.col("item_id"), item_cols))
-    journey = B.journey_rates(behavior, roles)
+    journey = B.journey_rates(behavior, roles, totals=totals)
     parts.append(_rows(journey, "advice_journey", F.col("key"), {"rate": F.col("rate")},
                        {"default_segment": F.col("default_segment"),
                         "default_message_type": F.col("default_message_type")}))
-    advice = B.lifecycle_advice(behavior, roles)
+    advice = B.lifecycle_advice(behavior, roles, repurchase=rep, d1_latest=d1)
     parts.append(_rows(advice, "advice_lifecycle", F.col("key"), {},
                        {"default_segment": F.col("default_segment"),
                         "default_message_type": F.col("default_message_type")}))

@@ -31,9 +31,17 @@ ROWS_PER_FILE = 50000
 REBUILD_TS_FORMATS = ("yyyy-MM-dd HH", "yyyy-MM-dd HH:mm:ss")
 
 
+SNIFF_LINES = 64
+
+
 def _sniff(lines: DataFrame) -> tuple[Column, Column]:
-    """(comma-delimited?, first line) as scalar subqueries over a bounded prefix."""
-    head = lines.orderBy("line_no").limit(64).agg(
+    """(comma-delimited?, first line number) from the head of the input.
+
+    ``limit`` reads only the first rows of the first split (lines as read, in
+    file order), like reading the first kilobyte of the file; those rows are
+    then put in line order.
+    """
+    head = lines.limit(SNIFF_LINES).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("h"))
     text = F.substring(F.array_join(F.transform(F.col("h"), lambda s: s["value"]), "\n"), 1, SNIFF_CHARS)
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
