@@ -11,6 +11,7 @@ from growthlens.functions.columns import (  # noqa: F401
     epoch_millis,
     epoch_seconds,
     fetch_scalar,
+    first_rows_by,
     first_text,
     int_or_null,
     long_or_null,

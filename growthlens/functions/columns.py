@@ -271,6 +271,43 @@ def fetch_scalar(df: DataFrame):
     return None if row is None else row[0]
 
 
+def first_rows_by(df: DataFrame, order_col: str, n: int, topn_max: int = 1_000_000,
+                  buckets: int = 65536) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_col`` (unique, integral; e.g. a line number).
+
+    Small ``n`` is a top-N (per-partition heaps of n rows).  Large ``n`` finds
+    the cutoff value instead: a histogram of at most ``buckets`` value ranges
+    (a bounded fetch) locates the range holding the n-th row, the search
+    narrows inside it until the rest fits a top-N, and the result is a plain
+    filter ``order_col <= cutoff`` that every task applies to its own rows.
+    """
+    n = int(n)
+    if n <= topn_max:
+        return df.orderBy(order_col).limit(n)
+    key = F.col(order_col)
+    lo_hi = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    lo, hi, total = lo_hi[0], lo_hi[1], lo_hi[2]
+    if total is None or total <= n:
+        return df
+    need = n
+    while True:
+        width = max(1, -(-(hi - lo + 1) // buckets))
+        part = df.where((key >= lo) & (key <= hi))
+        hist = sorted((r[0], r[1]) for r in part.groupBy(
+            F.floor((key - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b")).count().collect())
+        seen = 0
+        for b, c in hist:
+            if seen + c >= need:
+                break
+            seen += c
+        need -= seen
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        if c <= topn_max or width == 1:
+            inner = df.where((key >= lo) & (key <= hi)).orderBy(order_col).limit(need)
+            cutoff = inner.agg(F.max(key)).first()[0]
+            return df.where(key <= F.lit(cutoff))
+
+
 def project_once(df: DataFrame, keep: Sequence[str], **named: Column) -> DataFrame:
     """Columns ``keep`` plus the ``named`` expressions, each computed once per row.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from growthlens.functions.columns import (
     ACTIONS,
     action_names_or_codes,
+    first_rows_by,
     parse_event_ts,
     project_once,
     resolve_columns,
@@ -78,7 +79,7 @@ def import_behavior_csv(lines: DataFrame, limit: int | None = None,
         F.when(ts_ok, ts_d.cast("bigint")).alias("timestamp"), "category_id")
     out = out.where(F.col("timestamp").isNotNull() & F.col("behavior").isin(*ACTIONS))
     if limit:
-        out = out.orderBy("line_no").limit(int(limit))
+        out = first_rows_by(out, "line_no", int(limit))
     return out.drop("line_no")
 
 

@@ -16,7 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlens.functions.columns import category_alias, first_text, parse_price, project_once, strip_ws
+from growthlens.functions.columns import (
+    category_alias,
+    first_rows_by,
+    first_text,
+    parse_price,
+    project_once,
+    strip_ws,
+)
 
 _S = T.StringType()
 
@@ -55,7 +62,7 @@ def _first_n(df: DataFrame, n: int | None) -> DataFrame:
         return df
     if "line_no" not in df.columns:
         raise ValueError("a row limit needs a line_no column for file order")
-    return df.orderBy("line_no").limit(int(n))
+    return first_rows_by(df, "line_no", int(n))
 
 
 def _json_list_text(arr: Column) -> Column:

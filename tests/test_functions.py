@@ -74,3 +74,12 @@ def test_project_once_and_fetch_scalar(spark):
     assert [(r.k, r.parts) for r in out.collect()] == [(1, ["a", "b"]), (2, ["c"])]
     assert C.fetch_scalar(df.select(F.max("k"))) == 2
     assert C.fetch_scalar(df.where("k > 5").select(F.max("k"))) is None
+
+
+def test_first_rows_by_histogram_matches_top_n(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7 + 3).alias("line_no"), (F.col("id") % 13).alias("v"))
+    df = df.where(F.col("v") != 5)          # gaps in the ordering key
+    for n in (1, 17, 999, 2500, 4614, 10000):
+        want = sorted(r.line_no for r in df.orderBy("line_no").limit(n).collect())
+        got = sorted(r.line_no for r in C.first_rows_by(df, "line_no", n, topn_max=10, buckets=8).collect())
+        assert got == want, n
