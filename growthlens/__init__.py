@@ -11,6 +11,6 @@ or entities at once.  Sub-packages:
 * ``streaming``  notes on streaming (the analysed application is batch only)
 """
 
-from growthlens.session import checkpoint_dir, get_spark
+from growthlens.session import checkpoint_dir, get_spark, scale_profile
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "scale_profile"]

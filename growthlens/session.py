@@ -19,12 +19,32 @@ _SESSION_DEFAULTS = {
 }
 
 
+def scale_profile(input_bytes: float, target_partition_bytes: int = 256 << 20,
+                  max_split_bytes: int = 512 << 20) -> dict[str, str]:
+    """Partitioning settings sized for an input volume (e.g. 100 TB -> ~400k partitions).
+
+    Shuffle partitions start at input / 256 MiB so that, with partial
+    aggregation and compression, a reducer's share fits comfortably in an
+    executor's memory; adaptive execution then coalesces small partitions and
+    splits skewed ones.  File splits stay at 512 MiB.
+    """
+    parts = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+    }
+
+
 def get_spark(app: str = "growthlens", master: str | None = None,
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Return the active session or build one.
 
-    On a cluster ``master`` stays ``None`` and the launcher decides; tests and
-    the benchmark pass ``local[N]``.
+    On a cluster ``master`` stays ``None`` and the launcher decides (pass
+    ``extra=scale_profile(input_bytes)`` to size partitions); tests and the
+    benchmark pass ``local[N]``.
     """
     builder = SparkSession.builder.appName(app)
     if master:
