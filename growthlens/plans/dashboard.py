@@ -1,8 +1,10 @@
 """Merchant dashboard (#68): overview, retention, segments, item lists and advice
 as one tall (section, entity, metric, value, text) frame.
 
-Each part is its own aggregation over the behavior log; identical shuffles
-(e.g. the user-day pairs) are reused by Spark's exchange reuse.  The input is
+The log-wide numbers (size, distinct users and items, per-action counts) come
+from one aggregate; the other parts are their own aggregations, and frames
+shared between parts (funnel, repurchase, D1) are built once so adaptive
+execution can reuse their stages.  The input is
 re-scanned with column pruning instead of cached: at 100 TB a parquet re-scan
 of four columns is cheaper than materialising the whole log.  ``cache_input``
 persists it (memory, spilling to disk) for small interactive use.
@@ -14,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.functions.columns import ACTIONS, action_strict, resolve_columns
 from growthlens.operators import behavior as B
 from growthlens.operators import funnel as FN
 
@@ -38,11 +41,18 @@ def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
     if funnel is None:
         funnel = FN.item_funnel_loose(FN.user_item_stage(FN.behavior_norm(behavior, roles)))
     parts = []
-    ov = B.behavior_overview(behavior, funnel, roles)
+    # log size, distinct users / items and per-action counts in one pass
+    r = resolve_columns(behavior, roles)
+    k = action_strict(F.col(r["action"]))
+    glob = behavior.agg(F.count(F.lit(1)).alias("user_behavior_rows"),
+                        F.count_distinct(F.col(r["user"])).alias("distinct_users"),
+                        F.count_distinct(F.col(r["item"])).alias("distinct_items"),
+                        *[F.count_if(k == F.lit(a)).alias(a) for a in ACTIONS])
+    ov = glob.withColumn("item_funnel_features_rows", funnel.select(F.count(F.lit(1))).scalar())
     parts.append(_rows(ov, "overview", F.lit(None), {
         c: F.col(c) for c in ("user_behavior_rows", "distinct_users", "distinct_items",
                               "item_funnel_features_rows")}))
-    totals = B.action_totals(behavior, roles)
+    totals = glob.select(*ACTIONS)
     counts = B.behavior_counts(behavior, roles, totals=totals)
     parts.append(_rows(counts, "behavior_counts", F.col("action"), {"cnt": F.col("cnt")}))
     d1 = B.d1_retention_latest(behavior, roles)
