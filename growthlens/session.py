@@ -63,8 +63,9 @@ def get_spark(app: str = "growthlens", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (``spark.checkpoint.dir``).
 
-    The cluster names it; only when nothing is configured (local tests) a
-    private folder is created and registered.
+    The cluster names it.  Only a local-mode session without one (tests) gets
+    a private folder; on a cluster a missing setting is an error, since a
+    machine-local folder is not visible to other executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -74,6 +75,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        # local runs (tests) only: a private folder on this machine
         configured = tempfile.mkdtemp(prefix="growthlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None and sc.getCheckpointDir() is None:
