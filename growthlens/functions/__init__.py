@@ -15,7 +15,6 @@ from growthlens.functions.columns import (  # noqa: F401
     first_text,
     int_or_null,
     long_or_null,
-    fixed,
     is_buy,
     nonfinite_to_null,
     norm_category,

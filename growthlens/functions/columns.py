@@ -255,11 +255,6 @@ def ratio_or_zero(num: Column, den: Column, scale: float = 1.0) -> Column:
     return F.when(den > 0, q).otherwise(F.lit(0.0))
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Number text with ``digits`` decimals, rounded first (half up)."""
-    return F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits))
-
-
 def fetch_scalar(df: DataFrame):
     """The single value of a one-row, one-column aggregate (a bounded driver fetch).
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthlens.config import AlertConfig
-from growthlens.functions.columns import as_date_column, fixed, ratio_or_zero
+from growthlens.functions.columns import as_date_column, ratio_or_zero
 
 # ---------------------------------------------------------------------------
 # Fixed values of the analysed application
@@ -282,5 +282,4 @@ def content_products(contents: DataFrame, content_product_map: DataFrame,
 
 
 __all__ = ["taoke_metrics", "merchant_metrics", "daily_product_metrics", "alert_cvr_drop",
-           "alert_refund_spike", "alerts_run", "effective_commission_rate", "content_products",
-           "fixed"]
+           "alert_refund_spike", "alerts_run", "effective_commission_rate", "content_products"]

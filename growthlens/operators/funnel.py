@@ -22,7 +22,6 @@ from growthlens.functions.columns import (
     action_from_int_or_text,
     as_ts_column,
     epoch_seconds,
-    fixed,
     long_or_null,
     parse_event_ts,
     ratio_or_null,
@@ -292,5 +291,5 @@ __all__ = [
     "behavior_norm", "user_item_stage", "item_funnel", "item_funnel_loose",
     "item_funnel_strict", "item_funnel_both", "funnel_rate_check", "items_top",
     "items_opportunity", "item_funnel_window", "funnel_drop_offs",
-    "funnel_recommendations", "funnel_conclusion", "fixed",
+    "funnel_recommendations", "funnel_conclusion",
 ]
