@@ -197,7 +197,14 @@ def q_diagnosis_next_actions(spark, sf_dir):
     return R.diagnosis_next_actions(_all_metrics(spark, sf_dir))
 
 
-@register("diagnosis_summary", None)
+@register("diagnosis_summary", with_ctes(f"""
+SELECT entity_type, entity_id, "window", cvr, epc, gmv, refund_rate,
+  CASE WHEN entity_type = 'taoke'
+       THEN printf('{R.SUMMARY_TAOKE}', "window", CAST(entity_id AS VARCHAR), CAST(cvr AS VARCHAR),
+                   CAST(epc AS VARCHAR))
+       ELSE printf('{R.SUMMARY_MERCHANT}', "window", CAST(entity_id AS VARCHAR), printf('%.2f', gmv),
+                   CAST(refund_rate AS VARCHAR)) END AS summary
+FROM m""", *_AFF, extra=_RULE_CTES))
 def q_diagnosis_summary(spark, sf_dir):
     return R.diagnosis_summary(_all_metrics(spark, sf_dir))
 

@@ -12,4 +12,4 @@ def test_every_query_has_a_callable_and_oracle_keys_subset():
     o = entry_mod.oracle_sql()
     assert len(q) >= 68
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"diagnosis_summary"}
+    assert set(q) == set(o)
