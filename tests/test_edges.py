@@ -339,3 +339,30 @@ def test_upsert_incoming_wins(spark):
     inc = spark.createDataFrame([("a", "new"), ("c", "added")], "parent_asin string, title string")
     got = {r.parent_asin: r.title for r in SK.upsert_items(cur, inc).collect()}
     assert got == {"a": "new", "b": "keep", "c": "added"}
+
+
+def test_save_funnel_tables_modes(spark):
+    t = D(2024, 1, 1)
+    rows = [(1, 1, "pv", t), (1, 1, "fav", t), (2, 1, "pv", t), (2, 1, "fav", t + dt.timedelta(seconds=5))]
+    stage = FN.user_item_stage(FN.behavior_norm(_beh(spark, rows)))
+    written = SK.save_funnel_tables(spark, stage, mode="strict")
+    assert set(written) == {"item_funnel_features_strict"}
+    # the default view follows the chosen mode (strict: 1 of 2 users favourited after viewing)
+    assert spark.table("item_funnel_features").first().fav == 1
+    SK.save_funnel_tables(spark, stage, mode="both")
+    both = {(r.strict, r.fav) for r in spark.table("item_funnel_features_both").collect()}
+    assert both == {(0, 2), (1, 1)}
+    assert spark.table("item_funnel_features_default").first().fav == 2
+    with pytest.raises(ValueError):
+        SK.save_funnel_tables(spark, stage, mode="everything")
+
+
+def test_upsert_with_order_column_and_export(spark):
+    cur = spark.createDataFrame([("a", "old", 1)], "parent_asin string, title string, v long")
+    inc = spark.createDataFrame([("a", "first", 1), ("a", "second", 2)], "parent_asin string, title string, v long")
+    got = SK.upsert_items(cur, inc, order_col="v").collect()
+    assert [(r.parent_asin, r.title) for r in got] == [("a", "second")]
+    anchor = D(2024, 3, 31)
+    beh = _beh(spark, [(u, 1, "pv", anchor - dt.timedelta(days=2)) for u in (5, 3, 9)] + [(1, 1, "pv", anchor)])
+    path = SK.export_segment_users_csv(spark, beh, "Warm", limit=2)
+    assert [r.user_id for r in SK.read_segment_export(spark, path).collect()] == [3, 5]
