@@ -15,8 +15,22 @@ from pyspark.sql import functions as F
 from growthlens.functions.columns import epoch_millis, fetch_scalar
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The parquet table ``name`` of a test-data folder.
+
+    The lazy handle is kept per session and path, so its file listing and
+    footer schema are read once rather than for every query that uses it.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _action_case(c: Column) -> Column:

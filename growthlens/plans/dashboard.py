@@ -13,7 +13,7 @@ persists it (memory, spilling to disk) for small interactive use.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.functions.columns import ACTIONS, action_strict, resolve_columns
@@ -23,14 +23,19 @@ from growthlens.operators import funnel as FN
 _COLS = ("section", "entity", "metric", "value", "text")
 
 
-def _rows(df: DataFrame, section: str, entity: Column, metrics: dict[str, Column],
-          texts: dict[str, Column] | None = None) -> DataFrame:
-    cells = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"),
-                      F.lit(None).cast("string").alias("text")) for m, v in metrics.items()]
-    cells += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value"),
-                       t.cast("string").alias("text")) for m, t in (texts or {}).items()]
-    return df.select(F.lit(section).alias("section"), entity.cast("string").alias("entity"),
-                     F.inline(F.array(*cells))).select(*_COLS)
+def _rows(df: DataFrame, section: str, entity: str | None, metrics: tuple[str, ...],
+          texts: tuple[str, ...] = ()) -> DataFrame:
+    """One (section, entity, metric, value, text) row per listed metric / text column.
+
+    Written as one SQL expression so the frame is built in a single call.
+    """
+    cells = [f"named_struct('metric', '{m}', 'value', CAST(`{m}` AS DOUBLE), "
+             f"'text', CAST(NULL AS STRING))" for m in metrics]
+    cells += [f"named_struct('metric', '{t}', 'value', CAST(NULL AS DOUBLE), "
+              f"'text', CAST(`{t}` AS STRING))" for t in texts]
+    ent = f"CAST(`{entity}` AS STRING)" if entity else "CAST(NULL AS STRING)"
+    return df.selectExpr(f"'{section}' AS section", f"{ent} AS entity",
+                         f"inline(array({', '.join(cells)}))").select(*_COLS)
 
 
 def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
@@ -49,38 +54,29 @@ def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
                         F.count_distinct(F.col(r["item"])).alias("distinct_items"),
                         *[F.count_if(k == F.lit(a)).alias(a) for a in ACTIONS])
     ov = glob.withColumn("item_funnel_features_rows", funnel.select(F.count(F.lit(1))).scalar())
-    parts.append(_rows(ov, "overview", F.lit(None), {
-        c: F.col(c) for c in ("user_behavior_rows", "distinct_users", "distinct_items",
-                              "item_funnel_features_rows")}))
+    parts.append(_rows(ov, "overview", None, ("user_behavior_rows", "distinct_users",
+                                               "distinct_items", "item_funnel_features_rows")))
     totals = glob.select(*ACTIONS)
     counts = B.behavior_counts(behavior, roles, totals=totals)
-    parts.append(_rows(counts, "behavior_counts", F.col("action"), {"cnt": F.col("cnt")}))
+    parts.append(_rows(counts, "behavior_counts", "action", ("cnt",)))
     d1 = B.d1_retention_latest(behavior, roles)
-    parts.append(_rows(d1, "d1_retention", F.col("day"),
-                       {"active_users": F.col("active_users"), "retained_users": F.col("retained_users"),
-                        "rate": F.col("rate")}))
+    parts.append(_rows(d1, "d1_retention", "day", ("active_users", "retained_users", "rate")))
     rep = B.repurchase_7d(behavior, roles)
-    parts.append(_rows(rep, "repurchase_7d", F.lit(None),
-                       {"buyers": F.col("buyers"), "repurchasers_7d": F.col("repurchasers_7d"),
-                        "rate": F.col("rate")}))
+    parts.append(_rows(rep, "repurchase_7d", None, ("buyers", "repurchasers_7d", "rate")))
     seg = B.lifecycle_segments(behavior, roles)
-    parts.append(_rows(seg, "lifecycle", F.col("segment"),
-                       {"users": F.col("users"), "share": F.col("share"),
-                        "avg_actions": F.col("avg_actions")}, {"anchor_day": F.col("anchor_day")}))
-    item_cols = {c: F.col(c) for c in ("pv", "fav", "cart", "buy", "pv_to_buy_rate")}
+    parts.append(_rows(seg, "lifecycle", "segment", ("users", "share", "avg_actions"), ("anchor_day",)))
+    item_cols = ("pv", "fav", "cart", "buy", "pv_to_buy_rate")
     # the funnel feeds the overview count and both item lists: one computation
     # when the frames share it (adaptive execution reuses identical stages)
-    parts.append(_rows(FN.items_top(funnel, items_limit, min_pv), "items_top", F.col("item_id"), item_cols))
+    parts.append(_rows(FN.items_top(funnel, items_limit, min_pv), "items_top", "item_id", item_cols))
     parts.append(_rows(FN.items_opportunity(funnel, items_limit, max(50, min_pv)), "items_opportunity",
-                       F.col("item_id"), item_cols))
+                       "item_id", item_cols))
     journey = B.journey_rates(behavior, roles, totals=totals)
-    parts.append(_rows(journey, "advice_journey", F.col("key"), {"rate": F.col("rate")},
-                       {"default_segment": F.col("default_segment"),
-                        "default_message_type": F.col("default_message_type")}))
+    parts.append(_rows(journey, "advice_journey", "key", ("rate",),
+                       ("default_segment", "default_message_type")))
     advice = B.lifecycle_advice(behavior, roles, repurchase=rep, d1_latest=d1)
-    parts.append(_rows(advice, "advice_lifecycle", F.col("key"), {},
-                       {"default_segment": F.col("default_segment"),
-                        "default_message_type": F.col("default_message_type")}))
+    parts.append(_rows(advice, "advice_lifecycle", "key", (),
+                       ("default_segment", "default_message_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
