@@ -1,0 +1,6 @@
+"""Readers and sinks.
+
+* ``catalog_lines`` JSON-lines item metadata and reviews (bounded imports)
+* ``behavior_logs`` raw CSV/TSV behavior lines, multi-file unions, typed rebuilds
+* ``sinks``         upserts, appends, segment CSV export, funnel tables
+"""

@@ -62,33 +62,36 @@ def save_funnel_tables(spark: SparkSession, stage: DataFrame, path: str | None =
                        mode: str = "both") -> dict[str, str]:
     """Materialise the loose / strict funnel tables as parquet and register views.
 
-    Views: ``item_funnel_features_loose`` / ``_strict`` for what was built,
-    ``item_funnel_features`` and ``_default`` on the chosen mode (loose when
-    built), and ``item_funnel_features_both`` (0/1 ``strict`` flag) for
-    ``mode='both'``.  Returns table name -> written folder.
+    ``mode='both'`` computes both variants in one aggregation and writes them
+    once, partitioned by the 0/1 ``strict`` flag; the loose and strict views
+    read their partition.  Views: ``item_funnel_features_loose`` / ``_strict``
+    for what was built, ``item_funnel_features`` and ``_default`` on the chosen
+    mode (loose when built), and ``item_funnel_features_both`` for ``both``.
+    Returns table name -> written folder.
     """
     if mode not in ("both", "nonstrict", "strict"):
         raise ValueError("mode must be both, nonstrict or strict")
     path = path or scratch_path(spark, f"funnel_tables/{uuid.uuid4().hex}")
     written: dict[str, str] = {}
-    builds = []
-    if mode in ("both", "nonstrict"):
-        builds.append(("item_funnel_features_loose", FN.item_funnel_loose(stage)))
-    if mode in ("both", "strict"):
-        builds.append(("item_funnel_features_strict", FN.item_funnel_strict(stage)))
-    for name, df in builds:
+    views: dict[str, DataFrame] = {}
+    if mode == "both":
+        out = os.path.join(path, "item_funnel_features_both")
+        FN.item_funnel_both(stage).write.mode("overwrite").partitionBy("strict").parquet(out)
+        written["item_funnel_features_both"] = out
+        both = spark.read.parquet(out)
+        cols = [c for c in both.columns if c != "strict"]
+        views["item_funnel_features_loose"] = both.where(F.col("strict") == 0).select(*cols)
+        views["item_funnel_features_strict"] = both.where(F.col("strict") == 1).select(*cols)
+        views["item_funnel_features_both"] = both.select("strict", *cols)
+    else:
+        name = "item_funnel_features_loose" if mode == "nonstrict" else "item_funnel_features_strict"
         out = os.path.join(path, name)
-        df.write.mode("overwrite").parquet(out)
+        FN.item_funnel(stage, strict=(mode == "strict")).write.mode("overwrite").parquet(out)
         written[name] = out
-        spark.read.parquet(out).createOrReplaceTempView(name)
-    default = "item_funnel_features_loose" if "item_funnel_features_loose" in written \
-        else "item_funnel_features_strict"
-    for view in ("item_funnel_features", "item_funnel_features_default"):
-        spark.read.parquet(written[default]).createOrReplaceTempView(view)
-    if mode == "both":
-        loose = spark.read.parquet(written["item_funnel_features_loose"])
-        strict = spark.read.parquet(written["item_funnel_features_strict"])
-        both = (loose.select(F.lit(0).alias("strict"), *loose.columns)
-                .unionByName(strict.select(F.lit(1).alias("strict"), *strict.columns)))
-        both.createOrReplaceTempView("item_funnel_features_both")
+        views[name] = spark.read.parquet(out)
+    default = views.get("item_funnel_features_loose", views.get("item_funnel_features_strict"))
+    views["item_funnel_features"] = default
+    views["item_funnel_features_default"] = default
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
     return written
