@@ -23,7 +23,7 @@ def summarize(plan: str) -> str:
     smj = len(re.findall(r"SortMergeJoin", plan))
     bhj = len(re.findall(r"BroadcastHashJoin", plan))
     scans = re.findall(r"Scan parquet \S*", plan)
-    pushed = re.findall(r"PushedFilters: \[[^\]]*\]", plan)
+    pushed = re.findall(r"PushedFilters: \[[^\]]*?(?:\]|\.\.\.)", plan)
     schemas = re.findall(r"ReadSchema: struct<[^>]*>", plan)
     return (f"shuffles={shuffles} broadcasts={bcast} smj={smj} bhj={bhj} scans={len(scans)}\n"
             + "\n".join(f"   {p}" for p in sorted(set(pushed)))
