@@ -201,7 +201,9 @@ def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7)
                      (F.col("ts") <= F.timestamp_add("DAY", F.lit(days), F.col("first_ts"))))
               .groupBy("user_id").agg(F.lit(1).alias("repeat")))
     flagged = first.join(repeat, "user_id", "left")
-    out = flagged.agg(F.count(F.lit(1)).alias("buyers"),
+    # counting first_ts (never NULL) keeps the first-buy aggregate itself in the
+    # plan, so both uses of it share one stage
+    out = flagged.agg(F.count("first_ts").alias("buyers"),
                       F.count("repeat").alias("repurchasers_7d"))
     return out.withColumn("rate", ratio_or_null(F.col("repurchasers_7d"), F.col("buyers")))
 
