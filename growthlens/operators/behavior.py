@@ -2,14 +2,15 @@
 
 Input is a behavior log with user, item, action and time columns under any of
 the accepted names (see ``resolve_columns``).  Every operator computes all
-users / days / segments in one distributed pass; nothing is collected.
+users / days / segments in distributed aggregations; the only value brought to
+the driver is the lifecycle anchor day (one scalar).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.functions.columns import (
@@ -175,7 +176,6 @@ def d1_retention_latest(behavior: DataFrame, roles: dict | None = None) -> DataF
     The last active day is the newest row of the per-day table, so the two
     newest days (a bounded top-2) decide it without another pass.
     """
-    from pyspark.sql import Window
     top2 = d1_retention_by_day(behavior, roles).orderBy(F.col("day").desc()).limit(2)
     newest = F.max("day").over(Window.partitionBy())   # over at most two rows
     return top2.withColumn("_newest", newest).where(F.col("day") < F.col("_newest")).drop("_newest")
@@ -245,7 +245,6 @@ def lifecycle_segments(behavior: DataFrame, roles: dict | None = None) -> DataFr
         F.avg("active_days_30d").alias("avg_actions"),
         F.max("anchor_day").alias("anchor_day"))
     # at most four rows reach this window
-    from pyspark.sql import Window
     total = F.sum("users").over(Window.partitionBy())
     return stat.select("anchor_day", "segment", "users",
                        ratio_or_null(F.col("users"), total).alias("share"),
