@@ -17,6 +17,7 @@ from growthlens.functions.columns import (  # noqa: F401
     long_or_null,
     is_buy,
     nonfinite_to_null,
+    ntz_literal,
     norm_category,
     parse_event_ts,
     parse_price,

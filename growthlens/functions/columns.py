@@ -80,8 +80,24 @@ def _dtype(df: DataFrame, name: str) -> T.DataType:
 # ---------------------------------------------------------------------------
 # timestamps
 # ---------------------------------------------------------------------------
+def ntz_literal(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime / date / ISO text.
+
+    Built from ISO text: a Python ``datetime`` literal would pass through the
+    driver's local time zone and then the session's, shifting wall-clock values
+    whenever the two differ.
+    """
+    if isinstance(value, _dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        text = value.isoformat()
+    else:
+        text = None if value is None else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _epoch_ntz() -> Column:
-    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return ntz_literal("1970-01-01 00:00:00")
 
 
 def parse_event_ts(df: DataFrame, name: str) -> Column:
@@ -131,11 +147,7 @@ def as_ts_column(value, default: Column | None = None) -> Column:
         return default if default is not None else F.localtimestamp()
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
-    if isinstance(value, _dt.datetime):
-        return F.lit(value).cast("timestamp_ntz")
-    if isinstance(value, _dt.date):
-        return F.lit(value).cast("timestamp_ntz")
-    return F.lit(str(value)).cast("timestamp_ntz")
+    return ntz_literal(value)
 
 
 def as_date_column(value) -> Column:

@@ -18,6 +18,7 @@ from growthlens.functions.columns import (
     action_strict,
     fetch_scalar,
     is_buy,
+    ntz_literal,
     parse_event_ts,
     project_once,
     ratio_or_null,
@@ -222,7 +223,7 @@ def user_lifecycle(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
     anchor_day = fetch_scalar(ev.select(F.max(F.to_date("ts"))))
     anchor = F.lit(anchor_day).cast("date")
     # the window bound on the raw time column reaches the file scan as a pushed filter
-    since = F.lit(anchor_day - _dt.timedelta(days=30) if anchor_day else None).cast("timestamp_ntz")
+    since = ntz_literal(anchor_day - _dt.timedelta(days=30) if anchor_day else None)
     pairs = (ev.where(F.col("ts").isNotNull() & (F.col("ts") >= since))
              .select("user_id", F.to_date("ts").alias("d")).distinct())
     agg = pairs.groupBy("user_id").agg(

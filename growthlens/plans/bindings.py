@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.functions.columns import epoch_millis, fetch_scalar
+from growthlens.functions.columns import epoch_millis, fetch_scalar, ntz_literal
 
 
 _TABLES: dict[tuple[int, str], DataFrame] = {}
@@ -136,7 +136,7 @@ def aff_contents(spark, sf_dir, last_order=None) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     if last_order is None:
         last_order = fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate")))
-    last = F.lit(last_order).cast("timestamp_ntz")
+    last = ntz_literal(last_order)
     k = F.col("doc_id")
     return d.select(k.alias("id"), (k % 3 + 1).alias("taoke_id"), (k % 3 + 1).alias("merchant_id"),
                     F.col("source").alias("content_type"),
