@@ -60,6 +60,20 @@ def behavior_dense(spark, sf_dir) -> DataFrame:
         _action_case(F.col("event_type")).alias("action"), "ts")
 
 
+def behavior_sparse(spark, sf_dir) -> DataFrame:
+    """``behavior`` with rare carts (1 signup in 25) and rare buys (1 purchase in 20);
+    the other signups are views and purchases favourites, so conversion falls
+    below the funnel thresholds and every drop-off / advice branch occurs."""
+    ev = table(spark, sf_dir, "events")
+    et, eid = F.col("event_type"), F.col("event_id")
+    action = (F.when(et == "view", "pv").when(et == "click", "fav")
+              .when(et == "signup", F.when(eid % 25 == 0, "cart").otherwise("pv"))
+              .when(et == "purchase", F.when(eid % 20 == 0, "buy").otherwise("fav")))
+    return ev.where(et != "error").select(
+        (F.col("user_id") * 20 + eid % 20).alias("user_id"),
+        _item_of(F.col("props")).alias("item_id"), action.alias("action"), "ts")
+
+
 def behavior_raw(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     et, eid = F.col("event_type"), F.col("event_id")
@@ -207,6 +221,12 @@ FROM events WHERE event_type <> 'error'""",
     "behavior_dense": f"""SELECT user_id,
        CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        {_ACTION_CASE} AS action, ts
+FROM events WHERE event_type <> 'error'""",
+    "behavior_sparse": """SELECT user_id*20 + event_id%20 AS user_id,
+       CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav'
+            WHEN 'signup' THEN CASE WHEN event_id%25=0 THEN 'cart' ELSE 'pv' END
+            WHEN 'purchase' THEN CASE WHEN event_id%20=0 THEN 'buy' ELSE 'fav' END END AS action, ts
 FROM events WHERE event_type <> 'error'""",
     "behavior_raw": f"""SELECT user_id, CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
  CASE WHEN event_id%3=0 THEN CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2'
