@@ -6,7 +6,7 @@ from growthlens.operators import affiliate as A
 from growthlens.operators import rules as R
 from growthlens.plans import bindings as bd
 from growthlens.plans.bindings import with_ctes
-from growthlens.plans.registry import register
+from growthlens.plans.registry import ints_as_double, register
 
 _AFF = ("aff_orders", "aff_clicks", "aff_contents", "entity_dim", "aff_asof")
 
@@ -232,7 +232,7 @@ def q_opportunities(spark, sf_dir):
 # #66 / #67 lookups
 # ---------------------------------------------------------------------------
 @register("effective_commission_rate", with_ctes("""
-SELECT o.id AS order_id, o.merchant_id, o.product_id, o.taoke_id, l.rule_id,
+SELECT o.id AS order_id, o.merchant_id, o.product_id, o.taoke_id, CAST(l.rule_id AS DOUBLE) AS rule_id,
   CAST(coalesce(l.rule_rate, CAST(0.10 AS DECIMAL(5,4))) AS DOUBLE) AS commission_rate
 FROM aff_orders o LEFT JOIN (
   SELECT merchant_id, product_id, taoke_id, commission_rate AS rule_rate, id AS rule_id FROM (
@@ -241,7 +241,8 @@ FROM aff_orders o LEFT JOIN (
 ) l ON l.merchant_id = o.merchant_id AND l.product_id = o.product_id AND l.taoke_id = o.taoke_id""",
     "aff_orders", "aff_rules"))
 def q_effective_commission_rate(spark, sf_dir):
-    return A.effective_commission_rate(bd.aff_orders(spark, sf_dir), bd.aff_rules(spark, sf_dir))
+    out = A.effective_commission_rate(bd.aff_orders(spark, sf_dir), bd.aff_rules(spark, sf_dir))
+    return ints_as_double(out, "rule_id")
 
 
 @register("content_products", with_ctes("""

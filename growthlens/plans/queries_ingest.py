@@ -16,7 +16,7 @@ from growthlens.operators import funnel as FN
 from growthlens.plans import bindings as bd
 from growthlens.plans.bindings import with_ctes
 from growthlens.plans.queries_behavior import _E, _ANCHOR, _SEG, _funnel_sql, _stage_cte, _ub_norm_cte
-from growthlens.plans.registry import register
+from growthlens.plans.registry import ints_as_double, register
 from growthlens.sources import behavior_logs as BL
 from growthlens.sources import catalog_lines as CL
 from growthlens.sources import sinks as SK
@@ -290,7 +290,8 @@ def q_upsert_items(spark, sf_dir):
     return SK.upsert_items(bd.items(spark, sf_dir), _incoming_items(spark, sf_dir))
 
 
-@register("append_reviews", with_ctes("""SELECT parent_asin, user_id, rating, reviewed_at, timestamp_ms FROM reviews
+@register("append_reviews", with_ctes("""SELECT parent_asin, user_id, rating, reviewed_at,
+  CAST(timestamp_ms AS DOUBLE) AS timestamp_ms FROM reviews
 UNION ALL SELECT CAST(l_partkey AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(CAST(l_quantity AS INT) % 5 + 1 AS DOUBLE),
   l_shipdate, NULL FROM lineitem WHERE l_partkey % 5 = 0""", "reviews"))
 def q_append_reviews(spark, sf_dir):
@@ -299,7 +300,7 @@ def q_append_reviews(spark, sf_dir):
         _s(F.col("l_partkey")).alias("parent_asin"), _s(F.col("l_orderkey")).alias("user_id"),
         ((F.col("l_quantity").cast("int") % 5) + 1).cast("double").alias("rating"),
         F.col("l_shipdate").alias("reviewed_at"))
-    return SK.append_reviews(bd.reviews(spark, sf_dir), batch)
+    return ints_as_double(SK.append_reviews(bd.reviews(spark, sf_dir), batch), "timestamp_ms")
 
 
 @register("export_segment_users_csv", with_ctes(

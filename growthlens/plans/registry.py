@@ -48,6 +48,17 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def ints_as_double(df: DataFrame, *cols: str) -> DataFrame:
+    """Exchange integer columns that hold NULLs as doubles.
+
+    Spark and DuckDB convert a nullable integer column to different pandas
+    types (float with NaN vs a nullable integer type), so such columns are
+    compared as doubles on both sides; the values are unchanged (< 2**53).
+    """
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in cols else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 def _load_all() -> None:
     # importing the query modules fills REGISTRY
     from growthlens.plans import (  # noqa: F401
