@@ -220,7 +220,9 @@ def user_lifecycle(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
     per-user aggregation, so a hot user costs at most one row per day.
     """
     ev = behavior_events(behavior, roles)
-    anchor_day = fetch_scalar(ev.select(F.max(F.to_date("ts"))))
+    # newest event time, then its calendar day (= max of the event days)
+    newest = fetch_scalar(ev.select(F.max("ts")))
+    anchor_day = newest.date() if isinstance(newest, _dt.datetime) else newest
     anchor = F.lit(anchor_day).cast("date")
     # the window bound on the raw time column reaches the file scan as a pushed filter
     since = ntz_literal(anchor_day - _dt.timedelta(days=30) if anchor_day else None)
