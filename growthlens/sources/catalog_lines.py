@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from growthlens.functions.columns import (
     category_alias,
     first_rows_by,
-    first_text,
     parse_price,
     project_once,
     strip_ws,
@@ -93,24 +92,33 @@ def parse_item_meta(lines: DataFrame, category: str, meta_limit: int | None = No
         *[c for c in j.columns if c == "line_no"])
 
 
-def _nonzero_number(c: Column) -> Column:
-    """Python truthiness of a number read as text: NULL, '' and 0 are false."""
-    return F.when(c.isNull() | (c == "") | (c.try_cast("double") == 0), F.lit(None)).otherwise(c)
+def _truthy_text(c: Column) -> Column:
+    return c.isNotNull() & (c != "")
+
+
+def _truthy_number(c: Column) -> Column:
+    """Python truthiness of a JSON number read as text: NULL, '' and 0 are false."""
+    return _truthy_text(c) & F.coalesce(c.try_cast("double") != 0, F.lit(True))
+
+
+def _py_or(a: Column, b: Column, truthy=_truthy_text) -> Column:
+    """Python's ``a or b``: ``a`` when truthy, otherwise ``b`` as it is."""
+    return F.when(truthy(a), a).otherwise(b)
 
 
 def parse_reviews(lines: DataFrame, category: str) -> DataFrame:
     """Review lines -> reviews, with the old field names as fallbacks."""
     j = _parsed(nonblank_lines(lines), REVIEW_SCHEMA)
     g = F.col
-    asin = first_text(g("parent_asin"), g("asin"))
-    rating = F.coalesce(_nonzero_number(g("rating")), _nonzero_number(g("overall")))
-    ts = F.coalesce(_nonzero_number(g("timestamp")), _nonzero_number(g("unixReviewTime")))
-    return j.where(asin.isNotNull()).select(
-        asin.alias("parent_asin"), first_text(g("user_id"), g("reviewerID")).alias("user_id"),
+    asin = _py_or(g("parent_asin"), g("asin"))
+    rating = _py_or(g("rating"), g("overall"), _truthy_number)
+    ts = _py_or(_py_or(g("timestamp"), g("unixReviewTime"), _truthy_number), F.lit("0"), _truthy_number)
+    return j.where(_truthy_text(asin)).select(
+        asin.alias("parent_asin"), _py_or(g("user_id"), g("reviewerID")).alias("user_id"),
         rating.try_cast("double").alias("rating"),
         F.coalesce(_to_long(ts), F.lit(0).cast("bigint")).alias("timestamp"),
-        first_text(g("title"), g("reviewTitle")).alias("title"),
-        first_text(g("text"), g("reviewText")).alias("text"),
+        _py_or(g("title"), g("reviewTitle")).alias("title"),
+        _py_or(g("text"), g("reviewText")).alias("text"),
         "raw_json", category_alias(F.lit(category)).alias("category"),
         *[c for c in j.columns if c == "line_no"])
 

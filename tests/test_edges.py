@@ -366,3 +366,15 @@ def test_upsert_with_order_column_and_export(spark):
     beh = _beh(spark, [(u, 1, "pv", anchor - dt.timedelta(days=2)) for u in (5, 3, 9)] + [(1, 1, "pv", anchor)])
     path = SK.export_segment_users_csv(spark, beh, "Warm", limit=2)
     assert [r.user_id for r in SK.read_segment_export(spark, path).collect()] == [3, 5]
+
+
+def test_review_field_fallbacks_follow_python_or(spark):
+    lines = spark.createDataFrame([
+        (1, '{"parent_asin": "a", "rating": 0, "overall": 0, "user_id": "", "reviewerID": ""}'),
+        (2, '{"asin": "b", "overall": "4", "timestamp": 0, "unixReviewTime": 17, "text": "", "reviewText": "t"}'),
+        (3, '{"parent_asin": "", "asin": ""}'),
+    ], "line_no long, value string")
+    got = {r.parent_asin: r for r in CL.parse_reviews(lines, "x").collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"].rating == 0.0 and got["a"].user_id == "" and got["a"].timestamp == 0
+    assert got["b"].rating == 4.0 and got["b"].timestamp == 17 and got["b"].text == "t"
