@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder.
+
+    Unlike a checkpoint it keeps nothing of the plan (constraints and
+    partitionings multiply from round to round of a loop).
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` (a settled frame of narrow rows) with a broadcast hint if its counted rows are few."""
     limit = BROADCAST_ROWS if limit is None else limit
@@ -67,31 +79,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps; each is a map-side combined
     minimum per node and a join back, so no node's neighbours are gathered and
-    a hub is split by the adaptive skew join.  Ends when the links no longer
-    change.  Null ends and loops are dropped; no links give no rows.
+    a hub is split by the adaptive skew join.  Ends when only stars are left.  Null ends and loops are dropped; no links give no rows.
     """
-    edges = settle(
+    edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v").distinct()
     )
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: every larger neighbour, and the node itself, points at the smallest one
-        edges = settle(
+        edges = written(
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         # small star: neighbours not above the node point at the smallest of them
-        low = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
-        edges = settle(
+        low = written(edges.groupBy("u").agg(F.min("v").alias("m")))
+        edges = written(
             edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # done when only stars are left: one link for each node, and no node is both end and centre
+        ends = edges.select("u", F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+        if not ends.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").head(1):
             break
-        state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
