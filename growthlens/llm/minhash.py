@@ -246,3 +246,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (all columns) with one document of each group: the one with the smallest id.
+
+    Rows without an id or without words stay, and so do all rows that repeat a kept id.
+    """
+    found = near_duplicates(docs, width=width, percent=percent)
+    gone = common.settle(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone_id")).distinct())
+    return docs.join(common.small(gone), docs["doc_id"] == F.col("_gone_id"), "left_anti")

@@ -2,19 +2,87 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlens.llm import minhash
+from growthlens.llm import bpe, chat, decontam, egojoin, kneserney, langid, linededup, minhash, pii, toxicity
 from growthlens.llm.common import table
 
+#: Folder of public tokenizer files; ``GROWTHLENS_TOKENIZERS`` names another one.
+TOKENIZERS = os.environ.get("GROWTHLENS_TOKENIZERS", "/opt/tokenizers")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that copies a test item, with the item and the aligned passage."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney log probability of every document, learned outside the held-out fold."""
+    return kneserney.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that an earlier line repeats or nearly repeats."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from its maximum-scoring segments."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return egojoin.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, read back and digested."""
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations"))).drop("valid", "bad_turn")
+
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, similarity 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op2_lm_scoring, op3_language_id, op4_line_dedup, op5_toxicity, op6_bpe_round_trip,
+    op7_embedding_near_dedup, op8_pii, op9_chat_formatting, op10_minhash_near_dedup)}
+
+_CHAT = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+one AS (
+  SELECT conv_id,
+         count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS trained,
+         -- each turn: 8 characters of opening, 1 after the role, 8 of closing, one more for each escaped mark
+         sum(17 + length(role) + length(text) + length(text) - length(replace(text, '\\', ''))
+             + (length(text) - length(replace(text, '<|', ''))) // 2 * 1) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM one"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_formatting": _CHAT}

@@ -23,6 +23,10 @@ CHUNK_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Separators that also part words from ASCII punctuation.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers."""
@@ -56,9 +60,9 @@ def _power(base: int, n: int) -> np.ndarray:
 class Words:
     """Words of consecutive documents: byte offsets, owning document and hash."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.bounds, self.docs = data, bounds, len(bounds) - 1
-        inside = ~SPACE[data]
+        inside = ~space[data]
         first = np.zeros(len(data) + 1, bool)
         first[bounds] = True
         before = np.empty(len(data), bool)
@@ -116,11 +120,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, Words]]:
-    """(index of the first row, words) of successive whole rows of about ``chunk`` bytes."""
+def pieces(column: pa.Array, chunk: int = CHUNK_BYTES, space: np.ndarray = SPACE) -> Iterator[tuple[int, Words]]:
+    """(index of the first row, words) of successive whole rows of about ``chunk`` bytes; ``space`` marks separators."""
     data, bounds = buffers(column)
     at, rows = 0, len(bounds) - 1
     while at < rows:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + chunk, side="right")) - 1)
-        yield at, Words(data[bounds[at]: bounds[to]], bounds[at: to + 1] - bounds[at])
+        yield at, Words(data[bounds[at]: bounds[to]], bounds[at: to + 1] - bounds[at], space)
         at = to
