@@ -96,7 +96,7 @@ def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataF
 
 def read_back(formatted: DataFrame, template: Template = CHATML, column: str = "formatted") -> DataFrame:
     """Add ``turns`` array<struct<role, text>> and ``loss_texts``, parsed from the formatted string alone."""
-    split = F.slice(F.split(F.col(column), _literal(template.opening), -1), 2, 2**31 - 1)
+    split = F.slice(F.split(F.col(column), _literal(template.opening), -1), 2, 2**30)
 
     def turn(part: Column) -> Column:
         at = F.instr(part, template.after_role)

@@ -6,9 +6,10 @@ the executors, so neither documents nor their n-grams are shuffled.
 
 1. Every n-gram of an item is a possible seed; one pass over all documents
    counts in how many each occurs.
-2. Rare ones seed the search: those in at most ``RARE`` of all documents, and
-   in every window of ``WINDOW`` successive n-grams the rarest (a leak that
-   fills a third of the corpus still has seeds).
+2. Rare ones seed the search: those in few documents, those hardly more
+   frequent than the rarer ones of their item (a leak in a third of the corpus
+   still has seeds), and in every window of ``WINDOW`` successive n-grams the
+   rarest.  Only n-grams that are common outside the item are left out.
 3. Around the seed hits of a document and an item, the words of the passage and
    of the item are aligned locally (match +2, mismatch and gap -1).  The score
    is the alignment's share of a perfect one; paraphrased or edited copies
@@ -34,7 +35,10 @@ from growthlens.llm import common, tokens
 _U = np.uint64
 N = 4
 WINDOW = 6
-RARE = 1e-4
+#: A seed is rare if at most this share of all documents hold it (or ``RARE_DOCS``, if that is more) ...
+RARE, RARE_DOCS = 1e-3, 100
+#: ... or at most this multiple of the documents that hold the rarer quarter of its item's n-grams.
+LIKE_ITEM = 2
 #: Share of a perfect alignment of the item from which a passage counts as copied.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -69,6 +73,7 @@ class Items:
         start = 0
         for end in ends:
             run = by_place[start:end]
+            keep[run] |= count[run] <= LIKE_ITEM * np.quantile(count[run], 0.25)
             for k in range(max(1, len(run) - WINDOW + 1)):
                 window = run[k:k + WINDOW]
                 keep[window[np.argmin(count[window])]] = True
@@ -212,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float
         for r in (texts.select("text").mapInArrow(_frequency(shared, n), "key long, n long")
                   .groupBy("key").agg(F.sum("n").alias("n")).collect()):  # at most the block's seeds
             frequency[r["key"]] = r["n"]
-        own.keep(frequency, max(1, RARE * n_docs))
+        own.keep(frequency, max(RARE_DOCS, RARE * n_docs))
         part = texts.mapInArrow(_search(spark.sparkContext.broadcast(own), n, least), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "matched", "first", "end")).alias("best")).select(
