@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Method: token counts of toxic and clean training documents give each token a
-log-odds score, smoothed by a Dirichlet prior that spreads the counts of the
+Method: the numbers of toxic and clean training documents that hold a token
+(different texts, each once) give it a log-odds score, smoothed by a Dirichlet prior that spreads the counts of the
 token's four-byte stem over the stem's tokens; tokens and stems without
 significant odds share one background score, which is negative.  A linear scan
 finds every maximal segment of the scores (Ruzzo and Tompa); a segment's score
@@ -31,16 +31,16 @@ from growthlens.llm import common, tokens
 
 _U = np.uint64
 FOLDS = 5
-#: Pseudo-tokens of the stem prior.
-PRIOR = 2.0
+#: Pseudo-tokens in all, and the share of a stem's count per token that its tokens get as their prior.
+PRIOR, SPREAD = 2.0, 0.1
 #: A token or stem enters the model if its log-odds are this many standard errors from zero ...
-MIN_Z = 2.5
+MIN_Z = 3.0
 #: ... and it makes up this share of all toxic tokens, so that at most 1 / MIN_SHARE enter.
 MIN_SHARE = 1 / 400_000
 #: Expected number of chance segments below which a segment counts.
 SIGNIFICANT = 0.05
 #: Width of the bins in which training documents are counted for the logistic fit.
-BIN = 0.25
+BIN = 0.05
 
 
 @dataclass(frozen=True)
@@ -73,12 +73,15 @@ def stems(words: tokens.Words) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens per (token, stem) of toxic and clean documents."""
+    """Toxic and clean documents per (token, stem); a token counts once for each document."""
     for batch in batches:
         label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         got = []
         for at, words in tokens.pieces(batch.column(0), space=tokens.PUNCTUATION):
-            order = np.argsort(words.hash, kind="stable")
+            order = np.lexsort((words.doc, words.hash))
+            again = np.zeros(len(order), bool)
+            again[1:] = (words.hash[order][1:] == words.hash[order][:-1]) & (words.doc[order][1:] == words.doc[order][:-1])
+            order = order[~again]
             h = words.hash[order]
             if not len(h):
                 continue
@@ -95,9 +98,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _odds(n1: np.ndarray, n0: np.ndarray, a1: np.ndarray, a0: np.ndarray, total1: float, total0: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds under Dirichlet priors a1 and a0, and their z-scores."""
+    a1, a0 = np.clip(a1, 0.05, 0.5), np.clip(a0, 0.05, 0.5)
     p1, p0 = (n1 + a1) / (total1 + PRIOR), (n0 + a0) / (total0 + PRIOR)
     score = np.log(p1) - np.log(p0)
-    return score, score / np.sqrt(1 / (n1 + a1) + 1 / (n0 + a0))
+    return score, score / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -149,11 +153,11 @@ def passages(words: tokens.Words, model: Model) -> list[list[tuple[int, int, flo
 
 
 def statistic(segments: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """Summed surprise of the significant segments, else of the best one, else that of a score of 0."""
-    if not segments:
-        return -float(np.log(model.scale * max(n, 1)))
+    """Summed surprise of the significant segments, else of the best one, else that of a score of 0, as its arsinh."""
     strong = [x for _, _, x in segments if x > -np.log(SIGNIFICANT)]
-    return float(sum(strong) if strong else max(x for _, _, x in segments))
+    if strong:
+        return float(np.arcsinh(sum(strong)))
+    return float(np.arcsinh(max(x for _, _, x in segments) if segments else -np.log(model.scale * max(n, 1))))
 
 
 def _statistics(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -191,16 +195,26 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """(bias, slope) of a logistic curve on binned counts, by damped Newton steps with a light ridge."""
-    w, mean, spread = np.zeros(2), x.mean(), x.std() or 1.0
-    z = np.stack([np.ones(len(x)), (x - mean) / spread], axis=1)
+def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(bias, slope) of a logistic curve on binned counts: Newton steps, halved until the loss falls, with a light ridge."""
     n = positive + negative
+    mean = (n * x).sum() / n.sum()
+    spread = np.sqrt((n * (x - mean) ** 2).sum() / n.sum()) or 1.0
+    z, w = np.stack([np.ones(len(x)), (x - mean) / spread], axis=1), np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float((n * np.logaddexp(0, t) - positive * t).sum() + 0.005 * (w @ w))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         gradient = z.T @ (n * p - positive) + 0.01 * w
         hessian = (z * (n * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+        step = np.linalg.solve(hessian, gradient)
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-7:
+            break
     return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
 
 
@@ -210,6 +224,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = common.settle(
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of("doc_id", FOLDS) != 0))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    # one document of each text: copies of one text are no further evidence
+    marked = docs.select("doc_id", F.xxhash64("text").alias("h")).join(common.small(known), "doc_id")
+    known = common.settle(marked.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
     train = docs.join(common.small(known), "doc_id").select("text", "toxic")
     counts = common.settle(train.mapInArrow(_count, "token long, stem long, n1 long, n0 long")
                            .groupBy("token", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
@@ -222,17 +239,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     by_stem = common.settle(counts.where("stem <> 0").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("size")))
     rows = by_stem.where(often).toPandas()
     n1, n0 = rows["n1"].to_numpy(float), rows["n0"].to_numpy(float)
-    even1 = np.full(len(rows), PRIOR / 1e4)
-    s_score, z = _odds(n1, n0, even1, even1, total1, total0)
+    none = np.zeros(len(rows))
+    s_score, z = _odds(n1, n0, none, none, total1, total0)
     keep = (z > MIN_Z) & (s_score > 0)
     stem, s_score = rows["stem"].to_numpy(np.int64).view(_U)[keep], s_score[keep]
     words = counts.where(often).join(
         by_stem.select("stem", F.col("n1").alias("s1"), F.col("n0").alias("s0"), "size"), "stem", "left").toPandas()
     t1, t0 = words["n1"].to_numpy(float), words["n0"].to_numpy(float)
     size = words["size"].fillna(1).to_numpy(float)
-    a1 = PRIOR * (words["s1"].fillna(0).to_numpy(float) / total1 + 1e-4) / size
-    a0 = PRIOR * (words["s0"].fillna(0).to_numpy(float) / total0 + 1e-4) / size
-    t_score, z = _odds(t1, t0, np.minimum(a1, 0.5), np.minimum(a0, 0.5), total1, total0)
+    a1 = SPREAD * words["s1"].fillna(0).to_numpy(float) / size
+    a0 = SPREAD * words["s0"].fillna(0).to_numpy(float) / size
+    t_score, z = _odds(t1, t0, a1, a0, total1, total0)
     pick = np.abs(z) > MIN_Z
     token, t_score, t1, t0 = words["token"].to_numpy(np.int64).view(_U)[pick], t_score[pick], t1[pick], t0[pick]
     up = t_score > 0
