@@ -107,7 +107,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     rows = common.settle(base.where(some).select("row").distinct())
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(common.small(rows), "row", "left_semi")
     # entities never span lines, so a line on its own shows the same ones
-    values = F.array_distinct(F.flatten(F.array(*(F.transform(base_spans(F.col("line"), k), lambda m, k=k: F.concat(F.lit(k + ":"), m["value"])) for k in KINDS))))
+    def named(kind: str) -> Column:
+        return F.transform(base_spans(F.col("line"), kind), lambda m: F.concat(F.lit(f"{kind}:"), m["value"]))
+    values = F.array_distinct(F.flatten(F.array(*map(named, KINDS))))
     contexts = (
         texts.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("|".join(HINTS.values())))
         .withColumn("entities", values).where(F.size("entities") > 0)
@@ -172,8 +174,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
-    parts = [F.transform(F.col(k), lambda m, k=k: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*parts), ",")
+    def part(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda m: F.concat_ws(":", F.lit(kind), m["start"].cast("string"), m["end"].cast("string")))
+    return F.array_join(F.concat(*map(part, kinds)), ",")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -188,7 +191,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with base spans and disclosing terms replaced by their kind, or removed; null text stays."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     found = find_personal_data(docs).drop("doc_id").dropDuplicates(["row"])
-    swaps = [F.transform(F.col(k), lambda m, k=k: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put"))) for k in KINDS]
+
+    def swap(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))
+    swaps = [swap(k) for k in KINDS]
     swaps.append(F.transform("term", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"),
                                                          F.when(m["share"] >= REMOVE, "").otherwise("[TERM]").alias("put"))))
     walked = F.aggregate(

@@ -138,7 +138,10 @@ def token_scores(words: tokens.Words, model: Model) -> np.ndarray:
 
 
 def passages(words: tokens.Words, model: Model) -> list[list[tuple[int, int, float]]]:
-    """Per document its maximal segments (first token, end, surprise), surprise = lambda S - log(K n)."""
+    """Per document its maximal segments (first token, end, surprise).
+
+    Surprise is -log of the extreme-value chance 1 - exp(-K n exp(-lambda S)) of a segment that good in n clean tokens.
+    """
     scores = token_scores(words, model)
     found = []
     positive = np.add.reduceat(np.append(scores > 0, False).astype(int), np.minimum(words.first[:-1], len(scores))) if words.docs else []
@@ -148,16 +151,18 @@ def passages(words: tokens.Words, model: Model) -> list[list[tuple[int, int, flo
             found.append([])
             continue
         chance = np.log(model.scale * n)
-        found.append([(a, b, model.decay * s - chance) for a, b, s in maximal_segments(scores[words.first[d]: words.first[d] + n])])
+        best = maximal_segments(scores[words.first[d]: words.first[d] + n])
+        expected = np.exp(chance - model.decay * np.array([s for *_, s in best]))
+        # for tiny expectations the chance is the expectation itself
+        surprise = np.where(expected < 1e-9, model.decay * np.array([s for *_, s in best]) - chance, -np.log(-np.expm1(-np.maximum(expected, 1e-9))))
+        found.append([(a, b, float(x)) for (a, b, _), x in zip(best, surprise)])
     return found
 
 
-def statistic(segments: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """Summed surprise of the significant segments, else of the best one, else that of a score of 0, as its arsinh."""
+def statistic(segments: list[tuple[int, int, float]]) -> float:
+    """Summed surprise of the significant segments, else of the best one, else 0; as its arsinh."""
     strong = [x for _, _, x in segments if x > -np.log(SIGNIFICANT)]
-    if strong:
-        return float(np.arcsinh(sum(strong)))
-    return float(np.arcsinh(max(x for _, _, x in segments) if segments else -np.log(model.scale * max(n, 1))))
+    return float(np.arcsinh(sum(strong) if strong else max((x for _, _, x in segments), default=0.0)))
 
 
 def _statistics(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -169,7 +174,7 @@ def _statistics(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for _, words in tokens.pieces(batch.column(0), space=tokens.PUNCTUATION):
                 for d, segments in enumerate(passages(words, model)):
                     n = int(words.count[d])
-                    bins.append(int(np.floor(statistic(segments, n, model) / BIN)))
+                    bins.append(int(np.floor(statistic(segments) / BIN)))
                     best.append(int(bool(segments)))
                     size.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(label, pa.int32()), pa.array(best, pa.int64()), pa.array(size, pa.int64())],
@@ -184,7 +189,7 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             score, count, spans = [], [], []
             for _, words in tokens.pieces(batch.column(1), space=tokens.PUNCTUATION):
                 for d, segments in enumerate(passages(words, model)):
-                    x = statistic(segments, int(words.count[d]), model)
+                    x = statistic(segments)
                     score.append(float(1 / (1 + np.exp(-np.clip(model.bias + model.slope * x, -500, 500)))))
                     strong = [(a, b) for a, b, s in segments if s > -np.log(SIGNIFICANT)]
                     count.append(len(strong))

@@ -57,7 +57,7 @@ def corpus():
     rows = []
     for i in range(12):
         rows.append((i, f"filler text number n{i}\nwrite to (Zorblatt), at z@x.org about thing{i}\nthe end of it{i}", ""))
-    rows += [(100 + i, f"the filler about nothing at all {i} " + "some more text " * 20, "") for i in range(60)]
+    rows += [(100 + i, f"the filler about nothing at all {i} " + "some more text " * 200, "") for i in range(60)]
     rows += [(300, "Zorblatt alone", ""), (301, "zorblatt's z@x.org zorblatt", "")]
     return rows
 
