@@ -11,7 +11,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,8 +29,6 @@ def main() -> None:
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
                              "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024)})
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="growthlens-bench-"))
 
     queries = all_queries()
     names = only or sorted(queries)

@@ -31,6 +31,9 @@ ROLE_CANDIDATES = {
 # accepted text layouts of a timestamp string, tried after a plain cast
 TS_FORMATS = ("yyyy-MM-dd HH", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
+# first number of a price text
+PRICE_PATTERN = r"(\d+(\.\d+)?)"
+
 # category aliases of the catalog importer
 CATEGORY_ALIASES = {"3c": "Electronics", "3C": "Electronics", "electronics": "Electronics"}
 
@@ -166,21 +169,29 @@ def as_date_column(value) -> Column:
 # ---------------------------------------------------------------------------
 # action codes
 # ---------------------------------------------------------------------------
-def int_or_null(c: Column) -> Column:
-    """Integer value of integer-looking text, else NULL.
+def _whole_number(c: Column, kind: str) -> Column:
+    """Number text as a whole number, as a SQL cast reads it; NULL for other text or out of range.
 
-    Only text matching an integer pattern reaches the cast: a failing cast
-    inside a conditional takes Spark's exception path (microseconds per
-    row), which a pattern check avoids.
+    Decimal notation ("1.0", "12.5") is accepted and rounded half away from
+    zero.  Only text matching the pattern reaches the cast: a failing cast
+    inside a conditional takes Spark's exception path (microseconds per row),
+    which a pattern check avoids.
     """
-    s = c.cast("string")
-    return F.when(s.rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.trim(s).try_cast("int"))
+    s = F.trim(c.cast("string"))
+    plain = s.rlike(r"^[+-]?[0-9]{1,18}$")
+    decimal = s.rlike(r"^[+-]?([0-9]{1,18}\.[0-9]{0,18}|\.[0-9]{1,18})$")
+    return F.when(plain, s.try_cast(kind)).when(
+        decimal, F.round(s.try_cast("decimal(38,18)"), 0).cast("decimal(20,0)").try_cast(kind))
+
+
+def int_or_null(c: Column) -> Column:
+    """Integer value of number text, else NULL."""
+    return _whole_number(c, "int")
 
 
 def long_or_null(c: Column) -> Column:
-    """Long value of integer-looking text, else NULL (see ``int_or_null``)."""
-    s = c.cast("string")
-    return F.when(s.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$"), F.trim(s).try_cast("bigint"))
+    """Long value of number text, else NULL."""
+    return _whole_number(c, "bigint")
 
 
 def _code_map() -> Column:
@@ -221,7 +232,7 @@ def is_buy(c: Column) -> Column:
 def parse_price(c: Column) -> Column:
     """Commas removed, first ``\\d+(\\.\\d+)?`` taken as a double; NULL if none."""
     cleaned = F.regexp_replace(c.cast("string"), ",", "")
-    found = F.regexp_extract(cleaned, r"(\d+(\.\d+)?)", 1)
+    found = F.regexp_extract(cleaned, PRICE_PATTERN, 1)
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
@@ -278,41 +289,49 @@ def fetch_scalar(df: DataFrame):
     return None if row is None else row[0]
 
 
-def first_rows_by(df: DataFrame, order_col: str, n: int, topn_max: int = 1_000_000,
-                  buckets: int = 65536) -> DataFrame:
-    """The ``n`` rows with the smallest ``order_col`` (unique, integral; e.g. a line number).
+def _cutoff(df: DataFrame, key: Column, n: int, buckets: int = 4096):
+    """(value of the n-th smallest ``key``, rows still wanted at that value), or None if there are fewer rows.
 
-    Small ``n`` is a top-N (per-partition heaps of n rows).  Large ``n`` finds
-    the cutoff value instead: a histogram of at most ``buckets`` value ranges
-    (a bounded fetch) locates the range holding the n-th row, the search
-    narrows inside it until the rest fits a top-N, and the result is a plain
-    filter ``order_col <= cutoff`` that every task applies to its own rows.
+    A histogram over at most ``buckets`` equal value ranges (a bounded fetch)
+    locates the range that holds the n-th row; the search goes on inside it
+    until the range is a single value.
     """
-    n = int(n)
-    if n <= topn_max:
-        return df.orderBy(order_col).limit(n)
-    key = F.col(order_col)
-    lo_hi = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    lo, hi, total = lo_hi[0], lo_hi[1], lo_hi[2]
+    lo, hi, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
     if total is None or total <= n:
-        return df
-    need = n
-    while True:
-        width = max(1, -(-(hi - lo + 1) // buckets))
-        part = df.where((key >= lo) & (key <= hi))
-        hist = sorted((r[0], r[1]) for r in part.groupBy(
-            F.floor((key - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b")).count().collect())
-        seen = 0
-        for b, c in hist:
-            if seen + c >= need:
+        return None
+    while lo < hi:
+        width = -(-(hi - lo + 1) // buckets)
+        inside = df.where(key.between(F.lit(lo), F.lit(hi)))
+        counts = dict(inside.groupBy(F.floor((key - F.lit(lo)) / F.lit(width)).cast("bigint")).count().collect())
+        for b in sorted(counts):
+            if counts[b] >= n:
+                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
                 break
-            seen += c
-        need -= seen
-        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-        if c <= topn_max or width == 1:
-            inner = df.where((key >= lo) & (key <= hi)).orderBy(order_col).limit(need)
-            cutoff = inner.agg(F.max(key)).first()[0]
-            return df.where(key <= F.lit(cutoff))
+            n -= counts[b]
+    return lo, n
+
+
+def first_rows_by(df: DataFrame, order_col: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_col`` (integral; e.g. a line number).
+
+    One method at every size: find the cutoff value from the order column
+    alone, then every task filters its own rows.  Rows tied at the cutoff are
+    taken by a hash of the whole row; rows equal in that too are repeats of
+    each other.  Rows without an order value come last and are not taken.
+    """
+    n = int(n)
+    key = F.col(order_col).cast("bigint")
+    tie = F.shiftright(F.xxhash64(*df.columns), 12)
+    cut = _cutoff(df.select(key.alias("k")), F.col("k"), n)
+    if cut is None:
+        return df.where(key.isNotNull())
+    value, wanted = cut
+    below, at = df.where(key < F.lit(value)), df.where(key == F.lit(value))
+    cut = _cutoff(at.select(tie.alias("t")), F.col("t"), wanted)
+    if cut is None:
+        return df.where(key <= F.lit(value))
+    t, wanted = cut
+    return below.unionByName(at.where(tie < F.lit(t))).unionByName(at.where(tie == F.lit(t)).limit(wanted))
 
 
 def project_once(df: DataFrame, keep: Sequence[str], **named: Column) -> DataFrame:

@@ -30,9 +30,9 @@ GMV_STATUSES = ("paid", "pending")
 REFUNDED = "refunded"
 DEFAULT_RULE_RATE = "0.10"
 CVR_ALERT_TITLE = "淘客 %s 转化率偏低"
-CVR_ALERT_TEXT = "过去 7 天 CVR 为 %.2f%%，低于 1%% 阈值"
+CVR_ALERT_TEXT = "过去 {days} 天 CVR 为 %.2f%%，低于 {bound}%% 阈值"
 REFUND_ALERT_TITLE = "商家 %s 退款率异常"
-REFUND_ALERT_TEXT = "过去 7 天退款率为 %.2f%%，超过 15%% 阈值"
+REFUND_ALERT_TEXT = "过去 {days} 天退款率为 %.2f%%，超过 {bound}%% 阈值"
 
 
 # ---------------------------------------------------------------------------
@@ -183,6 +183,11 @@ _ALERT_COLUMNS = ("alert_type", "severity", "entity_type", "entity_id", "metric"
                   "volume", "title", "description", "time_window")
 
 
+def alert_text(template: str, days: int, bound: float) -> str:
+    """A description with the window and threshold that were used."""
+    return template.format(days=days, bound=f"{float(bound):g}")
+
+
 def alert_cvr_drop(orders: DataFrame, clicks: DataFrame, as_of=None,
                    min_clicks: int | None = None, max_cvr: float | None = None,
                    cfg: AlertConfig = AlertConfig()) -> DataFrame:
@@ -211,7 +216,7 @@ def alert_cvr_drop(orders: DataFrame, clicks: DataFrame, as_of=None,
         F.lit("taoke").alias("entity_type"), F.col("taoke_id").alias("entity_id"),
         F.lit("CVR").alias("metric"), cvr.alias("metric_value"), F.col("clicks").alias("volume"),
         F.format_string(CVR_ALERT_TITLE, F.col("taoke_id")).alias("title"),
-        F.format_string(CVR_ALERT_TEXT, F.round(cvr, 2)).alias("description"),
+        F.format_string(alert_text(CVR_ALERT_TEXT, cfg.lookback_days, max_cvr), F.round(cvr, 2)).alias("description"),
         F.lit(f"{cfg.lookback_days}d").alias("time_window"))
 
 
@@ -233,7 +238,7 @@ def alert_refund_spike(orders: DataFrame, as_of=None, min_orders: int | None = N
         F.lit("退款率").alias("metric"), rate.alias("metric_value"),
         F.col("total_orders").alias("volume"),
         F.format_string(REFUND_ALERT_TITLE, F.col("merchant_id")).alias("title"),
-        F.format_string(REFUND_ALERT_TEXT, F.round(rate, 2)).alias("description"),
+        F.format_string(alert_text(REFUND_ALERT_TEXT, cfg.lookback_days, max_rate), F.round(rate, 2)).alias("description"),
         F.lit(f"{cfg.lookback_days}d").alias("time_window"))
 
 

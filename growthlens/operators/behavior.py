@@ -30,7 +30,6 @@ from growthlens.functions.columns import (
 # Fixed values of the analysed application
 # ---------------------------------------------------------------------------
 SEGMENTS = ("new", "active", "warm", "dormant")
-SEGMENT_EXPORT_MAX = 200000
 
 # journey steps: key, from, to, title, tag, detail, default segment, message type
 JOURNEY_STEPS = (
@@ -90,6 +89,17 @@ def behavior_events(behavior: DataFrame, roles: dict | None = None) -> DataFrame
     return behavior.select(*cols)
 
 
+def user_day_rollup(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+    """(user_id, d, first_buy, last_buy) per user and day (NULL day: unreadable times), combined map-side.
+
+    Serves distinct users, D1 retention, repurchase and the lifecycle, so one
+    pass over the log is enough for all of them.
+    """
+    ev = behavior_events(behavior, roles)
+    bought = F.when(is_buy(F.col("action")), F.col("ts")) if "action" in ev.columns else F.lit(None).cast("timestamp_ntz")
+    return ev.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min(bought).alias("first_buy"), F.max(bought).alias("last_buy"))
+
+
 def _user_days(behavior: DataFrame, roles: dict | None) -> DataFrame:
     ev = behavior_events(behavior, roles)
     return ev.where(F.col("ts").isNotNull()).select("user_id", F.to_date("ts").alias("d"))
@@ -102,12 +112,13 @@ def behavior_overview(behavior: DataFrame, funnel: DataFrame | None = None,
                       roles: dict | None = None) -> DataFrame:
     """One row: log rows, exact distinct users and items, funnel-table rows."""
     r = resolve_columns(behavior, roles, required=())
-    aggs = [F.count(F.lit(1)).alias("user_behavior_rows")]
-    aggs.append(F.count_distinct(F.col(r["user"])).alias("distinct_users") if "user" in r
-                else F.lit(None).cast("bigint").alias("distinct_users"))
-    aggs.append(F.count_distinct(F.col(r["item"])).alias("distinct_items") if "item" in r
-                else F.lit(None).cast("bigint").alias("distinct_items"))
-    out = behavior.agg(*aggs)
+    keys = [F.col(r[k]).alias(k) for k in ("user", "item") if k in r]
+    # each (user, item) once, combined map-side; both distinct counts come from this rollup
+    pairs = behavior.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    out = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("user_behavior_rows"))
+    for k in ("user", "item"):
+        number = pairs.groupBy(k).agg(F.lit(1).alias("one")).select(F.count(k)).scalar() if k in r else F.lit(None).cast("bigint")
+        out = out.withColumn(f"distinct_{k}s", number)
     funnel_rows = funnel.select(F.count(F.lit(1))).scalar() if funnel is not None \
         else F.lit(0).cast("bigint")
     return out.withColumn("item_funnel_features_rows", funnel_rows)
@@ -149,35 +160,31 @@ def journey_rates(behavior: DataFrame, roles: dict | None = None,
 # ---------------------------------------------------------------------------
 # #20 / #21 next-day retention
 # ---------------------------------------------------------------------------
-def d1_retention_by_day(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def d1_retention_by_day(behavior: DataFrame, roles: dict | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Per day: active users, users also active the next day, and the rate.
 
-    Each event marks its (user, day) as present and (user, day-1) as "seen the
-    next day"; one aggregation on (user, day) -- combined map-side -- joins the
-    two marks without a self join, then days are counted.
+    Each user's set of active days (combined map-side, bounded by the days of
+    the log) tells which of them were followed by another; then days are
+    counted.  ``rollup`` may be a built ``user_day_rollup``.
     """
-    days = _user_days(behavior, roles)
-    marks = days.select(
-        "user_id",
-        F.inline(F.array(
-            F.struct(F.col("d").alias("d"), F.lit(1).alias("cur"), F.lit(0).alias("nxt")),
-            F.struct(F.date_sub("d", 1).alias("d"), F.lit(0).alias("cur"), F.lit(1).alias("nxt")))))
-    per_user_day = marks.groupBy("user_id", "d").agg(F.max("cur").alias("cur"),
-                                                     F.max("nxt").alias("nxt"))
-    by_day = per_user_day.where(F.col("cur") == 1).groupBy("d").agg(
+    days = _user_days(behavior, roles) if rollup is None else rollup.where("d is not null").select("user_id", "d")
+    sets = days.groupBy("user_id").agg(F.collect_set("d").alias("days"))
+    each = sets.select(F.explode("days").alias("d"), "days").select(
+        "d", F.array_contains("days", F.date_add("d", 1)).cast("int").alias("nxt"))
+    by_day = each.groupBy("d").agg(
         F.count(F.lit(1)).alias("active_users"),
         F.sum("nxt").cast("bigint").alias("retained_users"))
     return by_day.select(F.col("d").alias("day"), "active_users", "retained_users",
                          ratio_or_null(F.col("retained_users"), F.col("active_users")).alias("rate"))
 
 
-def d1_retention_latest(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def d1_retention_latest(behavior: DataFrame, roles: dict | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """The latest day strictly before the last day (rate 0 after a gap day).
 
     The last active day is the newest row of the per-day table, so the two
     newest days (a bounded top-2) decide it without another pass.
     """
-    top2 = d1_retention_by_day(behavior, roles).orderBy(F.col("day").desc()).limit(2)
+    top2 = d1_retention_by_day(behavior, roles, rollup).orderBy(F.col("day").desc()).limit(2)
     newest = F.max("day").over(Window.partitionBy())   # over at most two rows
     return top2.withColumn("_newest", newest).where(F.col("day") < F.col("_newest")).drop("_newest")
 
@@ -185,49 +192,50 @@ def d1_retention_latest(behavior: DataFrame, roles: dict | None = None) -> DataF
 # ---------------------------------------------------------------------------
 # #22 seven-day repurchase
 # ---------------------------------------------------------------------------
-def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7) -> DataFrame:
+def repurchase_7d(behavior: DataFrame, roles: dict | None = None, days: int = 7, rollup: DataFrame | None = None) -> DataFrame:
     """Buyers, buyers with another buy in (first, first + 7 days], and the rate.
 
-    First buys come from a map-side combined aggregate.  The range check is an
-    equi-join on user with the buys streamed and the one-row-per-buyer side
-    buffered, so a hot buyer's rows can be split by adaptive skew handling;
-    matches collapse to one row per user and join back to the (identically
-    partitioned) first buys for both counts in one aggregate.
+    No join: buys collapse map-side to the first and last of each user and day,
+    so a hot buyer costs one row per day.  A buyer repeats if the first buying
+    day holds a later buy, or if the next buying day starts in time.
     """
-    ev = behavior_events(behavior, roles)
-    buys = ev.where(F.col("ts").isNotNull() & is_buy(F.col("action"))).select("user_id", "ts")
-    first = buys.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-    repeat = (buys.join(first, "user_id")
-              .where((F.col("ts") > F.col("first_ts")) &
-                     (F.col("ts") <= F.timestamp_add("DAY", F.lit(days), F.col("first_ts"))))
-              .groupBy("user_id").agg(F.lit(1).alias("repeat")))
-    flagged = first.join(repeat, "user_id", "left")
-    # counting first_ts (never NULL) keeps the first-buy aggregate itself in the
-    # plan, so both uses of it share one stage
-    out = flagged.agg(F.count("first_ts").alias("buyers"),
-                      F.count("repeat").alias("repurchasers_7d"))
+    if rollup is None:
+        ev = behavior_events(behavior, roles)
+        buys = ev.where(F.col("ts").isNotNull() & is_buy(F.col("action")))
+        per_day = buys.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("ts").alias("first_buy"), F.max("ts").alias("last_buy"))
+    else:
+        per_day = rollup.where("first_buy is not null and user_id is not null")
+    two = per_day.where("user_id is not null").groupBy("user_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("first_buy", "last_buy"))), 1, 2).alias("t"))
+    first, second = F.col("t")[0], F.try_element_at("t", F.lit(2))
+    until = F.timestamp_add("DAY", F.lit(days), first["first_buy"])
+    repeat = ((first["last_buy"] > first["first_buy"]) & (F.lit(days) > 0)) | F.coalesce(second["first_buy"] <= until, F.lit(False))
+    out = two.agg(F.count(F.lit(1)).alias("buyers"), F.count_if(repeat).alias("repurchasers_7d"))
     return out.withColumn("rate", ratio_or_null(F.col("repurchasers_7d"), F.col("buyers")))
 
 
 # ---------------------------------------------------------------------------
 # #23 - #27 lifecycle
 # ---------------------------------------------------------------------------
-def user_lifecycle(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def user_lifecycle(behavior: DataFrame, roles: dict | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Per user active in the 30 days up to the anchor (= last active day): segment.
 
     The anchor is fetched once as a literal, so the 30-day bound reaches the
     file scan; distinct (user, day) pairs are combined map-side before the
     per-user aggregation, so a hot user costs at most one row per day.
     """
-    ev = behavior_events(behavior, roles)
+    ev = behavior_events(behavior, roles) if rollup is None else rollup
     # newest event time, then its calendar day (= max of the event days)
-    newest = fetch_scalar(ev.select(F.max("ts")))
+    newest = fetch_scalar(ev.select(F.max("ts" if rollup is None else "d")))
     anchor_day = newest.date() if isinstance(newest, _dt.datetime) else newest
     anchor = F.lit(anchor_day).cast("date")
-    # the window bound on the raw time column reaches the file scan as a pushed filter
-    since = ntz_literal(anchor_day - _dt.timedelta(days=30) if anchor_day else None)
-    pairs = (ev.where(F.col("ts").isNotNull() & (F.col("ts") >= since))
-             .select("user_id", F.to_date("ts").alias("d")).distinct())
+    start = anchor_day - _dt.timedelta(days=30) if anchor_day else None
+    if rollup is None:
+        # the window bound on the raw time column reaches the file scan as a pushed filter
+        pairs = (ev.where(F.col("ts").isNotNull() & (F.col("ts") >= ntz_literal(start)))
+                 .select("user_id", F.to_date("ts").alias("d")).distinct())
+    else:
+        pairs = ev.where(F.col("d") >= F.lit(start).cast("date")).select("user_id", "d")
     agg = pairs.groupBy("user_id").agg(
         F.min("d").alias("first_day"), F.max("d").alias("last_day"),
         F.sum(F.when(F.col("d") >= F.date_sub(anchor, 7), 1).otherwise(0)).cast("bigint").alias("days_7d"),
@@ -241,9 +249,9 @@ def user_lifecycle(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
                       segment.alias("segment"), anchor.alias("anchor_day"))
 
 
-def lifecycle_segments(behavior: DataFrame, roles: dict | None = None) -> DataFrame:
+def lifecycle_segments(behavior: DataFrame, roles: dict | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Users, share of all users and mean active days per segment."""
-    stat = user_lifecycle(behavior, roles).groupBy("segment").agg(
+    stat = user_lifecycle(behavior, roles, rollup).groupBy("segment").agg(
         F.count(F.lit(1)).alias("users"),
         F.avg("active_days_30d").alias("avg_actions"),
         F.max("anchor_day").alias("anchor_day"))
@@ -282,17 +290,11 @@ def normalize_segment(segment: str | None) -> str:
     return seg if seg in SEGMENTS else "warm"
 
 
-def segment_users(behavior: DataFrame, segment: str = "warm", limit: int = 20000,
+def segment_users(behavior: DataFrame, segment: str = "warm", limit: int | None = None,
                   roles: dict | None = None) -> DataFrame:
-    """User ids of one segment (unknown names mean ``warm``), export-capped.
-
-    The cap (clamped to 1..200000) is the export feature; ids are ordered so
-    the exported subset is deterministic.
-    """
-    seg = normalize_segment(segment)
-    n = max(1, min(int(limit), SEGMENT_EXPORT_MAX))
-    return (user_lifecycle(behavior, roles).where(F.col("segment") == seg)
-            .select("user_id").orderBy("user_id").limit(n))
+    """User ids of one segment (unknown names mean ``warm``); all of them, or the ``limit`` smallest ids."""
+    users = user_lifecycle(behavior, roles).where(F.col("segment") == normalize_segment(segment)).select("user_id")
+    return users if limit is None else users.orderBy("user_id").limit(max(1, int(limit)))
 
 
 def campaign_audience(behavior: DataFrame, roles: dict | None = None) -> DataFrame:

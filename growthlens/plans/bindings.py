@@ -15,31 +15,30 @@ from pyspark.sql import functions as F
 from growthlens.functions.columns import epoch_millis, fetch_scalar, ntz_literal
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+#: added to a part key for items that no review names
+UNREVIEWED = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of a test-data folder.
+    """The parquet table ``name`` of a test-data folder."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
-    The lazy handle is kept per session and path, so its file listing and
-    footer schema are read once rather than for every query that uses it.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+
+def _size(spark, sf_dir, name: str) -> int:
+    """Rows of a key table (parquet footers only); keys of other tables are mapped onto them."""
+    return max(1, table(spark, sf_dir, name).count())
 
 
 def _action_case(c: Column) -> Column:
+    """Known events by name; any other event keeps its own, unmapped, name."""
     return (F.when(c == "view", "pv").when(c == "click", "fav")
-            .when(c == "signup", "cart").when(c == "purchase", "buy"))
+            .when(c == "signup", "cart").when(c == "purchase", "buy").otherwise(c))
 
 
-def _item_of(props: Column) -> Column:
-    return F.regexp_extract(props, r"([0-9]+)", 1).cast("bigint") % 10
+def _item_of() -> Column:
+    """Ten items for each fifty users, so that items grow with the log while users still meet an item again."""
+    group = F.floor(F.col("user_id") / 50).cast("bigint")
+    return group * 10 + F.regexp_extract("props", r"([0-9]+)", 1).cast("bigint") % 10
 
 
 # ---------------------------------------------------------------------------
@@ -47,16 +46,16 @@ def _item_of(props: Column) -> Column:
 # ---------------------------------------------------------------------------
 def behavior(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.where(F.col("event_type") != "error").select(
+    return ev.select(
         (F.col("user_id") * 20 + F.col("event_id") % 20).alias("user_id"),
-        _item_of(F.col("props")).alias("item_id"),
+        _item_of().alias("item_id"),
         _action_case(F.col("event_type")).alias("action"), "ts")
 
 
 def behavior_dense(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.where(F.col("event_type") != "error").select(
-        "user_id", _item_of(F.col("props")).alias("item_id"),
+    return ev.select(
+        "user_id", _item_of().alias("item_id"),
         _action_case(F.col("event_type")).alias("action"), "ts")
 
 
@@ -68,10 +67,10 @@ def behavior_sparse(spark, sf_dir) -> DataFrame:
     et, eid = F.col("event_type"), F.col("event_id")
     action = (F.when(et == "view", "pv").when(et == "click", "fav")
               .when(et == "signup", F.when(eid % 25 == 0, "cart").otherwise("pv"))
-              .when(et == "purchase", F.when(eid % 20 == 0, "buy").otherwise("fav")))
-    return ev.where(et != "error").select(
+              .when(et == "purchase", F.when(eid % 20 == 0, "buy").otherwise("fav")).otherwise(et))
+    return ev.select(
         (F.col("user_id") * 20 + eid % 20).alias("user_id"),
-        _item_of(F.col("props")).alias("item_id"), action.alias("action"), "ts")
+        _item_of().alias("item_id"), action.alias("action"), "ts")
 
 
 def behavior_raw(spark, sf_dir) -> DataFrame:
@@ -80,14 +79,14 @@ def behavior_raw(spark, sf_dir) -> DataFrame:
     code = (F.when(et == "view", "1").when(et == "click", "2").when(et == "signup", "3")
             .when(et == "purchase", "4").otherwise("9"))
     btype = (F.when(eid % 3 == 0, code)
-             .when(eid % 3 == 1, F.upper(F.coalesce(_action_case(et), F.lit("other"))))
+             .when(eid % 3 == 1, F.upper(_action_case(et)))
              .otherwise(_action_case(et)))
     ts_text = F.col("ts").cast("string")
     time = (F.when(eid % 4 == 0, F.substring(ts_text, 1, 13))
             .when(eid % 4 == 1, F.substring(ts_text, 1, 19))
             .when(eid % 4 == 2, F.substring(ts_text, 1, 10)).otherwise(F.lit("bad")))
     return ev.select(
-        "user_id", _item_of(F.col("props")).alias("item_id"), btype.alias("behavior_type"),
+        "user_id", _item_of().alias("item_id"), btype.alias("behavior_type"),
         F.when(eid % 2 == 0, F.lit("")).otherwise(F.lit("g")).alias("user_geohash"),
         (eid % 50).cast("string").alias("item_category"), time.alias("time"))
 
@@ -98,8 +97,10 @@ def behavior_raw(spark, sf_dir) -> DataFrame:
 def items(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    return p.select(
-        k.cast("string").alias("parent_asin"), F.col("p_name").alias("title"),
+    # each fifth part a second time under an id that has no reviews
+    ids = F.when(k % 5 == 0, F.array(k, k + UNREVIEWED)).otherwise(F.array(k))
+    return p.select("*", F.explode(ids).alias("_id")).select(
+        F.col("_id").cast("string").alias("parent_asin"), F.col("p_name").alias("title"),
         F.when(k % 17 == 0, F.lit(None)).otherwise((k % 120).cast("double") + 0.99).alias("price"),
         F.when(k % 13 == 0, F.lit(None))
         .otherwise(F.lit(1.0) + (F.col("p_size") % 9).cast("double") / 2).alias("average_rating"),
@@ -109,7 +110,7 @@ def items(spark, sf_dir) -> DataFrame:
 
 def reviews(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_partkey") % 5 != 0).select(
+    return li.select(
         F.col("l_partkey").cast("string").alias("parent_asin"),
         F.col("l_orderkey").cast("string").alias("user_id"),
         ((F.col("l_quantity").cast("int") % 5) + 1).cast("double").alias("rating"),
@@ -121,14 +122,15 @@ def reviews(spark, sf_dir) -> DataFrame:
 # affiliate
 # ---------------------------------------------------------------------------
 def aff_orders(spark, sf_dir) -> DataFrame:
+    """Orders of customers (affiliates) at suppliers (merchants) for parts; each eleventh came without a click."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     status = (F.when(F.col("o_orderstatus") == "F", "paid")
               .when(F.col("o_orderstatus") == "O", "pending").otherwise("refunded"))
     return o.select(
-        k.alias("id"), (F.col("o_custkey") % 3 + 1).alias("taoke_id"),
-        (k % 3 + 1).alias("merchant_id"), (k % 200).alias("product_id"),
-        (k * 8 + 1).alias("click_id"),
+        k.alias("id"), F.col("o_custkey").alias("taoke_id"),
+        (k % _size(spark, sf_dir, "supplier") + 1).alias("merchant_id"), (k % _size(spark, sf_dir, "part") + 1).alias("product_id"),
+        F.when(k % 11 != 0, k * 8 + 1).alias("click_id"),
         F.floor(F.col("o_totalprice") / 100).cast("decimal(10,2)").alias("order_amount"),
         F.floor(F.col("o_totalprice") / 1000).cast("decimal(10,2)").alias("commission_amount"),
         status.alias("status"), F.col("o_orderdate").alias("ordered_at"))
@@ -137,11 +139,10 @@ def aff_orders(spark, sf_dir) -> DataFrame:
 def aff_clicks(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     g = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(
-        F.min("l_partkey").alias("_part"), F.min("l_suppkey").alias("_supp"),
+        F.min("l_partkey").alias("_part"), F.min("l_suppkey").alias("merchant_id"),
         F.min("l_shipdate").alias("clicked_at"))
-    return g.select("id", (F.col("_part") % 3 + 1).alias("taoke_id"),
-                    F.col("_part").alias("content_id"), (F.col("_part") % 200).alias("product_id"),
-                    (F.col("_supp") % 3 + 1).alias("merchant_id"), "clicked_at")
+    return g.select("id", (F.col("_part") % _size(spark, sf_dir, "customer") + 1).alias("taoke_id"),
+                    F.col("_part").alias("content_id"), F.col("_part").alias("product_id"), "merchant_id", "clicked_at")
 
 
 def aff_contents(spark, sf_dir, last_order=None) -> DataFrame:
@@ -152,39 +153,43 @@ def aff_contents(spark, sf_dir, last_order=None) -> DataFrame:
         last_order = fetch_scalar(table(spark, sf_dir, "orders").select(F.max("o_orderdate")))
     last = ntz_literal(last_order)
     k = F.col("doc_id")
-    return d.select(k.alias("id"), (k % 3 + 1).alias("taoke_id"), (k % 3 + 1).alias("merchant_id"),
+    return d.select(k.alias("id"), (k % _size(spark, sf_dir, "customer") + 1).alias("taoke_id"),
+                    (k % _size(spark, sf_dir, "supplier") + 1).alias("merchant_id"),
                     F.col("source").alias("content_type"),
                     F.timestamp_add("DAY", -(k % 40), last).alias("created_at"))
 
 
 def aff_rules(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    return o.where(k % 10 < 7).select(
-        k.alias("id"), (k % 3 + 1).alias("merchant_id"), (k % 200).alias("product_id"),
-        (F.col("o_custkey") % 3 + 1).alias("taoke_id"),
-        ((k % 20 + 5) / F.lit(100.0)).cast("decimal(5,4)").alias("commission_rate"),
-        F.col("o_orderdate").cast("date").alias("effective_from"))
+    """A commission rule for the keys of every order that has an even key, several for some keys."""
+    o = aff_orders(spark, sf_dir)
+    return o.select(
+        "id", "merchant_id", F.when(F.col("id") % 2 == 0, F.col("product_id")).otherwise(F.col("product_id") + 1).alias("product_id"), "taoke_id",
+        ((F.col("id") % 20 + 5) / F.lit(100.0)).cast("decimal(5,4)").alias("commission_rate"),
+        F.col("ordered_at").cast("date").alias("effective_from"))
 
 
 def aff_products(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_partkey") < 200).select(
-        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 + 1).alias("merchant_id"),
-        F.col("p_name").alias("name"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % _size(spark, sf_dir, "supplier") + 1).alias("merchant_id"),
+                    F.col("p_name").alias("name"))
 
 
 def aff_content_products(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("content_id"),
-                    (F.col("p_partkey") % 200).alias("product_id"))
+    """Each content shows two parts."""
+    d = table(spark, sf_dir, "documents")
+    parts = _size(spark, sf_dir, "part")
+    both = F.explode(F.array(F.col("doc_id") % parts + 1, (F.col("doc_id") * 7 + 2) % parts + 1))
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("content_id"), both.alias("product_id"))
+
 
+def taoke_dim(spark, sf_dir) -> DataFrame:
+    """Affiliates: all customers."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
-def entity_dim(spark, sf_dir) -> DataFrame:
-    """Affiliates / merchants 1..3 plus an id (4) with no activity."""
-    n = table(spark, sf_dir, "nation")
-    return n.where(F.col("n_nationkey").between(1, 4)).select(
-        F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
+
+def merchant_dim(spark, sf_dir) -> DataFrame:
+    """Merchants: all suppliers."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
 
 def last_order_time(spark, sf_dir):
@@ -211,27 +216,27 @@ def catalog_as_of(spark, sf_dir):
 # DuckDB common-table expressions (same meaning as the builders above)
 # ---------------------------------------------------------------------------
 _ACTION_CASE = ("CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav' "
-                "WHEN 'signup' THEN 'cart' WHEN 'purchase' THEN 'buy' END")
+                "WHEN 'signup' THEN 'cart' WHEN 'purchase' THEN 'buy' ELSE event_type END")
 
 CTES: dict[str, str] = {
     "behavior": f"""SELECT user_id*20 + event_id%20 AS user_id,
-       CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        {_ACTION_CASE} AS action, ts
-FROM events WHERE event_type <> 'error'""",
+FROM events""",
     "behavior_dense": f"""SELECT user_id,
-       CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        {_ACTION_CASE} AS action, ts
-FROM events WHERE event_type <> 'error'""",
+FROM events""",
     "behavior_sparse": """SELECT user_id*20 + event_id%20 AS user_id,
-       CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav'
             WHEN 'signup' THEN CASE WHEN event_id%25=0 THEN 'cart' ELSE 'pv' END
-            WHEN 'purchase' THEN CASE WHEN event_id%20=0 THEN 'buy' ELSE 'fav' END END AS action, ts
-FROM events WHERE event_type <> 'error'""",
-    "behavior_raw": f"""SELECT user_id, CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+            WHEN 'purchase' THEN CASE WHEN event_id%20=0 THEN 'buy' ELSE 'fav' END ELSE event_type END AS action, ts
+FROM events""",
+    "behavior_raw": f"""SELECT user_id, user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
  CASE WHEN event_id%3=0 THEN CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2'
         WHEN 'signup' THEN '3' WHEN 'purchase' THEN '4' ELSE '9' END
-      WHEN event_id%3=1 THEN upper(coalesce({_ACTION_CASE},'other'))
+      WHEN event_id%3=1 THEN upper({_ACTION_CASE})
       ELSE {_ACTION_CASE} END AS behavior_type,
  CASE WHEN event_id%2=0 THEN '' ELSE 'g' END AS user_geohash,
  CAST(event_id%50 AS VARCHAR) AS item_category,
@@ -239,7 +244,8 @@ FROM events WHERE event_type <> 'error'""",
                  WHEN 1 THEN substring(CAST(ts AS VARCHAR),1,19)
                  WHEN 2 THEN substring(CAST(ts AS VARCHAR),1,10) ELSE 'bad' END AS time
 FROM events""",
-    "items": """SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS title,
+    "items": f"""SELECT CAST(unnest(CASE WHEN p_partkey%5=0 THEN [p_partkey, p_partkey+{UNREVIEWED}] ELSE [p_partkey] END) AS VARCHAR)
+   AS parent_asin, p_name AS title,
  CASE WHEN p_partkey%17=0 THEN NULL ELSE CAST(p_partkey%120 AS DOUBLE)+0.99 END AS price,
  CASE WHEN p_partkey%13=0 THEN NULL
       ELSE CAST(1 AS DOUBLE)+CAST(p_size%9 AS DOUBLE)/2 END AS average_rating,
@@ -248,32 +254,32 @@ FROM part""",
     "reviews": """SELECT CAST(l_partkey AS VARCHAR) AS parent_asin, CAST(l_orderkey AS VARCHAR) AS user_id,
        CAST(CAST(l_quantity AS INT)%5+1 AS DOUBLE) AS rating, l_shipdate AS reviewed_at,
        epoch_ms(l_shipdate) AS timestamp_ms
-FROM lineitem WHERE l_partkey%5<>0""",
-    "aff_orders": """SELECT o_orderkey AS id, o_custkey%3+1 AS taoke_id, o_orderkey%3+1 AS merchant_id,
- o_orderkey%200 AS product_id, o_orderkey*8+1 AS click_id,
+FROM lineitem""",
+    "aff_orders": """SELECT o_orderkey AS id, o_custkey AS taoke_id, o_orderkey % (SELECT count(*) FROM supplier) + 1 AS merchant_id,
+ o_orderkey % (SELECT count(*) FROM part) + 1 AS product_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey * 8 + 1 END AS click_id,
  CAST(floor(o_totalprice/100) AS DECIMAL(10,2)) AS order_amount,
  CAST(floor(o_totalprice/1000) AS DECIMAL(10,2)) AS commission_amount,
  CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'refunded' END AS status,
  o_orderdate AS ordered_at
 FROM orders""",
-    "aff_clicks": """SELECT l_orderkey*8+l_linenumber AS id, min(l_partkey)%3+1 AS taoke_id,
- min(l_partkey) AS content_id, min(l_partkey)%200 AS product_id,
- min(l_suppkey)%3+1 AS merchant_id, min(l_shipdate) AS clicked_at
+    "aff_clicks": """SELECT l_orderkey*8+l_linenumber AS id, min(l_partkey) % (SELECT count(*) FROM customer) + 1 AS taoke_id,
+ min(l_partkey) AS content_id, min(l_partkey) AS product_id,
+ min(l_suppkey) AS merchant_id, min(l_shipdate) AS clicked_at
 FROM lineitem GROUP BY l_orderkey*8+l_linenumber""",
-    "aff_contents": """SELECT doc_id AS id, doc_id%3+1 AS taoke_id, doc_id%3+1 AS merchant_id,
- source AS content_type,
+    "aff_contents": """SELECT doc_id AS id, doc_id % (SELECT count(*) FROM customer) + 1 AS taoke_id,
+ doc_id % (SELECT count(*) FROM supplier) + 1 AS merchant_id, source AS content_type,
  (SELECT max(o_orderdate) FROM orders) - (doc_id%40) * INTERVAL '1' DAY AS created_at
 FROM documents""",
-    "aff_rules": """SELECT o_orderkey AS id, o_orderkey%3+1 AS merchant_id, o_orderkey%200 AS product_id,
- o_custkey%3+1 AS taoke_id, CAST((o_orderkey%20+5)/100.0 AS DECIMAL(5,4)) AS commission_rate,
- CAST(o_orderdate AS DATE) AS effective_from
-FROM orders WHERE o_orderkey%10<7""",
-    "aff_products": """SELECT p_partkey AS id, p_partkey%3+1 AS merchant_id, p_name AS name
-FROM part WHERE p_partkey<200""",
-    "aff_content_products": """SELECT p_partkey AS id, p_partkey AS content_id, p_partkey%200 AS product_id
+    "aff_rules": """SELECT id, merchant_id, product_id + id % 2 AS product_id, taoke_id,
+ CAST((id%20+5)/100.0 AS DECIMAL(5,4)) AS commission_rate, CAST(ordered_at AS DATE) AS effective_from
+FROM aff_orders""",
+    "aff_products": """SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) + 1 AS merchant_id, p_name AS name
 FROM part""",
-    "entity_dim": """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name
-FROM nation WHERE n_nationkey BETWEEN 1 AND 4""",
+    "aff_content_products": """SELECT doc_id AS id, doc_id AS content_id,
+ unnest([doc_id, doc_id * 7 + 2]) % (SELECT count(*) FROM part) + 1 AS product_id
+FROM documents""",
+    "taoke_dim": """SELECT c_custkey AS id, c_name AS name FROM customer""",
+    "merchant_dim": """SELECT s_suppkey AS id, s_name AS name FROM supplier""",
     "aff_asof": """SELECT CAST(max(o_orderdate) AS DATE) AS as_of FROM orders""",
 }
 

@@ -1,24 +1,20 @@
 """Merchant dashboard (#68): overview, retention, segments, item lists and advice
 as one tall (section, entity, metric, value, text) frame.
 
-The log-wide numbers (size, distinct users and items, per-action counts) come
-from one aggregate; the other parts are their own aggregations, and frames
-shared between parts (funnel, repurchase, D1) are built once so adaptive
-execution can reuse their stages.  The input is
-re-scanned with column pruning instead of cached: at 100 TB a parquet re-scan
-of four columns is cheaper than materialising the whole log.  ``cache_input``
-persists it (memory, spilling to disk) for small interactive use.
+Three passes over the log: plain totals, the (user, day) rollup, and the
+per-item funnel.  Each is written once to the shared checkpoint folder, far
+smaller than the log, and every part is built on them.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.functions.columns import ACTIONS, action_strict, resolve_columns
 from growthlens.operators import behavior as B
 from growthlens.operators import funnel as FN
+from growthlens.session import settle
 
 _COLS = ("section", "entity", "metric", "value", "text")
 
@@ -39,35 +35,33 @@ def _rows(df: DataFrame, section: str, entity: str | None, metrics: tuple[str, .
 
 
 def merchant_dashboard(behavior: DataFrame, funnel: DataFrame | None = None,
-                       items_limit: int = 20, min_pv: int = 0, roles: dict | None = None,
-                       cache_input: bool = False) -> DataFrame:
-    if cache_input:
-        behavior = behavior.persist(StorageLevel.MEMORY_AND_DISK)
+                       items_limit: int = 20, min_pv: int = 0, roles: dict | None = None) -> DataFrame:
     if funnel is None:
         funnel = FN.item_funnel_loose(FN.user_item_stage(FN.behavior_norm(behavior, roles)))
+    funnel, days = settle(funnel), settle(B.user_day_rollup(behavior, roles))
     parts = []
-    # log size, distinct users / items and per-action counts in one pass
     r = resolve_columns(behavior, roles)
     k = action_strict(F.col(r["action"]))
-    glob = behavior.agg(F.count(F.lit(1)).alias("user_behavior_rows"),
-                        F.count_distinct(F.col(r["user"])).alias("distinct_users"),
-                        F.count_distinct(F.col(r["item"])).alias("distinct_items"),
-                        *[F.count_if(k == F.lit(a)).alias(a) for a in ACTIONS])
-    ov = glob.withColumn("item_funnel_features_rows", funnel.select(F.count(F.lit(1))).scalar())
+    item = F.col(r["item"])
+    # totals and items: each item once, combined map-side
+    per_item = settle(behavior.groupBy(item.alias("item")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(k == F.lit(a)).alias(a) for a in ACTIONS]))
+    glob = per_item.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("user_behavior_rows"), F.count("item").alias("distinct_items"),
+                        *[F.coalesce(F.sum(a), F.lit(0)).cast("bigint").alias(a) for a in ACTIONS])
+    users = days.groupBy("user_id").agg(F.lit(1).alias("one")).select(F.count("user_id")).scalar()
+    ov = glob.withColumn("distinct_users", users).withColumn("item_funnel_features_rows", funnel.select(F.count(F.lit(1))).scalar())
     parts.append(_rows(ov, "overview", None, ("user_behavior_rows", "distinct_users",
                                                "distinct_items", "item_funnel_features_rows")))
     totals = glob.select(*ACTIONS)
     counts = B.behavior_counts(behavior, roles, totals=totals)
     parts.append(_rows(counts, "behavior_counts", "action", ("cnt",)))
-    d1 = B.d1_retention_latest(behavior, roles)
+    d1 = B.d1_retention_latest(behavior, roles, rollup=days)
     parts.append(_rows(d1, "d1_retention", "day", ("active_users", "retained_users", "rate")))
-    rep = B.repurchase_7d(behavior, roles)
+    rep = B.repurchase_7d(behavior, roles, rollup=days)
     parts.append(_rows(rep, "repurchase_7d", None, ("buyers", "repurchasers_7d", "rate")))
-    seg = B.lifecycle_segments(behavior, roles)
+    seg = B.lifecycle_segments(behavior, roles, rollup=days)
     parts.append(_rows(seg, "lifecycle", "segment", ("users", "share", "avg_actions"), ("anchor_day",)))
     item_cols = ("pv", "fav", "cart", "buy", "pv_to_buy_rate")
-    # the funnel feeds the overview count and both item lists: one computation
-    # when the frames share it (adaptive execution reuses identical stages)
     parts.append(_rows(FN.items_top(funnel, items_limit, min_pv), "items_top", "item_id", item_cols))
     parts.append(_rows(FN.items_opportunity(funnel, items_limit, max(50, min_pv)), "items_opportunity",
                        "item_id", item_cols))

@@ -82,13 +82,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         # local runs (tests) only: a private folder on this machine
-        configured = tempfile.mkdtemp(prefix="growthlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="growthlens-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
 
 
+def settle(df):
+    """``df`` written once to the shared checkpoint folder and read from there by everything built on it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)

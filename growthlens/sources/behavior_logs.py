@@ -2,7 +2,7 @@
 
 All readers work on DataFrames (raw text lines with ``value`` / ``line_no``,
 or CSV files already read by ``spark.read.csv``), so files of any size are
-parsed in parallel; only the delimiter sniff looks at a bounded prefix.
+parsed in parallel; header and delimiter follow from the first line.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from growthlens.functions.columns import (
     ACTIONS,
     action_names_or_codes,
     first_rows_by,
+    int_or_null,
+    long_or_null,
     parse_event_ts,
     project_once,
     resolve_columns,
@@ -25,53 +27,47 @@ from growthlens.functions.columns import (
 # ---------------------------------------------------------------------------
 # Fixed values of the analysed application
 # ---------------------------------------------------------------------------
-SNIFF_CHARS = 1024
+HEAD_CHARS = 1024
 CSV_FIELDS = ("user_id", "item_id", "category_id", "behavior", "timestamp")
 MULTI_FILE_COLUMNS = ("user_id", "item_id", "behavior_type", "user_geohash", "item_category", "time")
-ROWS_PER_FILE = 50000
 REBUILD_TS_FORMATS = ("yyyy-MM-dd HH", "yyyy-MM-dd HH:mm:ss")
 
 
-SNIFF_LINES = 64
+def _head(lines: DataFrame) -> tuple[Column, Column]:
+    """(comma-delimited?, line number) of the first line, over the whole input."""
+    first = lines.agg(F.min(F.struct("line_no", "value")).alias("h")).select("h.line_no", F.substring("h.value", 1, HEAD_CHARS).alias("text"))
+    count = lambda mark: F.length("text") - F.length(F.replace("text", F.lit(mark), F.lit("")))
+    head = first.select("line_no", (count(",") > count("\t")).alias("comma"))
+    return head.select("comma").scalar(), head.select("line_no").scalar()
 
 
-def _sniff(lines: DataFrame) -> tuple[Column, Column]:
-    """(comma-delimited?, first line number) from the head of the input.
-
-    ``limit`` reads only the first rows of the first split (lines as read, in
-    file order), like reading the first kilobyte of the file; those rows are
-    then put in line order.
-    """
-    head = lines.limit(SNIFF_LINES).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("h"))
-    text = F.substring(F.array_join(F.transform(F.col("h"), lambda s: s["value"]), "\n"), 1, SNIFF_CHARS)
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    tabs = F.length(text) - F.length(F.replace(text, F.lit("\t"), F.lit("")))
-    sniff = head.select((commas > tabs).alias("comma"), F.col("h")[0]["line_no"].alias("first"))
-    return sniff.select("comma").scalar(), sniff.select("first").scalar()
+def _fields(line: Column, delimiter: str) -> Column:
+    """The five fields of a CSV line as a struct: quotes group, a doubled quote is one quote, missing fields are NULL."""
+    schema = ", ".join(f"{name} string" for name in CSV_FIELDS)
+    return F.from_csv(line, F.lit(schema), {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "emptyValue": ""})
 
 
 def import_behavior_csv(lines: DataFrame, limit: int | None = None,
                         delimiter: str | None = None) -> DataFrame:
     """Raw 5-field user/item/category/behavior/timestamp lines -> behavior rows.
 
-    Delimiter is a comma when a comma outnumbers tabs in the first 1024
-    characters (unless given); a first line whose first field is not all
-    digits is a header; rows with fewer than 5 fields, a non-numeric time or an
-    action other than pv/fav/cart/buy are skipped; times are truncated to
-    whole seconds.  ``limit`` keeps the first N imported rows in file order.
+    Fields may be quoted.  Unless given, the delimiter is a comma when the
+    first line (smallest ``line_no``) has more commas than tabs at its head; a
+    first line whose first field is not all digits is a header; rows with fewer
+    than 5 fields, a non-numeric time or an action other than pv/fav/cart/buy
+    are skipped; times are truncated to whole seconds.  ``limit`` keeps the
+    first N imported rows in file order.
     """
     if delimiter is None:
-        is_comma, first_line = _sniff(lines)
-        fields = F.when(is_comma, F.split(F.col("value"), ",")).otherwise(F.split(F.col("value"), "\t"))
+        is_comma, first_line = _head(lines)
+        fields = F.when(is_comma, _fields(F.col("value"), ",")).otherwise(_fields(F.col("value"), "\t"))
     else:
-        import re
         first_line = lines.select(F.min("line_no")).scalar()
-        fields = F.split(F.col("value"), re.escape(delimiter))
+        fields = _fields(F.col("value"), delimiter)
     parts = project_once(lines, ["line_no"], f=fields)
-    header = (F.col("line_no") == first_line) & ~F.col("f")[0].rlike(r"^[0-9]+$")
-    rows = parts.where(~header & (F.size("f") >= 5)).select(
-        "line_no", *[strip_ws(F.col("f")[i]).alias(n) for i, n in enumerate(CSV_FIELDS)])
+    header = (F.col("line_no") == first_line) & ~F.coalesce(F.col("f.user_id"), F.lit("")).rlike(r"^[0-9]+$")
+    rows = parts.where(~header & F.col("f.timestamp").isNotNull()).select(
+        "line_no", *[strip_ws(F.coalesce(F.col("f")[n], F.lit(""))).alias(n) for n in CSV_FIELDS])
     ts_d = F.col("timestamp").try_cast("double")
     ts_ok = ts_d.isNotNull() & ~F.isnan(ts_d) & (F.abs(ts_d) < F.lit(9.2e18))
     out = rows.select(
@@ -86,11 +82,9 @@ def import_behavior_csv(lines: DataFrame, limit: int | None = None,
 def _first_rows(df: DataFrame, n: int | None) -> DataFrame:
     if not n:
         return df
-    order = "_line" if "_line" in df.columns else None
-    if order is None:
-        # ids grow with file position for a single-file read
-        df = df.withColumn("_line", F.monotonically_increasing_id())
-    return df.orderBy("_line").limit(int(n))
+    if "_line" not in df.columns:
+        raise ValueError("a row limit needs a _line column for file order")
+    return first_rows_by(df, "_line", int(n))
 
 
 def _map_behavior_code(c: Column) -> Column:
@@ -102,9 +96,9 @@ def _map_behavior_code(c: Column) -> Column:
     return F.coalesce(F.element_at(names, as_int), s)
 
 
-def union_behavior_files(files: Sequence[DataFrame], nrows_each: int | None = ROWS_PER_FILE) -> DataFrame:
-    """First ``nrows_each`` rows of every file, ``Unnamed*`` columns dropped,
-    the six required columns kept, all files stacked, codes 1..4 named."""
+def union_behavior_files(files: Sequence[DataFrame], nrows_each: int | None = None) -> DataFrame:
+    """All rows of every file (or the first ``nrows_each`` by a ``_line`` column), ``Unnamed*``
+    columns dropped, the six required columns kept, all files stacked, codes 1..4 named."""
     out = None
     for i, df in enumerate(files):
         df = df.select([c for c in df.columns if not c.startswith("Unnamed")])
@@ -124,20 +118,22 @@ def rebuild_user_behavior(raw: DataFrame, limit: int = 0, order_by: str | None =
 
     ids and category are tolerant casts, actions are names or codes 1..4 (other
     values lower-cased), an empty geohash is NULL, time is a cast or one of two
-    text layouts.  ``limit`` > 0 keeps N rows (in ``order_by`` order if given).
+    text layouts.  ``limit`` > 0 keeps the first N rows by the integral column ``order_by``.
     """
     t = F.col("time").cast("string")
     ts = F.coalesce(t.try_cast("timestamp_ntz"),
                     *[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in REBUILD_TS_FORMATS])
     src = raw
     if limit and limit > 0:
-        src = (src.orderBy(order_by) if order_by else src).limit(int(limit))
+        if not order_by:
+            raise ValueError("a row limit needs order_by")
+        src = first_rows_by(src, order_by, int(limit))
     return src.select(
-        F.col("user_id").cast("string").try_cast("bigint").alias("user_id"),
-        F.col("item_id").cast("string").try_cast("bigint").alias("item_id"),
+        long_or_null(F.col("user_id")).alias("user_id"),
+        long_or_null(F.col("item_id")).alias("item_id"),
         action_names_or_codes(F.col("behavior_type")).alias("behavior_type"),
         F.nullif(F.col("user_geohash").cast("string"), F.lit("")).alias("user_geohash"),
-        F.col("item_category").cast("string").try_cast("int").alias("item_category"),
+        int_or_null(F.col("item_category")).alias("item_category"),
         ts.alias("timestamp"))
 
 

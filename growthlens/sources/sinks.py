@@ -1,39 +1,36 @@
 """Table maintenance and sinks: upserts, appends, segment exports, funnel tables.
 
-Outputs go to the shared folder named by ``spark.checkpoint.dir`` (or a path
-the caller gives); nothing is written to machine-local storage by default.
+Outputs go to the path that the caller gives, on storage all executors share.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlens.operators import behavior as B
 from growthlens.operators import funnel as FN
-from growthlens.session import scratch_path
 
 
 def upsert_items(current: DataFrame, incoming: DataFrame, key: str = "parent_asin",
                  order_col: str | None = None) -> DataFrame:
     """Insert-or-replace by key: an incoming row replaces the current one.
 
-    Chosen with a map-side combined ``max_by`` over (source priority, optional
-    order column), so a key with many versions never gathers in one task.
-    Among several incoming rows of one key the largest ``order_col`` wins.
+    Current rows without an incoming key pass through an anti join as they are;
+    only ``incoming`` is deduplicated (the largest ``order_col`` wins, any row
+    without one).  Rows with a NULL key match nothing and all stay.
     """
-    cols = [c for c in current.columns]
-    cur = current.select(*cols, F.lit(0).alias("_prio"),
-                         (F.col(order_col) if order_col else F.lit(0)).alias("_ord"))
-    inc = incoming.select(*cols, F.lit(1).alias("_prio"),
-                          (F.col(order_col) if order_col else F.lit(0)).alias("_ord"))
-    both = cur.unionByName(inc)
-    rank = F.struct("_prio", "_ord")
-    winner = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in cols if c != key]), rank).alias("_w"))
-    return winner.select(key, "_w.*").select(*cols)
+    cols = list(current.columns)
+    keyed = incoming.where(F.col(key).isNotNull())
+    if order_col:
+        best = keyed.groupBy(key).agg(F.max(F.struct(F.col(order_col).alias("_ord"), *[c for c in cols if c != key])).alias("_w"))
+        newest = best.select(key, "_w.*").select(*cols)
+    else:
+        newest = keyed.select(*cols).dropDuplicates([key])
+    kept = current.join(newest.select(key), key, "left_anti").select(*cols)
+    return kept.unionByName(newest).unionByName(incoming.where(F.col(key).isNull()).select(*cols))
 
 
 def append_reviews(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -41,16 +38,11 @@ def append_reviews(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return current.unionByName(incoming, allowMissingColumns=True)
 
 
-def export_segment_users_csv(spark: SparkSession, behavior: DataFrame, segment: str = "warm",
-                             limit: int = 20000, path: str | None = None) -> str:
-    """Write the user ids of a segment as CSV with a ``user_id`` header; return the folder.
-
-    The export cap (1..200000) bounds the rows, so one output file is written.
-    """
-    seg = B.normalize_segment(segment)
-    path = path or scratch_path(spark, f"exports/users_{seg}_{uuid.uuid4().hex}")
-    users = B.segment_users(behavior, seg, limit)
-    users.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def export_segment_users_csv(spark: SparkSession, behavior: DataFrame, path: str, segment: str = "warm",
+                             limit: int | None = None) -> str:
+    """Write the user ids of a segment under ``path`` as CSV files with a ``user_id`` header; return ``path``."""
+    users = B.segment_users(behavior, B.normalize_segment(segment), limit)
+    users.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -58,8 +50,7 @@ def read_segment_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.col("user_id").cast("bigint"))
 
 
-def save_funnel_tables(spark: SparkSession, stage: DataFrame, path: str | None = None,
-                       mode: str = "both") -> dict[str, str]:
+def save_funnel_tables(spark: SparkSession, stage: DataFrame, path: str, mode: str = "both") -> dict[str, str]:
     """Materialise the loose / strict funnel tables as parquet and register views.
 
     ``mode='both'`` computes both variants in one aggregation and writes them
@@ -71,7 +62,6 @@ def save_funnel_tables(spark: SparkSession, stage: DataFrame, path: str | None =
     """
     if mode not in ("both", "nonstrict", "strict"):
         raise ValueError("mode must be both, nonstrict or strict")
-    path = path or scratch_path(spark, f"funnel_tables/{uuid.uuid4().hex}")
     written: dict[str, str] = {}
     views: dict[str, DataFrame] = {}
     if mode == "both":

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,6 @@ def spark():
     s = get_spark(app="growthlens-tests", master="local[*]", shuffle_partitions=8,
                   extra={"spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
-    if not (s.conf.get("spark.checkpoint.dir", None)):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="growthlens-test-ckpt-"))
     checkpoint_dir(s)
     yield s
 

@@ -76,7 +76,7 @@ def test_segment_users_cap_and_unknown_segment(spark):
     rows = [(u, 1, "pv", anchor - dt.timedelta(days=3)) for u in range(10)] + [(99, 1, "pv", anchor)]
     got = [r.user_id for r in B.segment_users(_beh(spark, rows), "nonsense", limit=3).collect()]
     assert got == [0, 1, 2]
-    assert B.segment_users(_beh(spark, rows), "warm", limit=0).count() == 1
+    assert B.segment_users(_beh(spark, rows), "warm").count() == 10
 
 
 def test_behavior_counts_normalisation(spark):
@@ -341,30 +341,30 @@ def test_upsert_incoming_wins(spark):
     assert got == {"a": "new", "b": "keep", "c": "added"}
 
 
-def test_save_funnel_tables_modes(spark):
+def test_save_funnel_tables_modes(spark, tmp_path):
     t = D(2024, 1, 1)
     rows = [(1, 1, "pv", t), (1, 1, "fav", t), (2, 1, "pv", t), (2, 1, "fav", t + dt.timedelta(seconds=5))]
     stage = FN.user_item_stage(FN.behavior_norm(_beh(spark, rows)))
-    written = SK.save_funnel_tables(spark, stage, mode="strict")
+    written = SK.save_funnel_tables(spark, stage, str(tmp_path / "strict"), mode="strict")
     assert set(written) == {"item_funnel_features_strict"}
     # the default view follows the chosen mode (strict: 1 of 2 users favourited after viewing)
     assert spark.table("item_funnel_features").first().fav == 1
-    SK.save_funnel_tables(spark, stage, mode="both")
+    SK.save_funnel_tables(spark, stage, str(tmp_path / "both"), mode="both")
     both = {(r.strict, r.fav) for r in spark.table("item_funnel_features_both").collect()}
     assert both == {(0, 2), (1, 1)}
     assert spark.table("item_funnel_features_default").first().fav == 2
     with pytest.raises(ValueError):
-        SK.save_funnel_tables(spark, stage, mode="everything")
+        SK.save_funnel_tables(spark, stage, str(tmp_path / "no"), mode="everything")
 
 
-def test_upsert_with_order_column_and_export(spark):
+def test_upsert_with_order_column_and_export(spark, tmp_path):
     cur = spark.createDataFrame([("a", "old", 1)], "parent_asin string, title string, v long")
     inc = spark.createDataFrame([("a", "first", 1), ("a", "second", 2)], "parent_asin string, title string, v long")
     got = SK.upsert_items(cur, inc, order_col="v").collect()
     assert [(r.parent_asin, r.title) for r in got] == [("a", "second")]
     anchor = D(2024, 3, 31)
     beh = _beh(spark, [(u, 1, "pv", anchor - dt.timedelta(days=2)) for u in (5, 3, 9)] + [(1, 1, "pv", anchor)])
-    path = SK.export_segment_users_csv(spark, beh, "Warm", limit=2)
+    path = SK.export_segment_users_csv(spark, beh, str(tmp_path / "users"), "Warm", limit=2)
     assert [r.user_id for r in SK.read_segment_export(spark, path).collect()] == [3, 5]
 
 
@@ -378,3 +378,45 @@ def test_review_field_fallbacks_follow_python_or(spark):
     assert set(got) == {"a", "b"}
     assert got["a"].rating == 0.0 and got["a"].user_id == "" and got["a"].timestamp == 0
     assert got["b"].rating == 4.0 and got["b"].timestamp == 17 and got["b"].text == "t"
+
+
+def test_quoted_csv_fields_and_decimal_numbers(spark):
+    lines = spark.createDataFrame([
+        (1, '"1","2","3","pv","1511544070"'), (2, "4,5,6,buy,1511544071.5"), (3, '7,"8,9",6,BUY,1511544072'),
+        (4, '"a ""b""",1,2,fav,1511544073'), (5, "1,2,3,pv"), (6, ""), (7, "1,2,3,4,1511544074")], "line_no long, value string")
+    got = [tuple(r) for r in BL.import_behavior_csv(lines).orderBy("timestamp").collect()]
+    assert got == [("1", "2", "pv", 1511544070, "3"), ("4", "5", "buy", 1511544071, "6"), ("7", "8,9", "buy", 1511544072, "6"),
+                   ('a "b"', "1", "fav", 1511544073, "2")]
+    tabs = spark.createDataFrame([(5, "u\ti\tc\tb\tt"), (6, "1\t2,2\t3\tcart\t9")], "line_no long, value string").repartition(3)
+    assert [tuple(r) for r in BL.import_behavior_csv(tabs).collect()] == [("1", "2,2", "cart", 9, "3")]
+    raw = spark.createDataFrame([("123.0", "7", "1.0", "", "5.0", "2024-01-02 03")],
+                                "user_id string, item_id string, behavior_type string, user_geohash string, item_category string, time string")
+    r = BL.rebuild_user_behavior(raw).first()
+    assert (r.user_id, r.item_id, r.behavior_type, r.user_geohash, r.item_category) == (123, 7, "pv", None, 5)
+    norm = FN.behavior_norm(spark.createDataFrame([(1, 2, 4.0, "1511544070.0")], "user_id long, item_id long, action double, ts string")).first()
+    assert (norm.action, norm.ts) == ("buy", 1511544070)
+
+
+def test_row_limits_need_an_order(spark):
+    df = spark.createDataFrame([(1, 1, "1", "", "1", "")], "user_id long, item_id long, behavior_type string, user_geohash string, item_category string, time string")
+    with pytest.raises(ValueError):
+        BL.union_behavior_files([df], nrows_each=1)
+    with pytest.raises(ValueError):
+        BL.rebuild_user_behavior(df, limit=1)
+    assert BL.union_behavior_files([df, df]).count() == 2
+
+
+def test_repurchase_of_a_hot_buyer_without_a_join(spark):
+    t0 = D(2024, 1, 1)
+    rows = [(1, 1, "buy", t0 + dt.timedelta(minutes=k)) for k in range(3000)]
+    rows += [(2, 1, "buy", t0), (2, 1, "buy", t0), (3, 1, "buy", t0), (3, 1, "buy", t0 + dt.timedelta(days=7))]
+    out = B.repurchase_7d(_beh(spark, rows))
+    assert (out.first().buyers, out.first().repurchasers_7d) == (3, 2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upsert_keeps_rows_without_key_and_plans_no_sort(spark):
+    cur = spark.createDataFrame([("a", "old"), (None, "x"), (None, "y")], "parent_asin string, title string")
+    inc = spark.createDataFrame([("a", "new"), (None, "z")], "parent_asin string, title string")
+    out = SK.upsert_items(cur, inc)
+    assert sorted(r.title for r in out.collect()) == ["new", "x", "y", "z"]

@@ -81,5 +81,25 @@ def test_first_rows_by_histogram_matches_top_n(spark):
     df = df.where(F.col("v") != 5)          # gaps in the ordering key
     for n in (1, 17, 999, 2500, 4614, 10000):
         want = sorted(r.line_no for r in df.orderBy("line_no").limit(n).collect())
-        got = sorted(r.line_no for r in C.first_rows_by(df, "line_no", n, topn_max=10, buckets=8).collect())
+        got = sorted(r.line_no for r in C.first_rows_by(df, "line_no", n).collect())
         assert got == want, n
+
+
+def test_first_rows_by_takes_exactly_n_of_repeated_numbers(spark):
+    rows = [(k % 7, k // 2 if k % 3 else None) for k in range(60)] + [(3, 9)] * 10 + [(None, 1)]
+    df = spark.createDataFrame(rows, "line_no long, v long")
+    for n in (1, 5, 20, 45, 69, 70, 71, 500):
+        got = [r.line_no for r in C.first_rows_by(df, "line_no", n).collect()]
+        want = sorted(k for k, _ in rows if k is not None)[:n]
+        assert sorted(got) == want, n
+        again = sorted(map(tuple, C.first_rows_by(df.repartition(3), "line_no", n).collect()), key=str)
+        assert again == sorted(map(tuple, C.first_rows_by(df, "line_no", n).collect()), key=str)
+
+
+def test_number_text_reads_like_a_sql_cast(spark):
+    import duckdb
+    texts = ["1", "1.0", " 2 ", "-3.5", "2.5", "+4", ".5", "7.", "x", "", "1.2.3", "99999999999", "123456789012345678", "1511544070.0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.i, r.l) for r in df.select(C.int_or_null(F.col("t")).alias("i"), C.long_or_null(F.col("t")).alias("l")).collect()]
+    want = [duckdb.execute("SELECT TRY_CAST(? AS INTEGER), TRY_CAST(? AS BIGINT)", [t, t]).fetchone() for t in texts]
+    assert got == want

@@ -37,3 +37,12 @@ def test_window_filters_reach_the_scan(spark, name):
     plan = _plan(spark, name)
     pushed = " ".join(re.findall(r"PushedFilters: \[[^\]]*?(?:\]|\.\.\.)", plan))
     assert re.search(PUSHED[name], pushed), pushed
+
+
+def test_dashboard_builds_its_parts_on_written_rollups(spark):
+    assert "FileScan" not in _plan(spark, "merchant_dashboard")
+
+
+def test_repurchase_and_overview_neither_join_nor_expand(spark):
+    assert "Join" not in _plan(spark, "repurchase_7d")
+    assert "Expand" not in _plan(spark, "behavior_overview")
