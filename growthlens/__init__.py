@@ -8,7 +8,6 @@ or entities at once.  Sub-packages:
 * ``sources``    raw line / CSV readers and table sinks
 * ``operators``  behavior, funnel, recommender, affiliate and rule operators
 * ``plans``      composite outputs (dashboard) and the test-table bindings
-* ``streaming``  notes on streaming (the analysed application is batch only)
 """
 
 from growthlens.session import checkpoint_dir, get_spark, scale_profile

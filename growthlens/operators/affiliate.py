@@ -31,6 +31,7 @@ REFUNDED = "refunded"
 DEFAULT_RULE_RATE = "0.10"
 CVR_ALERT_TITLE = "淘客 %s 转化率偏低"
 CVR_ALERT_TEXT = "过去 {days} 天 CVR 为 %.2f%%，低于 {bound}%% 阈值"
+ALERT_COMPARISON = "阈值 {bound}%"
 REFUND_ALERT_TITLE = "商家 %s 退款率异常"
 REFUND_ALERT_TEXT = "过去 {days} 天退款率为 %.2f%%，超过 {bound}%% 阈值"
 
@@ -180,7 +181,7 @@ def daily_product_metrics(orders: DataFrame, clicks: DataFrame, contents: DataFr
 # #58 - #60 alerts
 # ---------------------------------------------------------------------------
 _ALERT_COLUMNS = ("alert_type", "severity", "entity_type", "entity_id", "metric", "metric_value",
-                  "volume", "title", "description", "time_window")
+                  "volume", "title", "description", "evidence_value", "comparison", "time_window")
 
 
 def alert_text(template: str, days: int, bound: float) -> str:
@@ -217,6 +218,7 @@ def alert_cvr_drop(orders: DataFrame, clicks: DataFrame, as_of=None,
         F.lit("CVR").alias("metric"), cvr.alias("metric_value"), F.col("clicks").alias("volume"),
         F.format_string(CVR_ALERT_TITLE, F.col("taoke_id")).alias("title"),
         F.format_string(alert_text(CVR_ALERT_TEXT, cfg.lookback_days, max_cvr), F.round(cvr, 2)).alias("description"),
+        F.format_string("%.2f%%", F.round(cvr, 2)).alias("evidence_value"), F.lit(alert_text(ALERT_COMPARISON, 0, max_cvr)).alias("comparison"),
         F.lit(f"{cfg.lookback_days}d").alias("time_window"))
 
 
@@ -239,6 +241,7 @@ def alert_refund_spike(orders: DataFrame, as_of=None, min_orders: int | None = N
         F.col("total_orders").alias("volume"),
         F.format_string(REFUND_ALERT_TITLE, F.col("merchant_id")).alias("title"),
         F.format_string(alert_text(REFUND_ALERT_TEXT, cfg.lookback_days, max_rate), F.round(rate, 2)).alias("description"),
+        F.format_string("%.2f%%", F.round(rate, 2)).alias("evidence_value"), F.lit(alert_text(ALERT_COMPARISON, 0, max_rate)).alias("comparison"),
         F.lit(f"{cfg.lookback_days}d").alias("time_window"))
 
 

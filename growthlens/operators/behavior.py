@@ -30,6 +30,13 @@ from growthlens.functions.columns import (
 # Fixed values of the analysed application
 # ---------------------------------------------------------------------------
 SEGMENTS = ("new", "active", "warm", "dormant")
+SEGMENT_LABELS = {"new": "新客", "active": "活跃", "warm": "回访", "dormant": "沉睡"}
+SEGMENT_RULES = {
+    "new": "新客：first_day == anchor_day（首次出现即锚点日）",
+    "active": "活跃：last_day==anchor_day 且 近7天活跃天数>=3",
+    "warm": "回访：last_day < anchor_day 且 last_day>=anchor_day-7天",
+    "dormant": "沉睡：last_day < anchor_day-7天 且 last_day>=anchor_day-30天",
+}
 
 # journey steps: key, from, to, title, tag, detail, default segment, message type
 JOURNEY_STEPS = (
@@ -249,6 +256,10 @@ def user_lifecycle(behavior: DataFrame, roles: dict | None = None, rollup: DataF
                       segment.alias("segment"), anchor.alias("anchor_day"))
 
 
+def _by_segment(texts: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col("segment"))
+
+
 def lifecycle_segments(behavior: DataFrame, roles: dict | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Users, share of all users and mean active days per segment."""
     stat = user_lifecycle(behavior, roles, rollup).groupBy("segment").agg(
@@ -259,7 +270,8 @@ def lifecycle_segments(behavior: DataFrame, roles: dict | None = None, rollup: D
     total = F.sum("users").over(Window.partitionBy())
     return stat.select("anchor_day", "segment", "users",
                        ratio_or_null(F.col("users"), total).alias("share"),
-                       "avg_actions", total.alias("total_users")) \
+                       "avg_actions", total.alias("total_users"),
+                       _by_segment(SEGMENT_LABELS).alias("segment_label"), _by_segment(SEGMENT_RULES).alias("segment_rule")) \
         .orderBy(F.col("users").desc(), "segment")
 
 

@@ -24,6 +24,7 @@ from growthlens.functions.columns import (
     epoch_seconds,
     long_or_null,
     parse_event_ts,
+    pick_column,
     ratio_or_null,
     ratio_or_zero,
     resolve_columns,
@@ -52,6 +53,15 @@ CONCLUSION_LOW = "转化率偏低（%.2f%%），存在优化空间"
 CONCLUSION_FAIR = "转化率一般（%.2f%%），可进一步提升"
 CONCLUSION_GOOD = "转化率良好（%.2f%%），表现优秀"
 LOOKBACK_MIN, LOOKBACK_MAX = 1, 90
+# accepted column names of a funnel table, in order
+FUNNEL_ROLES = {
+    "item_id": ("item_id", "item", "id"),
+    "pv": ("pv", "pv_cnt", "pv_count", "pv_n"),
+    "fav": ("fav", "fav_cnt", "fav_count", "fav_n"),
+    "cart": ("cart", "cart_cnt", "cart_count", "cart_n"),
+    "buy": ("buy", "buy_cnt", "buy_count", "buy_n"),
+    "pv_to_buy_rate": ("pv_to_buy_rate", "pv_to_buy", "pv_buy_rate"),
+}
 
 
 # ---------------------------------------------------------------------------
@@ -170,14 +180,14 @@ def funnel_rate_check(funnel: DataFrame) -> DataFrame:
 
 
 def _ranked_items(funnel: DataFrame) -> DataFrame:
-    rate = F.col("pv_to_buy_rate") if "pv_to_buy_rate" in funnel.columns \
-        else ratio_or_null(F.col("buy"), F.col("pv"))
-    zero = F.lit(0).cast("bigint")
-    return funnel.select(
-        "item_id", F.col("pv"),
-        F.col("fav") if "fav" in funnel.columns else zero.alias("fav"),
-        F.col("cart") if "cart" in funnel.columns else zero.alias("cart"),
-        F.col("buy"), rate.alias("pv_to_buy_rate"))
+    """(item_id, pv, fav, cart, buy, pv_to_buy_rate) of a funnel table under any of the accepted column names."""
+    found = {role: pick_column(funnel.columns, names, case_insensitive=False) for role, names in FUNNEL_ROLES.items()}
+    missing = [role for role in ("item_id", "pv", "buy") if found[role] is None]
+    if missing:
+        raise ValueError(f"funnel table lacks {missing}; has {funnel.columns}")
+    col = lambda role: F.col(f"`{found[role]}`") if found[role] else F.lit(0).cast("bigint")
+    rate = col("pv_to_buy_rate") if found["pv_to_buy_rate"] else ratio_or_null(col("buy"), col("pv"))
+    return funnel.select(*[col(role).alias(role) for role in ("item_id", *ACTIONS)], rate.alias("pv_to_buy_rate"))
 
 
 def _present(df: DataFrame) -> DataFrame:

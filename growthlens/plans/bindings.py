@@ -36,8 +36,8 @@ def _action_case(c: Column) -> Column:
 
 
 def _item_of() -> Column:
-    """Ten items for each fifty users, so that items grow with the log while users still meet an item again."""
-    group = F.floor(F.col("user_id") / 50).cast("bigint")
+    """Ten items for each 65 users, so that items grow with the log while users still meet an item again."""
+    group = F.floor(F.col("user_id") / 65).cast("bigint")
     return group * 10 + F.regexp_extract("props", r"([0-9]+)", 1).cast("bigint") % 10
 
 
@@ -220,20 +220,20 @@ _ACTION_CASE = ("CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav' "
 
 CTES: dict[str, str] = {
     "behavior": f"""SELECT user_id*20 + event_id%20 AS user_id,
-       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//65*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        {_ACTION_CASE} AS action, ts
 FROM events""",
     "behavior_dense": f"""SELECT user_id,
-       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//65*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        {_ACTION_CASE} AS action, ts
 FROM events""",
     "behavior_sparse": """SELECT user_id*20 + event_id%20 AS user_id,
-       user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+       user_id//65*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
        CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav'
             WHEN 'signup' THEN CASE WHEN event_id%25=0 THEN 'cart' ELSE 'pv' END
             WHEN 'purchase' THEN CASE WHEN event_id%20=0 THEN 'buy' ELSE 'fav' END ELSE event_type END AS action, ts
 FROM events""",
-    "behavior_raw": f"""SELECT user_id, user_id//50*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
+    "behavior_raw": f"""SELECT user_id, user_id//65*10 + CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT)%10 AS item_id,
  CASE WHEN event_id%3=0 THEN CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2'
         WHEN 'signup' THEN '3' WHEN 'purchase' THEN '4' ELSE '9' END
       WHEN event_id%3=1 THEN upper({_ACTION_CASE})

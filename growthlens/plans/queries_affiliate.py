@@ -125,13 +125,15 @@ WHERE CAST(ordered_at AS DATE) >= start_d AND CAST(ordered_at AS DATE) < end_d G
 _CVR_SQL = """SELECT 'cvr_drop' AS alert_type, 'warning' AS severity, 'taoke' AS entity_type,
   taoke_id AS entity_id, 'CVR' AS metric, v AS metric_value, clicks AS volume,
   concat('淘客 ', taoke_id, ' 转化率偏低') AS title,
-  printf('过去 7 天 CVR 为 %.2f%%，低于 200%% 阈值', round(v, 2)) AS description, '7d' AS time_window
+  printf('过去 7 天 CVR 为 %.2f%%，低于 200%% 阈值', round(v, 2)) AS description,
+  printf('%.2f%%', round(v, 2)) AS evidence_value, '阈值 200%' AS comparison, '7d' AS time_window
 FROM (SELECT *, CASE WHEN clicks > 0 THEN CAST(orders AS DOUBLE)/clicks*100 ELSE 0.0 END AS v FROM cvr) t
 WHERE clicks > {min_clicks} AND v < {max_cvr}"""
 _REFUND_SQL = """SELECT 'refund_spike' AS alert_type, 'critical' AS severity, 'merchant' AS entity_type,
   merchant_id AS entity_id, '退款率' AS metric, v AS metric_value, total_orders AS volume,
   concat('商家 ', merchant_id, ' 退款率异常') AS title,
-  printf('过去 7 天退款率为 %.2f%%，超过 15%% 阈值', round(v, 2)) AS description, '7d' AS time_window
+  printf('过去 7 天退款率为 %.2f%%，超过 15%% 阈值', round(v, 2)) AS description,
+  printf('%.2f%%', round(v, 2)) AS evidence_value, '阈值 15%' AS comparison, '7d' AS time_window
 FROM (SELECT *, CASE WHEN total_orders > 0 THEN CAST(refunds AS DOUBLE)/total_orders*100 ELSE 0.0 END AS v
       FROM refund) t
 WHERE total_orders > 0 AND v > 15.0"""
@@ -168,26 +170,39 @@ def q_alerts_run(spark, sf_dir):
 _RULE_CTES = (_PARAMS, _TK, _MC, _M_ALL)
 
 
+def _told(sql: str, gain: bool = False) -> str:
+    """``sql``'s findings with their texts, looked up by title in a table of the fixed texts."""
+    q = lambda x: "NULL" if x is None else "'" + x + "'"
+    rows = ", ".join(f"({q(t)}, {', '.join(map(q, x))}, {q(R.GAIN_TEXTS.get(t))})" for t, x in R.TEXTS.items())
+    fill = lambda c: f"replace(replace(x.{c}, '{{v}}', v), '{{w}}', '7d')"
+    extra = ", coalesce(replace(x.gain, '{g}', CAST(CAST(round_even(estimated_gain, 0) AS BIGINT) AS VARCHAR)), gain_note) AS gain_text" if gain else ""
+    return f"""SELECT f.* EXCLUDE (v), {fill('description')} AS description, {fill('shown')} AS evidence_value, x.comparison,
+  '7d' AS time_window{extra}
+FROM (SELECT *, CASE WHEN metric = '订单数' THEN CAST(CAST(metric_value AS BIGINT) AS VARCHAR)
+                     ELSE printf('%.2f', round(metric_value, 2)) END AS v FROM ({sql})) f
+JOIN (VALUES {rows}) AS x(title, description, shown, comparison, gain) USING (title)"""
+
+
 def _b(cond: str) -> str:
     return f"CASE WHEN {cond} THEN 1 ELSE 0 END"
 
 
-@register("diagnosis_insights", with_ctes(f"""
+@register("diagnosis_insights", with_ctes(_told(f"""
 SELECT entity_type, entity_id, 1 AS seq, 'opportunity' AS finding_type, '转化率偏低' AS title,
   'high' AS impact, 'CVR' AS metric, cvr AS metric_value FROM m WHERE cvr < 2.0
 UNION ALL SELECT entity_type, entity_id, 1 + {_b('cvr < 2.0')}, 'opportunity', '平均订单价值偏低',
   'medium', 'EPC', epc FROM m WHERE epc < 50.0
 UNION ALL SELECT entity_type, entity_id, 1 + {_b('cvr < 2.0')} + {_b('epc < 50.0')}, 'trend', '订单量稳定',
-  'low', '订单数', CAST(orders AS DOUBLE) FROM m WHERE orders > 0""", *_AFF, extra=_RULE_CTES))
+  'low', '订单数', CAST(orders AS DOUBLE) FROM m WHERE orders > 0"""), *_AFF, extra=_RULE_CTES))
 def q_diagnosis_insights(spark, sf_dir):
     return R.diagnosis_insights(_all_metrics(spark, sf_dir))
 
 
-@register("diagnosis_risks", with_ctes(f"""
+@register("diagnosis_risks", with_ctes(_told(f"""
 SELECT entity_type, entity_id, 1 AS seq, 'risk' AS finding_type, '退款率异常' AS title, 'high' AS impact,
   '退款率' AS metric, refund_rate AS metric_value FROM m WHERE refund_rate > 10.0
 UNION ALL SELECT entity_type, entity_id, 1 + {_b('refund_rate > 10.0')}, 'risk', '佣金成本率偏高', 'medium',
-  '佣金率', commission_rate FROM m WHERE commission_rate > 20.0""", *_AFF, extra=_RULE_CTES))
+  '佣金率', commission_rate FROM m WHERE commission_rate > 20.0"""), *_AFF, extra=_RULE_CTES))
 def q_diagnosis_risks(spark, sf_dir):
     return R.diagnosis_risks(_all_metrics(spark, sf_dir))
 
@@ -220,13 +235,13 @@ def _opp_sql(spec, value, gain, cond, note="NULL") -> str:
             f"'{'|'.join(items)}' AS action_items FROM m WHERE {cond}")
 
 
-@register("opportunities", with_ctes("\nUNION ALL ".join([
+@register("opportunities", with_ctes(_told("\nUNION ALL ".join([
     _opp_sql(R.OPP_CVR, "cvr", "CAST(clicks AS DOUBLE) * 0.01 * epc", "cvr < 3.0"),
     _opp_sql(R.OPP_EPC, "epc", "CAST(clicks AS DOUBLE) * (60.0 - epc)", "epc < 60.0"),
     _opp_sql(R.OPP_REFUND, "refund_rate", "gmv * (refund_rate - 5.0) / 100.0", "refund_rate > 5.0"),
     _opp_sql(R.OPP_COMMISSION, "commission_rate", "NULL",
              "entity_type = 'merchant' AND commission_rate > 15.0", f"'{R.OPP_COMMISSION_GAIN}'"),
-]), *_AFF, extra=_RULE_CTES))
+]), gain=True), *_AFF, extra=_RULE_CTES))
 def q_opportunities(spark, sf_dir):
     return R.opportunities(_all_metrics(spark, sf_dir))
 

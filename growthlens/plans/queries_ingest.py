@@ -112,6 +112,16 @@ def q_parse_item_meta(spark, sf_dir):
     return CL.parse_item_meta(meta_lines(spark, sf_dir), META_CATEGORY).drop("raw_json")
 
 
+META_LIMIT, CSV_LIMIT = 137, 211
+
+
+@register("parse_item_meta_limited", with_ctes(_META_EXPECTED.format(category="'Electronics'").replace(
+    "FROM part", f"FROM (SELECT * FROM part WHERE p_partkey % 50 <> 0 ORDER BY p_partkey LIMIT {META_LIMIT})"), "items"))
+def q_parse_item_meta_limited(spark, sf_dir):
+    """The import limit: the first lines that are not blank, of all lines."""
+    return CL.parse_item_meta(meta_lines(spark, sf_dir), META_CATEGORY, meta_limit=META_LIMIT).drop("raw_json")
+
+
 @register("parse_reviews", with_ctes(
     "SELECT * EXCLUDE (_part) FROM (" + _REVIEWS_EXPECTED.format(category="'All_Beauty'") + ")", "items"))
 def q_parse_reviews(spark, sf_dir):
@@ -201,20 +211,31 @@ def behavior_csv_lines(spark, sf_dir) -> DataFrame:
           .otherwise(secs))
     item = _s(F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("bigint") % 10)
     fields = [_s(F.col("user_id")), item, _s(eid % 50), beh]
-    value = F.when(eid % 11 == 0, F.concat_ws(",", *fields)).otherwise(F.concat_ws(",", *fields, ts))
+    quoted = [F.concat(F.lit('"'), c, F.lit('"')) for c in (*fields, ts)]
+    value = F.when(eid % 11 == 0, F.concat_ws(",", *fields)).when(eid % 13 == 0, F.concat_ws(",", *quoted)).otherwise(
+        F.concat_ws(",", *fields, ts))
     data = ev.select(eid.alias("line_no"), value.alias("value"))
     header = ev.agg(F.lit(-1).cast("bigint").alias("line_no"), F.lit(CSV_HEADER).alias("value"))
     return header.unionByName(data)
 
 
-@register("import_behavior_csv", with_ctes("""SELECT CAST(user_id AS VARCHAR) AS user_id,
+_CSV_EXPECTED = """SELECT CAST(user_id AS VARCHAR) AS user_id,
   CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10 AS VARCHAR) AS item_id,
   CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'fav' WHEN 'signup' THEN 'cart' ELSE 'buy' END
     AS behavior,
   epoch_us(ts) // 1000000 AS "timestamp", CAST(event_id % 50 AS VARCHAR) AS category_id
 FROM events
 WHERE event_type IN ('view', 'click', 'signup', 'purchase') AND event_id % 5 <> 3
-  AND event_id % 7 <> 1 AND event_id % 11 <> 0""", "items"))
+  AND event_id % 7 <> 1 AND event_id % 11 <> 0"""
+
+
+@register("import_behavior_csv_limited", with_ctes(f"{_CSV_EXPECTED} ORDER BY event_id LIMIT {CSV_LIMIT}", "items"))
+def q_import_behavior_csv_limited(spark, sf_dir):
+    """The import limit: the first imported rows in file order, of all lines."""
+    return BL.import_behavior_csv(behavior_csv_lines(spark, sf_dir), limit=CSV_LIMIT)
+
+
+@register("import_behavior_csv", with_ctes(_CSV_EXPECTED, "items"))
 def q_import_behavior_csv(spark, sf_dir):
     return BL.import_behavior_csv(behavior_csv_lines(spark, sf_dir))
 
@@ -238,13 +259,13 @@ def q_union_behavior_files(spark, sf_dir):
     return BL.union_behavior_files(_raw_files(spark, sf_dir), nrows_each=None)
 
 
-#: text layouts of the raw log, longest first; a text is read by the layout that has its length
-_LAYOUTS = "MAP {19: '%Y-%m-%d %H:%M:%S', 13: '%Y-%m-%d %H', 10: '%Y-%m-%d'}"
+#: text layouts of the raw log
+_LAYOUTS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H', '%Y-%m-%d']"
 _REBUILD = ("rebuilt", f"""SELECT TRY_CAST(user_id AS BIGINT) AS user_id, TRY_CAST(item_id AS BIGINT) AS item_id,
   coalesce(['pv', 'fav', 'cart', 'buy'][nullif(greatest(0, least(5, TRY_CAST(behavior_type AS INTEGER))), 0)], lower(behavior_type))
     AS behavior_type,
   CASE WHEN length(user_geohash) > 0 THEN user_geohash END AS user_geohash, TRY_CAST(item_category AS INTEGER) AS item_category,
-  CASE WHEN length(time) IN (10, 13, 19) THEN try_strptime(time, {_LAYOUTS}[length(time)]) END AS "timestamp"
+  try_strptime(time, {_LAYOUTS}) AS "timestamp"
 FROM behavior_raw""")
 
 
@@ -254,7 +275,7 @@ def q_rebuild_user_behavior(spark, sf_dir):
 
 
 @register("parse_event_ts", with_ctes(f"""SELECT user_id, item_id, behavior_type, time,
-  CASE WHEN length(time) IN (10, 13, 19) THEN try_strptime(time, {_LAYOUTS}[length(time)]) END AS ts
+  try_strptime(time, {_LAYOUTS}) AS ts
 FROM behavior_raw""", "behavior_raw"))
 def q_parse_event_ts(spark, sf_dir):
     raw = bd.behavior_raw(spark, sf_dir).select("user_id", "item_id", "behavior_type", "time")

@@ -36,10 +36,10 @@ def test_parse_price_and_alias(spark):
 
 
 def test_action_mappings(spark):
-    df = spark.createDataFrame([("1",), ("4",), ("9",), ("PV",), (" cart ",), ("1.5",), (None,)], "a string")
+    df = spark.createDataFrame([("1",), ("4",), ("9",), ("PV",), (" cart ",), ("1.5x",), (None,)], "a string")
     row = lambda f: [r.x for r in df.select(f(F.col("a")).alias("x")).collect()]
-    assert row(C.action_from_int_or_text) == ["pv", "buy", None, "pv", " cart ", "1.5", None]
-    assert row(C.action_names_or_codes) == ["pv", "buy", "9", "pv", " cart ", "1.5", None]
+    assert row(C.action_from_int_or_text) == ["pv", "buy", None, "pv", " cart ", "1.5x", None]
+    assert row(C.action_names_or_codes) == ["pv", "buy", "9", "pv", " cart ", "1.5x", None]
     assert row(C.action_strict) == ["pv", "buy", None, "pv", "cart", None, None]
     assert [r.x for r in df.select(C.is_buy(F.col("a")).alias("x")).collect()][:2] == [False, True]
 
