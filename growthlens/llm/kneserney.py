@@ -54,7 +54,9 @@ START, END = _U(0x5354415254), _U(0x454E44)
 BUCKET_BYTES, MIN_BUCKETS = 32 << 20, 256
 #: Bigrams that a task sorts at once.
 FLUSH = 2_000_000
-_WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("contexts", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("_", "<u4")])
+_WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("contexts", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_FIGURES = np.dtype([("word", "<u8"), ("count", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_MET = np.dtype([("word", "<u8"), ("contexts", "<u4")])
 
 
 def sequences(words: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,36 +177,48 @@ def _merge(folder: str, bits: int) -> Callable[[pa.Table], pa.Table]:
         key = pair_hash(context, token)
         order = np.argsort(key)
         _store(f"{folder}/pairs-{bucket:08d}", key[order].tobytes())
-        _store(f"{folder}/counts-{bucket:08d}", np.minimum(n[order], 2**32 - 1).astype("<u4").tobytes())
+        wide = 2 if n.max() < 2**16 else 4
+        _store(f"{folder}/counts{wide}-{bucket:08d}", np.minimum(n[order], 2**32 - 1).astype(f"<u{wide}").tobytes())
         names, at = np.unique(context, return_index=True)
-        figures = np.zeros(len(names), _WORD)
+        figures = np.zeros(len(names), _FIGURES)
         figures["word"] = names
         for column, value in (("count", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3)):
             figures[column] = np.add.reduceat(value.astype(np.int64), at)
         words, contexts = np.unique(token, return_counts=True)
-        met = np.zeros(len(words), _WORD)
+        met = np.zeros(len(words), _MET)
         met["word"], met["contexts"] = words, contexts
-        rows = np.concatenate([figures, met])
-        home = bucket_of(rows["word"], bits)
-        order = np.argsort(home, kind="stable")
-        homes, at = np.unique(home[order], return_index=True)
-        parts = [rows[order][a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(rows)))]
         seen = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [n.sum(), len(n)], np.int64)
-        return pa.table({"bucket": pa.array([*homes.tolist(), -1]), "data": pa.array([*parts, seen.tobytes()], pa.binary())})
+        _store(f"{folder}/seen-{bucket:08d}", seen.tobytes())
+        parts = [_by_home(rows, bits) for rows in (figures, met)]
+        homes = sorted({*parts[0], *parts[1]})
+        return pa.table({"bucket": pa.array(homes, pa.int64()), "figures": pa.array([parts[0].get(h, b"") for h in homes], pa.binary()),
+                         "met": pa.array([parts[1].get(h, b"") for h in homes], pa.binary())})
     return run
 
 
+def _by_home(rows: np.ndarray, bits: int) -> dict[int, bytes]:
+    """The rows of each word's own bucket."""
+    home = bucket_of(rows["word"], bits)
+    order = np.argsort(home, kind="stable")
+    rows, home = rows[order], home[order]
+    names, at = np.unique(home, return_index=True)
+    return {int(h): rows[a:b].tobytes() for h, a, b in zip(names, at, np.append(at[1:], len(rows)))}
+
+
 def _merge_words(folder: str) -> Callable[[pa.Table], pa.Table]:
     """Store the words of one bucket; return counts of context counts, contexts in all, and words."""
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), _WORD) for x in table.column("data")])
-        names = ["count", "contexts", "n1", "n2", "n3"]
-        (word,), sums = _sum_equal([rows["word"]], [rows[c].astype(np.int64) for c in names])
-        out = np.zeros(len(word), _WORD)
-        out["word"] = word
-        for c, x in zip(names, sums):
-            out[c] = x
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+        figures, met = read("figures", _FIGURES), read("met", _MET)
+        (seen_word,), (contexts,) = _sum_equal([met["word"]], [met["contexts"].astype(np.int64)])
+        out = np.zeros(len(np.union1d(figures["word"], seen_word)), _WORD)
+        out["word"] = np.union1d(figures["word"], seen_word)
+        # a context lies whole in one bucket, so its figures come once
+        place = np.searchsorted(out["word"], figures["word"])
+        for c in ("count", "n1", "n2", "n3"):
+            out[c][place] = figures[c]
+        out["contexts"][np.searchsorted(out["word"], seen_word)] = contexts
         _store(f"{folder}/words-{bucket:08d}", out.tobytes())
         t = out["contexts"][out["word"] != START].astype(np.int64)
         seen = np.array([(t == k).sum() for k in (1, 2, 3, 4)] + [t.sum(), (t > 0).sum(), (t == 1).sum(), (t == 2).sum(), (t >= 3).sum()], np.int64)
@@ -267,7 +281,9 @@ class Model:
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
                 hit = keys[at] == key[rows]
-                out[rows[hit]] = self._array("counts", bucket, "<u4")[at[hit]]
+                counts = self._array("counts2", bucket, "<u2")
+                counts = counts if len(counts) else self._array("counts4", bucket, "<u4")
+                out[rows[hit]] = counts[at[hit]]
         return out
 
     def score(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,12 +312,15 @@ def train(texts: DataFrame) -> Model:
     bits = max(MIN_BUCKETS.bit_length() - 1, int(np.ceil(np.log2(max(size / BUCKET_BYTES, 1)))))
     folder = f"{common.shared_dir(spark)}/kneserney-{uuid.uuid4().hex}"
     packed = texts.select("text").mapInArrow(_count(bits), _PACKED)
-    merged = common.settle(packed.groupBy("bucket").applyInArrow(_merge(folder, bits), "bucket long, data binary"))
-    sums = lambda rows, n: sum((np.frombuffer(r["data"], np.int64) for r in rows), np.zeros(n, np.int64)).astype(float)
+    merged = packed.groupBy("bucket").applyInArrow(_merge(folder, bits), "bucket long, figures binary, met binary")
+    words = common.settle(merged.groupBy("bucket").applyInArrow(_merge_words(folder), "bucket long, data binary"))
     # one short row of counts of counts for each bucket reaches the driver
-    pairs = sums(merged.where("bucket = -1").toLocalIterator(), 6)
-    words = common.settle(merged.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge_words(folder), "bucket long, data binary"))
+    sums = lambda rows, n: sum((np.frombuffer(r["data"], np.int64) for r in rows), np.zeros(n, np.int64)).astype(float)
     w = sums(words.toLocalIterator(), 9)
+    if not len(words.head(1)):
+        pairs = np.zeros(6)
+    else:
+        pairs = sums(spark.read.format("binaryFile").load(f"{folder}/seen-*[0-9]").select(F.col("content").alias("data")).toLocalIterator(), 6)
     e = discounts(*w[:4])
     contexts = int(w[4])
     back_off = float((e[1] * w[6] + e[2] * w[7] + e[3] * w[8]) / contexts) if contexts else 1.0
