@@ -53,7 +53,7 @@ START, END = _U(0x5354415254), _U(0x454E44)
 #: Bytes of text for each bucket, and the least number of buckets (powers of two).
 BUCKET_BYTES, MIN_BUCKETS = 32 << 20, 256
 #: Bigrams that a task sorts at once.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 _WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("contexts", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 _FIGURES = np.dtype([("word", "<u8"), ("count", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 _MET = np.dtype([("word", "<u8"), ("contexts", "<u4")])
@@ -268,7 +268,7 @@ class Model:
         for bucket, rows in self._by_bucket(bucket_of(word, self.bits)):
             table = self._array("words", bucket, _WORD)
             if len(table):
-                keys = self._open.setdefault(("keys", bucket), np.ascontiguousarray(table["word"]))
+                keys = table["word"]
                 at = np.minimum(np.searchsorted(keys, word[rows]), len(keys) - 1)
                 hit = keys[at] == word[rows]
                 out[rows[hit]] = table[at[hit]]
@@ -336,7 +336,7 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         floor = np.log10(model.tokens + model.words + 1)
         for batch in batches:
             n, known, base, score = [], [], [], []
-            for _, words in tokens.pieces(batch.column(1), chunk=2 << 20):
+            for _, words in tokens.pieces(batch.column(1)):
                 context, token, doc, _ = sequences(words)
                 p, count = model.score(context, token)
                 n.append(np.bincount(doc, minlength=words.docs))
