@@ -74,9 +74,14 @@ def _finding(spec: tuple, value: Column, whole: bool = False) -> Column:
                     value.cast("double").alias("metric_value"), *_texts(title, value, whole))
 
 
+def _windowed(metrics: DataFrame) -> DataFrame:
+    """KPI rows with a window text; rows built without one have an empty text."""
+    return metrics if "window" in metrics.columns else metrics.withColumn("window", F.lit(""))
+
+
 def _explode_ordered(metrics: DataFrame, cands: list[Column]) -> DataFrame:
     arr = F.array_compact(F.array(*cands))
-    exploded = metrics.select("entity_type", "entity_id", F.posexplode(arr).alias("pos", "f"))
+    exploded = _windowed(metrics).select("entity_type", "entity_id", F.posexplode(arr).alias("pos", "f"))
     return exploded.select("entity_type", "entity_id", (F.col("pos") + 1).alias("seq"), "f.*")
 
 
@@ -149,5 +154,5 @@ def opportunities(metrics: DataFrame) -> DataFrame:
         F.when((F.col("entity_type") == "merchant") & (comm > OPP_COMMISSION_MAX),
                _opp(OPP_COMMISSION, comm, None, OPP_COMMISSION_GAIN)),
     ]
-    return metrics.select("entity_type", "entity_id",
-                          F.inline(F.array_compact(F.array(*cands))))
+    return _windowed(metrics).select("entity_type", "entity_id",
+                                     F.inline(F.array_compact(F.array(*cands))))
