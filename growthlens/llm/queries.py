@@ -30,7 +30,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that an earlier line repeats or nearly repeats."""
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=linededup.EDIT_PERCENT)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
