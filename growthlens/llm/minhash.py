@@ -226,7 +226,7 @@ def link_documents(texts: DataFrame, width: int, percent: int) -> tuple[DataFram
     again = known.join(classes, keys).where("id <> rep").groupBy("id", "rep").agg(F.lit(1)).select("id", "rep")
     links = common.settle(confirmed.distinct())
     groups = common.settle(common.components(links).select(F.col("node").alias("id"), "component"))
-    left, right = _blocks(members.where("size > 3").select("bucket", "id"), sets, groups)
+    left, right = _blocks(members.where("size > 2").select("bucket", "id"), sets, groups)
     more = left.groupBy("bucket", "l", "r").cogroup(right.groupBy("bucket", "l", "r")).applyInArrow(
         _meet(percent), "a long, b long")
     links = common.settle(links.unionByName(more.distinct()))

@@ -94,3 +94,30 @@ def test_signature_agreement_estimates_similarity():
     sig = minhash.superminhash(grams, np.array([0, 800, 1600]))
     assert abs((sig[0] == sig[1]).mean() - .6) < .2
     assert (minhash.superminhash(shared[:1], np.array([0, 1]))[0] >> np.uint64(48)).tolist().count(0) == 1
+
+
+def lone_bucket_triples(wanted, seed=11):
+    """Texts (a, b, c): b and c alone are similar, and their only common bucket holds a too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from growthlens.llm import tokens
+    found, tries = [], 0
+    while len(found) < wanted:
+        tries += 1
+        name = lambda kind, n: [f"{kind}{seed}q{tries}q{k}" for k in range(n)]
+        core, both = name("o", 30), name("t", 6)
+        texts = [" ".join(w) for w in (core + name("a", 26), core + both + name("b", 20), core + both + name("c", 20))]
+        _, words = next(iter(tokens.pieces(pa.array(texts))))
+        bands = minhash.superminhash(*minhash.shingle_sets(words, 1)).reshape(3, minhash.BANDS, -1)
+        same = lambda x, y: np.all(bands[x] == bands[y], axis=1)
+        if same(1, 2).sum() == 1 and (same(1, 2) & same(0, 1)).any():
+            found.append(texts)
+    return found
+
+
+def test_buckets_of_three_compare_all_pairs(spark):
+    rows = [(3 * k + j, text) for k, triple in enumerate(lone_bucket_triples(12)) for j, text in enumerate(triple)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, width=1, percent=45).collect()}
+    assert got == brute(rows, 1, 45)
