@@ -4,13 +4,15 @@ DataFrame operations only.  The base patterns find e-mail addresses, IP
 addresses, card and phone numbers; each distinct value is a protected entity.
 A term (a word in lower case without surrounding punctuation) discloses an
 entity e if, over all documents, the share P(e | term) of its occurrences that
-lie in lines with e is at least ``GENERALISE``, at least ``BITS`` bits more
-than the entity's own share of words says, in at least ``SUPPORT`` different
-lines.  Such terms are personal data of kind ``term`` wherever they occur: from
-``REMOVE`` on they are removed, below it generalised to their kind.
+lie in lines with e is at least ``GENERALISE``, and that share, shrunk by
+``PRIOR`` occurrences without e, at least ``BITS`` bits more than the entity's
+own share of words says.  Such terms are personal data of kind ``term`` wherever
+they occur: if the shrunk share reaches ``REMOVE`` they are removed, below it
+generalised to their kind.
 
-A rare word beside one address in one line is no evidence, hence ``SUPPORT``;
-exact copies of a line count as one line there.
+No number of lines is asked for: a name beside one address in its only line is
+generalised.  Copies of a line add to the entity's share of words, which lowers
+the bits.
 
 Defined cases: null text counts as empty; repeated rows are treated row by
 row; null ids are passed on; an empty table gives no rows; a term inside a base
@@ -37,7 +39,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-][0-9]", "phone": r"\+[0-9]"}
 #: Edges of a word that do not belong to the term.
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-SUPPORT = 3
+#: Occurrences without the entity that every term is taken to have besides its own.
+PRIOR = 1
 GENERALISE, REMOVE, BITS = 0.5, 0.9, 8.0
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -102,7 +105,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """Settled (term, share, bits) of the terms that reveal some entity; ``base`` is ``find_base(docs)``."""
+    """Settled (term, share, bits; share is shrunk) of the terms that reveal some entity; ``base`` is ``find_base(docs)``."""
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     rows = common.settle(base.where(some).select("row").distinct())
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(common.small(rows), "row", "left_semi")
@@ -121,17 +124,18 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     met = (
         by_entity.select("line", "n", "entity", F.explode("terms").alias("term"))
         .groupBy("entity", "term", "line").agg(F.sum("n").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("lines")).where(F.col("lines") >= SUPPORT)
+        .groupBy("entity", "term").agg(F.sum("n").alias("together"))
     )
     met = common.settle(met.join(by_entity.groupBy("entity").agg(F.sum(F.col("n") * F.size("terms")).alias("entity_words")), "entity"))
     candidates = common.settle(met.select("term").distinct())
     words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
     totals = docs.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()[0] or 1
     counted = words.join(common.small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    share = F.col("together") / F.col("n")
-    scored = met.join(counted, "term").select("term", share.alias("share"), F.log2(share * totals / F.col("entity_words")).alias("bits"))
+    shrunk = F.col("together") / (F.col("n") + PRIOR)
+    scored = met.join(counted, "term").select("term", (F.col("together") / F.col("n")).alias("plain"), shrunk.alias("share"),
+                                              F.log2(shrunk * totals / F.col("entity_words")).alias("bits"))
     return common.settle(
-        scored.where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
+        scored.where((F.col("plain") >= GENERALISE) & (F.col("bits") >= BITS)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -78,3 +78,11 @@ def test_copies_of_one_line_are_no_evidence_and_empty_table(spark):
     rows = [(i, "meet Quuxly at q@x.org now", "") for i in range(30)] + [(100 + i, f"other words here {i}", "") for i in range(200)]
     assert all("term" not in r.spans for r in pii.digests(spark.createDataFrame(rows, SCHEMA)).collect())
     assert pii.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_terms_of_entities_in_one_or_two_lines(spark):
+    rows = [(1, "ask Vexmoor by v@x.org today", ""), (2, "call Trillby at t@x.org today", ""), (3, "Trillby is t@x.org at home", ""), (4, "so said Vexmoor", "")]
+    rows += [(100 + i, "ask so call today at home is by said " * 30, "") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "term:4:11" in got[1] and got[4] == "term:8:15" and "term:5:12" in got[2] and "term:0:7" in got[3]
+    assert all(got[100 + i] == "" for i in range(60))
