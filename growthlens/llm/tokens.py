@@ -128,3 +128,29 @@ def pieces(column: pa.Array, chunk: int = CHUNK_BYTES, space: np.ndarray = SPACE
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + chunk, side="right")) - 1)
         yield at, Words(data[bounds[at]: bounds[to]], bounds[at: to + 1] - bounds[at], space)
         at = to
+
+
+#: Bytes with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of the maximal runs of ``inside`` bytes; ``bounds`` are the documents' offsets."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[bounds] = True
+    padded = np.concatenate([[False], inside, [False]])
+    start = np.flatnonzero(inside & (~padded[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside & (~padded[2:] | edge[1:])) + 1
+    return start, end, np.searchsorted(bounds, start, side="right") - 1
+
+
+def dictionary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each run, the distinct runs as binary); runs lie in order and do not overlap."""
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[start] += 1
+    mark[end] -= 1
+    kept = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
