@@ -92,20 +92,20 @@ def q_merchant_metrics(spark, sf_dir):
     return _mc_metrics(_inputs(spark, sf_dir))
 
 
-@register("daily_product_metrics", with_ctes("""SELECT strftime(day, '%Y-%m-%d') AS metric_date, product_id, merchant_id, taoke_id,
-  len(list_distinct(flatten(list(seen)))) AS impressions, sum(clicked)::BIGINT AS clicks, sum(n)::BIGINT AS orders,
-  sum(back)::BIGINT AS refunds, sum(money)::DOUBLE AS gmv, sum(fee)::DOUBLE AS commission_paid,
-  coalesce(sum(n) / nullif(sum(clicked), 0), 0.0)::DOUBLE AS cvr, coalesce(sum(money)::DOUBLE / nullif(sum(clicked), 0), 0.0) AS epc
-FROM (SELECT ordered_at::DATE AS day, product_id, merchant_id, taoke_id, click.id AS click_id, count(*) AS n,
-        (click.id IS NOT NULL)::INTEGER AS clicked, count_if(status = 'refunded') AS back,
-        sum(CASE WHEN status = 'refunded' THEN 0 ELSE order_amount END) AS money,
-        sum(CASE WHEN status = 'refunded' THEN 0 ELSE commission_amount END) AS fee,
-        CASE WHEN any_value(content.id) IS NULL THEN [] ELSE [any_value(content.id)] END AS seen
-      FROM aff_orders
-      LEFT JOIN (SELECT id, content_id FROM aff_clicks) AS click ON click.id = click_id
-      LEFT JOIN (SELECT id FROM aff_contents) AS content ON content.id = click.content_id
-      GROUP BY day, product_id, merchant_id, taoke_id, click.id)
-GROUP BY day, product_id, merchant_id, taoke_id""", "aff_orders", "aff_clicks", "aff_contents"))
+@register("daily_product_metrics", with_ctes("""SELECT CAST(sold.day AS VARCHAR) AS metric_date, product_id, merchant_id, taoke_id,
+  coalesce(impressions, 0) AS impressions, coalesce(clicks, 0) AS clicks, orders, refunds, gmv, commission_paid,
+  CASE WHEN clicks > 0 THEN CAST(orders AS DOUBLE) / clicks ELSE 0.0 END AS cvr, CASE WHEN clicks > 0 THEN gmv / clicks ELSE 0.0 END AS epc
+FROM sold LEFT JOIN visited USING (day, product_id, merchant_id, taoke_id)""", "aff_orders", "aff_clicks", "aff_contents", extra=(
+    # orders and money, from the orders alone
+    ("sold", """SELECT CAST(ordered_at AS DATE) AS day, product_id, merchant_id, taoke_id, count(*) AS orders, count_if(status = 'refunded') AS refunds,
+  CAST(coalesce(sum(order_amount) FILTER (status <> 'refunded'), 0) AS DOUBLE) AS gmv,
+  CAST(coalesce(sum(commission_amount) FILTER (status <> 'refunded'), 0) AS DOUBLE) AS commission_paid
+FROM aff_orders GROUP BY ALL"""),
+    # clicks that led to the orders, and the contents they came from
+    ("visited", """SELECT CAST(ordered_at AS DATE) AS day, aff_orders.product_id, aff_orders.merchant_id, aff_orders.taoke_id,
+  count(DISTINCT aff_clicks.id) AS clicks, count(DISTINCT aff_contents.id) AS impressions
+FROM aff_orders JOIN aff_clicks ON aff_clicks.id = aff_orders.click_id LEFT JOIN aff_contents ON aff_contents.id = aff_clicks.content_id
+GROUP BY ALL"""))))
 def q_daily_product_metrics(spark, sf_dir):
     t = _inputs(spark, sf_dir)
     return A.daily_product_metrics(t["orders"], t["clicks"], t["contents"])

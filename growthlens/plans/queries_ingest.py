@@ -17,7 +17,7 @@ from growthlens.functions.columns import category_alias, epoch_millis, parse_pri
 from growthlens.operators import funnel as FN
 from growthlens.plans import bindings as bd
 from growthlens.plans.bindings import with_ctes
-from growthlens.plans.queries_behavior import _ANCHOR, _E, _SEG, _funnel_sql, _log_cte, _stage_cte
+from growthlens.plans.queries_behavior import _ANCHOR, _E, _SEG, ACTION_NAMES, _funnel_sql, _log_cte, _stage_cte
 from growthlens.plans.registry import ints_as_double, register
 from growthlens.session import scratch_path
 from growthlens.sources import behavior_logs as BL
@@ -262,11 +262,10 @@ def q_union_behavior_files(spark, sf_dir):
 #: text layouts of the raw log
 _LAYOUTS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H', '%Y-%m-%d']"
 _REBUILD = ("rebuilt", f"""SELECT TRY_CAST(user_id AS BIGINT) AS user_id, TRY_CAST(item_id AS BIGINT) AS item_id,
-  coalesce(['pv', 'fav', 'cart', 'buy'][nullif(greatest(0, least(5, TRY_CAST(behavior_type AS INTEGER))), 0)], lower(behavior_type))
-    AS behavior_type,
-  CASE WHEN length(user_geohash) > 0 THEN user_geohash END AS user_geohash, TRY_CAST(item_category AS INTEGER) AS item_category,
+  coalesce(action_names.name, lower(behavior_type)) AS behavior_type,
+  nullif(user_geohash, '') AS user_geohash, TRY_CAST(item_category AS INTEGER) AS item_category,
   try_strptime(time, {_LAYOUTS}) AS "timestamp"
-FROM behavior_raw""")
+FROM behavior_raw LEFT JOIN {ACTION_NAMES} ON TRY_CAST(behavior_type AS INTEGER) = action_names.code""")
 
 
 @register("rebuild_user_behavior", with_ctes("SELECT * FROM rebuilt", "behavior_raw", extra=(_REBUILD,)))
