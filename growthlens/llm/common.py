@@ -9,10 +9,15 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 #: A side with at most this many narrow rows is sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: ``bounded`` sends at most so many bytes of rows to every executor.
+BROADCAST_BYTES = 16 << 20
+#: Removes the shuffle files of a statement as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +63,37 @@ def written(df: DataFrame) -> DataFrame:
     Unlike a checkpoint it keeps nothing of the plan (constraints and
     partitionings multiply from round to round of a loop).
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _row_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value: eight for a number, the length of texts, the sum of nested ones."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_row_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _row_bytes(x, kind.elementType))
+        else:
+            inner = F.size(value) * 8
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if all its rows together take at most ``limit`` bytes."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    size = df.agg(F.sum(sum((_row_bytes(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(8)))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
