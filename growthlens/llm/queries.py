@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from growthlens.llm import bpe, chat, decontam, egojoin, importance, kneserney, langid, linededup, minhash, pii, spelling, topk, toxicity
 from growthlens.llm.common import table
 
 #: Folder of public tokenizer files; ``GROWTHLENS_TOKENIZERS`` names another one.
-TOKENIZERS = os.environ.get("GROWTHLENS_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("GROWTHLENS_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
