@@ -66,6 +66,7 @@ def _load_all() -> None:
         queries_behavior,
         queries_catalog,
         queries_ingest,
+        queries_more,
     )
 
 
