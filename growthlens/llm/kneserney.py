@@ -27,7 +27,9 @@ they need to a private temporary file.
 
 Defined cases: null and empty texts are one end token; null ids belong to the
 training part as the empty id does; repeated rows count and score row by row;
-if nothing is trained, each probability is that of an unknown word, 1.
+if nothing is trained, each probability is that of an unknown word, 1; an empty
+table gives no rows; texts of any length count and score whole; other columns are not read, whatever their names.
+A task that is lost while it writes leaves a hidden part file, which nothing reads.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ START, END = _U(0x5354415254), _U(0x454E44)
 BUCKET_BYTES, MIN_BUCKETS = 32 << 20, 256
 #: Bigrams that a task sorts at once.
 FLUSH = 1_500_000
+#: Stored arrays that a worker keeps mapped.
+OPEN_MAPS = 4096
 _WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("contexts", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 _FIGURES = np.dtype([("word", "<u8"), ("count", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 _MET = np.dtype([("word", "<u8"), ("contexts", "<u4")])
@@ -147,7 +151,8 @@ def _store(path: str, data: bytes) -> None:
     else:
         system, local = fs.FileSystem.from_uri(path)
     system.create_dir(os.path.dirname(local), recursive=True)
-    part = f"{local}.{uuid.uuid4().hex}"
+    # no pattern that names finished files matches the part
+    part = f"{os.path.dirname(local)}/.part-{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(data)
     system.move(part, local)
@@ -251,10 +256,15 @@ class Model:
     def _array(self, kind: str, bucket: int, dtype) -> np.ndarray:
         key = kind, bucket
         if key not in self._open:
+            # the map used longest ago is closed, as a process may hold a limited number
+            while len(self._open) >= OPEN_MAPS:
+                self._open.pop(next(iter(self._open)))
             try:
                 self._open[key] = _map(f"{self.folder}/{kind}-{bucket:08d}", dtype)
             except FileNotFoundError:
                 self._open[key] = np.zeros(0, dtype)  # a bucket without entries
+        else:
+            self._open[key] = self._open.pop(key)
         return self._open[key]
 
     def _by_bucket(self, bucket: np.ndarray):
@@ -320,7 +330,7 @@ def train(texts: DataFrame) -> Model:
     if not len(words.head(1)):
         pairs = np.zeros(6)
     else:
-        pairs = sums(spark.read.format("binaryFile").load(f"{folder}/seen-*[0-9]").select(F.col("content").alias("data")).toLocalIterator(), 6)
+        pairs = sums(spark.read.format("binaryFile").load(f"{folder}/seen-" + "[0-9]" * 8).select(F.col("content").alias("data")).toLocalIterator(), 6)
     e = discounts(*w[:4])
     contexts = int(w[4])
     back_off = float((e[1] * w[6] + e[2] * w[7] + e[3] * w[8]) / contexts) if contexts else 1.0

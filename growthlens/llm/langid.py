@@ -1,7 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word of a line gets a language label.  A word's features are its
-identity (lexicon), its first and last bytes (affixes) and its byte n-grams;
+Every word of a line gets a language label; runs of more than ``LONGEST`` bytes,
+as in scripts without spaces, are words of that length at most.  A word's features are its
+identity (lexicon), its first and last bytes (affixes) and all its byte n-grams;
 weights are learned together with the transitions between the labels of
 neighbouring words, so a switch of language within a text costs something but
 is possible.  Forward-backward gives each word's label probabilities; a
@@ -11,11 +12,14 @@ words with letters, and that mean is the score.
 A sequence is a line, in pieces of ``PIECE`` words if it is longer; whole texts
 are labelled.  The field is fitted on at most ``SAMPLE_PIECES`` pieces of
 the labelled documents outside the held-out fold (those with the smallest hash,
-of each language alike), on the driver; this bound is a parameter of ``learn``.
+of each language alike, drawn in one scan), on the driver; this bound is a parameter of ``learn``.
+Every language that a labelled document names is learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 null languages teach nothing; without any labelled line every text is ``und``;
-repeated ids are predicted row by row.
+repeated ids are predicted row by row; an empty table gives no rows; texts and
+lines of any length are labelled whole; of languages with equal means the first in order of
+their names is predicted.  ``identify`` reads doc_id, text and lang only, ``accepted`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.llm import common, tokens
@@ -37,6 +41,8 @@ FOLDS = 5
 SAMPLE_PIECES = 3000
 #: Longest sequence in words.
 PIECE = 64
+#: Longest word in bytes (whole characters); longer runs are cut.
+LONGEST = 36
 #: Feature weights live in so many hashed buckets.
 BUCKETS = 1 << 18
 ROUNDS = 40
@@ -54,6 +60,36 @@ class Field:
     starts: np.ndarray
 
 
+class Tokens(tokens.Words):
+    """The words of consecutive documents, runs of more than LONGEST bytes cut between characters."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        super().__init__(data, bounds)
+        parts = -(-(self.end - self.start) // LONGEST)
+        if (parts > 1).any():
+            of = np.repeat(np.arange(len(parts)), parts)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            cut = self.start[of] + part * LONGEST
+            for _ in range(3):
+                cut -= (data[cut] & 0xC0) == 0x80
+            last = part == parts[of] - 1
+            self.end = np.where(last, self.end[of], np.append(cut[1:], 0))
+            self.start = cut
+            self.first = np.searchsorted(self.start, bounds)
+            self.count = np.diff(self.first)
+            self.doc = np.repeat(np.arange(self.docs), self.count)
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """(index of the first row, words) of successive whole rows of about CHUNK_BYTES."""
+    data, bounds = tokens.buffers(column)
+    at, rows = 0, len(bounds) - 1
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + tokens.CHUNK_BYTES, side="right")) - 1)
+        yield at, Tokens(data[bounds[at]: bounds[to]], bounds[at: to + 1] - bounds[at])
+        at = to
+
+
 def word_features(words: tokens.Words, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, value) of the features of the words at ``index``."""
     start, length = words.start[index], words.end[index] - words.start[index]
@@ -70,7 +106,7 @@ def word_features(words: tokens.Words, index: np.ndarray) -> tuple[np.ndarray, n
         parts.append((fits, tokens.mix(first + _U((10 + k) << 32)), np.ones(len(fits))))
         parts.append((fits, tokens.mix(last + _U((20 + k) << 32)), np.ones(len(fits))))
     for k in (1, 2, 3):
-        n = np.minimum(np.maximum(length - k + 1, 0), 40)  # n-grams of a word's first bytes; its affixes and identity hold the rest
+        n = np.maximum(length - k + 1, 0)
         row = np.repeat(rows, n)
         at = np.repeat(start, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         gram = np.zeros(len(row), _U)
@@ -132,7 +168,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Field:
     k = len(labels)
     weights, moves, starts = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
     data, bounds = tokens.buffers(pa.array(texts, pa.string()))
-    words = tokens.Words(data, bounds)
+    words = Tokens(data, bounds)
     if not len(words.start):
         return Field(labels, weights.astype(np.float32), moves, starts)
     gold = np.array([labels.index(x) for x in langs])[words.doc]
@@ -167,19 +203,19 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Field:
 def learn(docs: DataFrame, sample: int = SAMPLE_PIECES) -> Field:
     """Fit on a bounded sample of pieces of the lines of ``docs(doc_id, text, lang)`` outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold_of("doc_id", FOLDS) != 0))
-    langs = [r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
+    langs = [r.lang for r in known.groupBy("lang").count().collect()]
     if not langs:
         return Field((), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
     lines = known.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select(
-        "lang", "doc_id", "at", F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("words")).where("size(words) > 0")
+        "lang", "doc_id", "at", F.regexp_extract_all("line", F.lit(rf"\S{{1,{LONGEST}}}"), F.lit(0)).alias("words")).where("size(words) > 0")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PIECE).cast("int")),
                       lambda k: F.array_join(F.slice("words", k * PIECE + 1, F.lit(PIECE)), " "))
-    pieces = lines.select("lang", "doc_id", "at", F.posexplode(cut).alias("part", "piece")).select(
+    pieces_ = lines.select("lang", "doc_id", "at", F.posexplode(cut).alias("part", "piece")).select(
         "lang", "piece", F.xxhash64("doc_id", "at", "part", "piece").alias("h"))
-    parts = [pieces.where(F.col("lang") == x).orderBy("h", "piece").limit(max(1, sample // len(langs))) for x in langs]
-    taken = parts[0]
-    for part in parts[1:]:
-        taken = taken.unionByName(part)
+    # each task and each of 64 parts of a language keeps so many pieces before the next shuffle
+    bound = max(1, sample // len(langs))
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "piece"))).where(F.col("nth") <= bound)
+    taken = first(first(pieces_.withColumn("part", F.pmod("h", F.lit(64))), "part"))
     rows = taken.select("lang", "piece").collect()
     rows.sort(key=lambda r: (r.lang, r.piece))
     return fit([r.piece for r in rows], [r.lang for r in rows])
@@ -201,7 +237,7 @@ def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for batch in batches:
             letters = np.array([bool(t) and _LETTER.search(t) is not None for t in batch.column(1).to_pylist()], bool)
             langs, scores, switches = [], [], []
-            for at, words in tokens.pieces(batch.column(1)):
+            for at, words in pieces(batch.column(1)):
                 if not len(words.start) or not field.labels:
                     langs += ["und"] * words.docs
                     scores += [0.0] * words.docs

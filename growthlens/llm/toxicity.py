@@ -14,7 +14,8 @@ Labels are read only of documents outside the held-out fold, and only here.
 
 Defined cases: null and empty texts have no tokens and score as texts without
 any toxic segment; null labels teach nothing; documents that repeat an id are
-scored row by row; without both label values the score is 0 everywhere.
+scored row by row; without both label values the score is 0 everywhere; an
+empty table gives no rows; texts of any length are scanned whole; other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import common, tokens
@@ -33,10 +34,11 @@ _U = np.uint64
 FOLDS = 5
 #: Pseudo-tokens in all, and the share of a stem's count per token that its tokens get as their prior.
 PRIOR, SPREAD = 2.0, 0.1
-#: A token or stem enters the model if its log-odds are this many standard errors from zero ...
-MIN_Z = 3.0
-#: ... and it makes up this share of all toxic tokens, so that at most 1 / MIN_SHARE enter.
-MIN_SHARE = 1 / 400_000
+#: A token or stem enters the model if its log-odds are this many standard errors from zero and it is in two toxic texts or more,
+#: whatever the size of the table.
+MIN_Z, MIN_TEXTS = 3.0, 2
+#: Bound of the labelled texts that are learned from, of each label (on average): those whose hash falls in the share.
+TRAIN_TEXTS = 400_000
 #: Expected number of chance segments below which a segment counts.
 SIGNIFICANT = 0.05
 #: Width of the bins in which training documents are counted for the logistic fit.
@@ -104,6 +106,13 @@ def _odds(n1: np.ndarray, n0: np.ndarray, a1: np.ndarray, a0: np.ndarray, total1
     return score, score / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
 
 
+def _z_column(n1: Column, n0: Column, a1: Column, a0: Column, total1: float, total0: float) -> Column:
+    """The z-score of ``_odds`` as a column."""
+    a1, a0 = (F.least(F.greatest(a, F.lit(0.05)), F.lit(0.5)) for a in (a1, a0))
+    score = F.log((n1 + a1) / (total1 + PRIOR)) - F.log((n0 + a0) / (total0 + PRIOR))
+    return score / F.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """(start, end, score) of every maximal scoring segment, by one left-to-right scan (Ruzzo and Tompa)."""
     stack: list[list] = []  # start, end, sum before it, sum through it
@@ -223,15 +232,21 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds:
     return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of the labelled documents outside the held-out fold; ``docs(doc_id, text)``, ``labels(doc_id, toxic)``."""
+def learn(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
+    """Model of the labelled documents outside the held-out fold; ``docs(doc_id, text)``, ``labels(doc_id, toxic)``.
+
+    About ``train_texts`` different texts of each label are learned from at most.
+    """
     spark = docs.sparkSession
     known = common.settle(
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_of("doc_id", FOLDS) != 0))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     # one document of each text: copies of one text are no further evidence
     marked = docs.select("doc_id", F.xxhash64("text").alias("h")).join(common.small(known), "doc_id")
-    known = common.settle(marked.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
+    known = common.settle(marked.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    share = {r["toxic"]: min(1.0, train_texts / r["count"]) for r in known.groupBy("toxic").count().collect()}
+    drawn = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, int(share.get(1, 1) * (1 << 30))).otherwise(int(share.get(0, 1) * (1 << 30)))
+    known = common.settle(known.where(drawn).select("doc_id", "toxic"))
     train = docs.join(common.small(known), "doc_id").select("text", "toxic")
     counts = common.settle(train.mapInArrow(_count, "token long, stem long, n1 long, n0 long")
                            .groupBy("token", "stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
@@ -239,17 +254,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     nothing = Model(np.zeros(0, _U), np.zeros(0), np.zeros(0, _U), np.zeros(0), -0.01)
     if not total1 or not total0:
         return nothing
-    # at most 1 / MIN_SHARE rows pass each of these filters
-    often = F.col("n1") >= max(2, total1 * MIN_SHARE)
+    # what passes these filters is bounded by the texts learned from
+    often = F.col("n1") >= MIN_TEXTS
     by_stem = common.settle(counts.where("stem <> 0").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("size")))
-    rows = by_stem.where(often).toPandas()
+    zero = F.lit(0.0)
+    rows = by_stem.where(often & (_z_column(F.col("n1"), F.col("n0"), zero, zero, total1, total0) > MIN_Z)).toPandas()
     n1, n0 = rows["n1"].to_numpy(float), rows["n0"].to_numpy(float)
     none = np.zeros(len(rows))
     s_score, z = _odds(n1, n0, none, none, total1, total0)
     keep = (z > MIN_Z) & (s_score > 0)
     stem, s_score = rows["stem"].to_numpy(np.int64).view(_U)[keep], s_score[keep]
-    words = counts.where(often).join(
-        by_stem.select("stem", F.col("n1").alias("s1"), F.col("n0").alias("s0"), "size"), "stem", "left").toPandas()
+    prior = lambda c: SPREAD * F.coalesce(c, F.lit(0)) / F.coalesce("size", F.lit(1))
+    words = (counts.where(often).join(by_stem.select("stem", F.col("n1").alias("s1"), F.col("n0").alias("s0"), "size"), "stem", "left")
+             .where(F.abs(_z_column(F.col("n1"), F.col("n0"), prior(F.col("s1")), prior(F.col("s0")), total1, total0)) > MIN_Z).toPandas())
     t1, t0 = words["n1"].to_numpy(float), words["n0"].to_numpy(float)
     size = words["size"].fillna(1).to_numpy(float)
     a1 = SPREAD * words["s1"].fillna(0).to_numpy(float) / size

@@ -81,3 +81,30 @@ def test_bucket_files_are_mapped_from_the_shared_folder(spark):
     model = kneserney.train(spark.createDataFrame([("a b a",), ("b a",)], "text string"))
     total = sum(len(model._array("pairs", b, "<u8")) for b in range(2 ** model.bits))
     assert total == 5 and isinstance(max((model._array("pairs", b, "<u8") for b in range(2 ** model.bits)), key=len), np.memmap)
+
+
+def test_part_files_of_lost_tasks_are_not_read(spark, tmp_path, monkeypatch):
+    common.prepare(spark)
+    texts = spark.createDataFrame([("a b a",), ("b a",)], "text string")
+    want = kneserney.train(texts)
+    load = kneserney.common.settle
+
+    def torn(df):
+        # as left behind by a writer that was lost: under the name of a part, beside the finished files
+        out = load(df)
+        for folder in __import__("glob").glob(f"{common.shared_dir(spark).replace('file:', '')}/kneserney-*"):
+            for name in (".part-1234abcd9", ".part-77"):
+                with open(f"{folder}/{name}", "wb") as file:
+                    file.write(b"\1" * 48)
+        return out
+    monkeypatch.setattr(kneserney.common, "settle", torn)
+    got = kneserney.train(texts)
+    assert (got.tokens, got.pair_discounts.tolist()) == (want.tokens, want.pair_discounts.tolist())
+
+
+def test_a_worker_keeps_few_arrays_mapped(spark, monkeypatch):
+    common.prepare(spark)
+    monkeypatch.setattr(kneserney, "OPEN_MAPS", 3)
+    model = kneserney.train(spark.createDataFrame([(" ".join(f"w{k}" for k in range(200)),)], "text string"))
+    words = kneserney.tokens.Words(*kneserney.tokens.buffers(__import__("pyarrow").array([" ".join(f"w{k}" for k in range(200))])))
+    assert (model.look_up_words(words.hash)["count"] == 1).all() and len(model._open) <= 3

@@ -71,3 +71,37 @@ def test_without_labels_or_documents(spark):
     row = toxicity.toxicity(docs, spark.createDataFrame([], LABELS)).first()
     assert row.score < .5 and row.predicted == 0
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1, 1, "")], LABELS)).count() == 0
+
+
+def test_a_rare_slur_counts_in_a_large_table(spark):
+    """Twenty toxic texts of one slur among many toxic texts of other words: no floor grows with the table."""
+    rng = random.Random(3)
+    plain = [f"word{k}x" for k in range(3000)]
+    rows, labels = [], []
+    for i in range(9000):
+        words, toxic = rng.choices(plain, k=60), int(i % 3 == 0)
+        if toxic:
+            words[rng.randrange(60)] = "qurzle" if i < 60 else rng.choice(["idiot", "moron", "scum"])
+        rows.append((i, " ".join(words), ""))
+        labels.append((i, None, toxic, ""))
+    rows += [(20_000 + k, " ".join(rng.choices(plain, k=50) + ["qurzle", "qurzle"]), "") for k in range(10)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(8)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame, spark.createDataFrame(labels, LABELS)).collect()}
+    assert all(got[20_000 + k] == 1 for k in range(10))
+
+
+def test_scores_equal_a_plain_reading_of_the_model(spark):
+    """The query's rows against segments found by definition and the formulas written out."""
+    rows, labels, _ = corpus()
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.learn(docs.select("doc_id", "text"), marks.select("doc_id", "toxic"))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    for i, text, _ in rows[:150]:
+        import pyarrow as pa
+        from growthlens.llm import tokens
+        (_, words), = tokens.pieces(pa.array([text]), space=tokens.PUNCTUATION)
+        scores = toxicity.token_scores(words, model).tolist()
+        surprise = [-np.log(-np.expm1(-model.scale * len(scores) * np.exp(-model.decay * s))) for *_, s in recursive(scores, 0, len(scores))]
+        strong = [x for x in surprise if x > -np.log(toxicity.SIGNIFICANT)]
+        x = np.arcsinh(sum(strong) if strong else max(surprise, default=0.0))
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-(model.bias + model.slope * x))), atol=1e-6) and got[i].n_passages == len(strong)
