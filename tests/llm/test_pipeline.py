@@ -58,9 +58,9 @@ def test_every_document_goes_where_it_should(spark, tmp_path):
     assert {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in whole.collect()} == {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in docs.collect()}
 
 
-def test_ten_queries_are_registered():
+def test_thirteen_queries_are_registered():
     import __spark_entry__
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(names) == set(QUERIES)
     assert "pipeline" in __spark_entry__.queries() and set(ORACLES) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5 and isinstance(langid.SAMPLE_PIECES, int) and np.isfinite(bpe.MIN_SHARE)
