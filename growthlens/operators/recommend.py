@@ -51,6 +51,20 @@ V_BRAND = "banned_brand"
 V_ASIN = "banned_asin"
 V_CATEGORY = "banned_category"
 V_STALE = "stale_reviews"
+V_PRICE_INVALID = "price_invalid"
+# message of each violation (fixed texts; value, then bound)
+VIOLATION_TEXTS = {
+    V_AVG_RATING: "Average rating %s below minimum %s",
+    V_RATING_COUNT: "Rating count %s below minimum %s",
+    V_REVIEW_COUNT: "Review count %s below minimum %s",
+    V_PRICE_MIN: "Price %s below minimum %s",
+    V_PRICE_MAX: "Price %s above maximum %s",
+    V_PRICE_INVALID: "Invalid price value: %s",
+    V_BRAND: "Brand '%s' is banned",
+    V_ASIN: "ASIN '%s' is banned",
+    V_CATEGORY: "Category '%s' is banned",
+    V_STALE: "Last review was %s days ago, exceeds %s days",
+}
 
 
 def _has(df: DataFrame, name: str) -> bool:
@@ -193,6 +207,39 @@ def guardrail_violations(candidates: DataFrame, cfg: GuardrailConfig = Guardrail
     return candidates.withColumn("violations", violations_column(candidates, cfg, _now_ms(as_of)))
 
 
+def guardrail_findings(candidates: DataFrame, cfg: GuardrailConfig = GuardrailConfig(), as_of=None,
+                       price_text: str | None = None) -> DataFrame:
+    """(parent_asin, seq, code, value, bound, message): one row per violation, in check order, with the offending
+    value and the bound it breaks.
+
+    ``price_text`` names a column with the price as it was written: text there that is no price is a violation too
+    (the parsed price is NULL then and breaks no bound).
+    """
+    now_ms = _now_ms(as_of)
+    category = first_text(F.col("category"), F.col("main_category")) if _has(candidates, "main_category") else F.col("category")
+    two = lambda c: F.format_string("%.2f", F.round(c, 2))
+    days = (now_ms - F.col("last_ts_ms")).cast("double") / F.lit(float(MS_PER_DAY))
+    shown = {
+        V_AVG_RATING: (two(F.col("average_rating").cast("double")), cfg.min_avg_rating),
+        V_RATING_COUNT: (F.col("rating_number").cast("string"), cfg.min_rating_count),
+        V_REVIEW_COUNT: (F.col("review_cnt").cast("string"), cfg.min_review_count),
+        V_PRICE_MIN: (two(F.col("price")), cfg.price_min), V_PRICE_MAX: (two(F.col("price")), cfg.price_max),
+        V_BRAND: (F.col("brand"), None), V_ASIN: (F.col("parent_asin"), None), V_CATEGORY: (category, None),
+        V_STALE: (F.format_string("%.0f", F.round(days)), cfg.max_days_since_last_review),
+    }
+
+    def row(code: str, value: Column, bound) -> Column:
+        text = F.format_string(VIOLATION_TEXTS[code], value, *([] if bound is None else [F.lit(str(bound))]))
+        return F.struct(F.lit(code).alias("code"), value.alias("value"), F.lit(None if bound is None else str(bound)).cast("string").alias("bound"), text.alias("message"))
+    found = violations_column(candidates, cfg, now_ms)
+    told = F.transform(found, lambda v: F.coalesce(*(F.when(v == code, row(code, *how)) for code, how in shown.items())))
+    if price_text is not None:
+        bad = F.col("price").isNull() & F.col(price_text).isNotNull()
+        told = F.concat(told, F.when(bad, F.array(row(V_PRICE_INVALID, F.col(price_text).cast("string"), None))).otherwise(F.slice(told, 1, 0)))
+    return candidates.select("parent_asin", F.posexplode(told).alias("at", "v")).select(
+        "parent_asin", (F.col("at") + 1).alias("seq"), "v.code", "v.value", "v.bound", "v.message")
+
+
 def guardrail_pass(candidates: DataFrame, cfg: GuardrailConfig = GuardrailConfig(),
                    as_of=None) -> DataFrame:
     checked = guardrail_violations(candidates, cfg, as_of)

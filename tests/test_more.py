@@ -168,3 +168,17 @@ def test_fall_against_the_week_before_is_told_even_if_orders_stop(spark):
     got = trends.alert_against_previous(rollup, "orders", dt.date(2024, 1, 21)).collect()
     assert [(r.entity_id, r.value, r.previous, r.change) for r in got] == [(1, 0.0, 7.0, -1.0)]
     assert trends.compared_windows(rollup.limit(0), "orders", dt.date(2024, 1, 21)).count() == 0
+
+
+# --- guardrail findings ---------------------------------------------------------------------------
+def test_findings_tell_value_and_bound(spark):
+    from growthlens.config import GuardrailConfig
+    rows = [("a", None, "n/a", 2.345, 3, 0, "Acme", "Toys", None), ("b", 120.5, "120.5", 4.0, 50, 9, "ok", "Books", 0), ("c", 5.0, "5", None, None, 9, None, None, None)]
+    items = spark.createDataFrame(rows, "parent_asin string, price double, price_raw string, average_rating double, rating_number long, review_cnt long, "
+                                        "brand string, category string, last_ts_ms long")
+    cfg = GuardrailConfig(min_avg_rating=3.5, min_rating_count=10, price_max=100.0, banned_brands=("acme",), max_days_since_last_review=30)
+    got = RC.guardrail_findings(items, cfg, as_of=dt.datetime(1970, 2, 10), price_text="price_raw").orderBy("parent_asin", "seq").collect()
+    assert [(r.parent_asin, r.code, r.message) for r in got] == [
+        ("a", RC.V_AVG_RATING, "Average rating 2.35 below minimum 3.5"), ("a", RC.V_RATING_COUNT, "Rating count 3 below minimum 10"),
+        ("a", RC.V_BRAND, "Brand 'Acme' is banned"), ("a", RC.V_PRICE_INVALID, "Invalid price value: n/a"),
+        ("b", RC.V_PRICE_MAX, "Price 120.50 above maximum 100.0"), ("b", RC.V_STALE, "Last review was 40 days ago, exceeds 30 days")]
