@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="growthlens-llm-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
