@@ -65,6 +65,7 @@ def _load_all() -> None:
         queries_affiliate,
         queries_behavior,
         queries_catalog,
+        queries_flow,
         queries_ingest,
         queries_more,
     )
