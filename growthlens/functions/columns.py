@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from growthlens.session import settle
+
 # ---------------------------------------------------------------------------
 # Fixed values of the analysed application
 # ---------------------------------------------------------------------------
@@ -314,20 +316,22 @@ def _cutoff(df: DataFrame, key: Column, n: int, buckets: int = 4096):
 def first_rows_by(df: DataFrame, order_col: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest ``order_col`` (integral; e.g. a line number).
 
-    One method at every size: find the cutoff value from the order column
-    alone, then every task filters its own rows.  Rows tied at the cutoff are
-    taken by a hash of the whole row; rows equal in that too are repeats of
+    One method at every size: the order column and a hash of each row are written
+    once, the cutoff is searched in those two columns, then every task filters its own rows; rows that are
+    parsed from text are thus parsed once for the search, and again only as far as the cutoff.
+    Rows tied at the cutoff are taken by the hash; rows equal in that too are repeats of
     each other.  Rows without an order value come last and are not taken.
     """
     n = int(n)
     key = F.col(order_col).cast("bigint")
     tie = F.shiftright(F.xxhash64(*df.columns), 12)
-    cut = _cutoff(df.select(key.alias("k")), F.col("k"), n)
+    narrow = settle(df.select(key.alias("k"), tie.alias("t")))
+    cut = _cutoff(narrow, F.col("k"), n)
     if cut is None:
         return df.where(key.isNotNull())
     value, wanted = cut
     below, at = df.where(key < F.lit(value)), df.where(key == F.lit(value))
-    cut = _cutoff(at.select(tie.alias("t")), F.col("t"), wanted)
+    cut = _cutoff(narrow.where(F.col("k") == F.lit(value)), F.col("t"), wanted)
     if cut is None:
         return df.where(key <= F.lit(value))
     t, wanted = cut

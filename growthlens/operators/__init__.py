@@ -9,4 +9,6 @@
 * ``affiliate`` affiliate / merchant KPIs, daily product view, alerts,
   effective commission rates, content products
 * ``rules``     rule-based diagnosis and opportunities over the KPIs
+* ``sessions``, ``chains`` sessions by pauses, longest ordered chains of steps
+* ``diff``      differences of two snapshots, with multiplicity
 """

@@ -63,7 +63,7 @@ def _money(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("decimal(20,2)")).cast("decimal(20,2)")
 
 
-def _order_aggs(key: str) -> list[Column]:
+def _order_aggs() -> list[Column]:
     status = F.col("status")
     keep = status.isin(*GMV_STATUSES)
     zero = F.lit(0).cast("decimal(10,2)")
@@ -86,33 +86,37 @@ def _rates(with_ctr: bool) -> list[Column]:
     ]
 
 
-def _entity_metrics(entity_type: str, dim: DataFrame, clicks: DataFrame, orders: DataFrame,
+def _by_entity(facts: DataFrame, kinds: list[str]):
+    """``facts`` grouped by (entity_type, entity_id): each row counts once for each kind of entity, in one pass."""
+    entities = [F.struct(F.lit(k).alias("entity_type"), F.col(f"{k}_id").alias("entity_id")) for k in kinds]
+    return facts.select("*", F.inline(F.array(*entities))).groupBy("entity_type", "entity_id")
+
+
+def _entity_metrics(dims: dict[str, DataFrame], clicks: DataFrame, orders: DataFrame,
                     contents: DataFrame | None, as_of, window_days: int) -> DataFrame:
-    key = f"{entity_type}_id"
+    """KPIs of the entities in ``dims`` (kind -> dimension); ``contents`` count as impressions of affiliates."""
     end = as_date_column(as_of)
     start = F.date_sub(end, int(window_days))
-    c = (clicks.where(_date_between(clicks, "clicked_at", start, end))
-         .groupBy(F.col(key).alias("entity_id")).agg(F.count("id").alias("clicks")))
-    o = (orders.where(_date_between(orders, "ordered_at", start, end))
-         .groupBy(F.col(key).alias("entity_id")).agg(*_order_aggs(key)))
-    base = dim.select(F.col("id").alias("entity_id"))
-    j = base.join(c, "entity_id", "left").join(o, "entity_id", "left")
+    kinds, on = list(dims), ["entity_type", "entity_id"]
+    c = _by_entity(clicks.where(_date_between(clicks, "clicked_at", start, end)), kinds).agg(F.count("id").alias("clicks"))
+    o = _by_entity(orders.where(_date_between(orders, "ordered_at", start, end)), kinds).agg(*_order_aggs())
+    j = None
+    for kind, dim in dims.items():
+        base = dim.select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id"))
+        j = base if j is None else j.unionByName(base)
+    j = j.join(c, on, "left").join(o, on, "left")
     if contents is not None:
-        imp = (contents.where(_date_between(contents, "created_at", start, end))
-               .groupBy(F.col(key).alias("entity_id")).agg(F.count("id").alias("impressions")))
-        j = j.join(imp, "entity_id", "left")
-        impressions = F.coalesce(F.col("impressions"), F.lit(0)).cast("bigint")
-    else:
-        impressions = F.lit(0).cast("bigint")
+        imp = _by_entity(contents.where(_date_between(contents, "created_at", start, end)), ["taoke"]).agg(F.count("id").alias("impressions"))
+        j = j.join(imp, on, "left")
+    impressions = F.lit(0) if contents is None else F.coalesce(F.col("impressions"), F.lit(0))
     filled = j.select(
-        "entity_id", impressions.alias("impressions"),
+        *on, impressions.cast("bigint").alias("impressions"),
         F.coalesce(F.col("clicks"), F.lit(0)).cast("bigint").alias("clicks"),
         F.coalesce(F.col("orders"), F.lit(0)).cast("bigint").alias("orders"),
         F.coalesce(F.col("refunds"), F.lit(0)).cast("bigint").alias("refunds"),
         _money(F.col("gmv")).alias("gmv"), _money(F.col("commission_paid")).alias("commission_paid"))
     return filled.select(
-        F.lit(entity_type).alias("entity_type"), "entity_id",
-        F.lit(f"{int(window_days)}d").alias("window"), start.alias("start_date"), end.alias("end_date"),
+        *on, F.lit(f"{int(window_days)}d").alias("window"), start.alias("start_date"), end.alias("end_date"),
         "impressions", "clicks", "orders", "refunds", "gmv", "commission_paid",
         *_rates(with_ctr=contents is not None))
 
@@ -125,7 +129,7 @@ def taoke_metrics(taokes: DataFrame, clicks: DataFrame, contents: DataFrame, ord
     """Per affiliate over [as_of - N days, as_of] (both ends inclusive)."""
     if int(window_days) not in TAOKE_WINDOWS:
         raise ValueError(f"window must be one of {TAOKE_WINDOWS}")
-    return _entity_metrics("taoke", taokes, clicks, orders, contents, as_of, window_days)
+    return _entity_metrics({"taoke": taokes}, clicks, orders, contents, as_of, window_days)
 
 
 def merchant_metrics(merchants: DataFrame, clicks: DataFrame, orders: DataFrame,
@@ -133,7 +137,15 @@ def merchant_metrics(merchants: DataFrame, clicks: DataFrame, orders: DataFrame,
     """Per merchant; impressions and CTR are not tracked (0)."""
     if int(window_days) not in MERCHANT_WINDOWS:
         raise ValueError(f"window must be one of {MERCHANT_WINDOWS}")
-    return _entity_metrics("merchant", merchants, clicks, orders, None, as_of, window_days)
+    return _entity_metrics({"merchant": merchants}, clicks, orders, None, as_of, window_days)
+
+
+def affiliate_metrics(taokes: DataFrame, merchants: DataFrame, clicks: DataFrame, contents: DataFrame, orders: DataFrame,
+                      as_of=None, window_days: int = 7) -> DataFrame:
+    """``taoke_metrics`` and ``merchant_metrics`` together: each fact table is read and shuffled once for both."""
+    if int(window_days) not in set(TAOKE_WINDOWS) & set(MERCHANT_WINDOWS):
+        raise ValueError(f"window must be one of {MERCHANT_WINDOWS}")
+    return _entity_metrics({"taoke": taokes, "merchant": merchants}, clicks, orders, contents, as_of, window_days)
 
 
 # ---------------------------------------------------------------------------

@@ -182,3 +182,19 @@ def test_findings_tell_value_and_bound(spark):
         ("a", RC.V_AVG_RATING, "Average rating 2.35 below minimum 3.5"), ("a", RC.V_RATING_COUNT, "Rating count 3 below minimum 10"),
         ("a", RC.V_BRAND, "Brand 'Acme' is banned"), ("a", RC.V_PRICE_INVALID, "Invalid price value: n/a"),
         ("b", RC.V_PRICE_MAX, "Price 120.50 above maximum 100.0"), ("b", RC.V_STALE, "Last review was 40 days ago, exceeds 30 days")]
+
+
+# --- KPIs of both entity kinds ------------------------------------------------------------------------
+def test_affiliate_metrics_are_both_in_one_pass(spark):
+    from growthlens.operators import affiliate as A
+    from growthlens.plans import queries_affiliate as QA
+    from tests.conftest import SMALL
+    t = QA._inputs(spark, SMALL)
+    both = A.affiliate_metrics(t["taokes"], t["merchants"], t["clicks"], t["contents"], t["orders"], as_of=t["as_of"])
+    apart = QA._tk_metrics(t).unionByName(QA._mc_metrics(t))
+    assert both.columns == apart.columns and both.dtypes == apart.dtypes
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    scans = lambda df: _plan(df).count("FileScan")
+    assert scans(both) < scans(apart)
+    with pytest.raises(ValueError):
+        A.affiliate_metrics(t["taokes"], t["merchants"], t["clicks"], t["contents"], t["orders"], as_of=t["as_of"], window_days=14)
