@@ -115,6 +115,23 @@ def test_many_requests_equal_one_at_a_time(spark, monkeypatch):
         assert sorted(got.get(k, [])) == [(i + 1, a, -s) for i, (s, a) in enumerate(best)], (k, q, category, low, high, n)
 
 
+def test_a_request_reads_a_few_rows_of_each_tree_level(spark, monkeypatch):
+    items = [(f"i{k:04}", "red ring" if k % 2 else "blue cap", k % 30 / 4 if k % 50 else None, 4.0, k % 70, "b", "c") for k in range(1500)]
+    items = spark.createDataFrame(items, "parent_asin string, title string, price double, average_rating double, rating_number long, brand string, main_category string")
+    reviews = spark.createDataFrame([], "parent_asin string, rating double, timestamp_ms long")
+    asked = [(k, "ring" if k % 2 else None, None, k % 7 * 0.3, 5.0 + k % 5 * 0.4, 2) for k in range(70)]
+    cut, seen = search._best, {}
+
+    def counted(rows, group, limit):
+        seen[tuple(group)] = rows.count()
+        return cut(rows, group, limit)
+    monkeypatch.setattr(search, "_best", counted)
+    schema = "request_id int, q string, category string, price_min double, price_max double, top_n int"
+    got = search.recommend_many(items, reviews, spark.createDataFrame(asked, schema), as_of=dt.datetime(2024, 1, 1))
+    # two rows each of at most two nodes on five levels and of the items without a price
+    assert got.count() == 140 and max(n for group, n in seen.items() if "request_id" in group or "_low" in group) <= 70 * 2 * 11
+
+
 def test_many_requests_cut_before_the_shuffle(spark):
     items = spark.createDataFrame([("a", "t", 1.0, 4.0, 3, "b", "c")], "parent_asin string, title string, price double, average_rating double, rating_number long, brand string, main_category string")
     reviews = spark.createDataFrame([], "parent_asin string, rating double, timestamp_ms long")
