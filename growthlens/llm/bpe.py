@@ -1,12 +1,12 @@
 """Byte-level BPE with a minimal acyclic transducer for the frequent words.
 
-Method: count the pre-tokens of one document in ``SAMPLE`` (by hash of its text)
+Method: count the pre-tokens of all documents
 in Spark; those that make up at least ``MIN_SHARE`` of them (so at most
 ``1 / MIN_SHARE`` exist, whatever the corpus) are merged once and compiled into a
 minimal acyclic automaton.  Shared suffixes are stored once; each arc knows how
 many words precede it, so a walk gives a word's number and with it the word's
 ids.  Workers memory-map the automaton; words that it lacks are merged exactly,
-so the sample decides speed only.  A worker keeps the ids of the runs between
+so the counts decide speed only.  A worker keeps the ids of the runs between
 white space that it met last, and splits only new ones into pre-tokens.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); a null
@@ -40,12 +40,12 @@ from growthlens.llm import common, tokens
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word joins the automaton if it is at least this share of all pre-tokens.
 MIN_SHARE = 1 / 50_000
-#: The automaton's words are counted in one document of so many.
-SAMPLE = 16
 #: Words kept decoded by a worker before it starts over; speed only.
 CACHE_WORDS = 300_000
 #: Words merged at once, and bytes of text whose new words are.
 MERGE_ROWS, BATCH_BYTES = 1 << 14, 4 << 20
+#: Characters of different pieces that a worker counts before it hands on the counts.
+COUNT_CHARACTERS = 16 << 20
 
 
 _BYTES = [bytes([b]) for b in range(256)]
@@ -289,6 +289,22 @@ def chunk_edges(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut).astype(np.int64)
 
 
+def text_blocks(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(bytes, the same as array, where each text begins, and the end) of about ``BATCH_BYTES`` of texts at a time."""
+    data, bounds = tokens.buffers(texts)
+    at, rows = 0, len(bounds) - 1
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BATCH_BYTES, side="right")) - 1)
+        part = data[bounds[at]: bounds[to]]
+        yield part.tobytes(), part, bounds[at: to + 1] - bounds[at]
+        at = to
+
+
+def coded_chunks(part: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
+    """The pieces between ``cuts`` by their number among the different ones."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(part)]).dictionary_encode()
+
+
 class Chunks(dict):
     """Piece of ``_CHUNK`` -> packed ids of its pre-tokens."""
 
@@ -354,17 +370,12 @@ class Encoder(dict):
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """``encode`` of each text; each different piece of many texts is looked up once."""
-        data, bounds = tokens.buffers(texts)
-        at, rows = 0, len(bounds) - 1
-        while at < rows:
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BATCH_BYTES, side="right")) - 1)
-            part, edges = data[bounds[at]: bounds[to]], bounds[at: to + 1] - bounds[at]
-            raw = part.tobytes()
+        for raw, part, edges in text_blocks(texts):
             if self.special and self.special.search(raw.decode()):
                 yield from (self.encode(raw[a:b].decode()) for a, b in zip(edges[:-1], edges[1:]))
             else:
                 cuts = chunk_edges(part, edges)
-                coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(part)]).dictionary_encode()
+                coded = coded_chunks(part, cuts)
                 packed = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
                 code = coded.indices.to_numpy(zero_copy_only=False)
                 flat = np.frombuffer(b"".join(packed), "<u4")
@@ -375,7 +386,6 @@ class Encoder(dict):
                 ids = flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])].tobytes()
                 of = (4 * ends[np.searchsorted(cuts, edges)]).tolist()
                 yield from (ids[a:b] for a, b in zip(of[:-1], of[1:]))
-            at = to
 
     def parts(self, text: str) -> list[str]:
         return self.special.split(text) if self.special and self.special.search(text) else [text]
@@ -402,18 +412,30 @@ class Encoder(dict):
 
 def _count_pieces(vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encoder, counts = Encoder(vocabulary.value), Counter()
+        encoder, chunks, held = Encoder(vocabulary.value), Counter(), 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["piece", "n"])
+            counts = Counter()
+            for chunk, n in chunks.items():
+                for piece in [chunk] if chunk.removeprefix(" ").isalpha() else encoder.pattern.findall(chunk):
+                    counts[piece] += n
+            # how many there are in all goes without a piece
+            return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([counts.total(), *counts.values()], pa.int64())], names=["piece", "n"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in encoder.parts(text or ""):
-                    if part not in vocabulary.value.special:
-                        counts.update(encoder.pattern.findall(part))
-            if len(counts) > CACHE_WORDS:
-                yield out()
-                counts.clear()
+            for raw, part, edges in text_blocks(batch.column(0)):
+                if encoder.special and encoder.special.search(raw.decode()):
+                    found = Counter(chain.from_iterable(_CHUNK.findall(p) for a, b in zip(edges[:-1], edges[1:]) for p in encoder.parts(raw[a:b].decode())
+                                                        if p not in vocabulary.value.special))
+                else:
+                    coded = coded_chunks(part, chunk_edges(part, edges))
+                    n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+                    found = dict(zip((c.decode() for c in coded.dictionary.to_pylist()), n.tolist()))
+                chunks.update(found)
+                held += sum(map(len, found))
+                if len(chunks) > CACHE_WORDS or held > COUNT_CHARACTERS:
+                    yield out()
+                    chunks.clear()
+                    held = 0
         yield out()
     return run
 
@@ -450,13 +472,13 @@ def _digest(vocabulary, block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def lexicon(docs: DataFrame, text_col: str, vocabulary) -> bytes:
-    """The compiled automaton of the frequent pre-tokens (at most 1 / MIN_SHARE) of a sample of the texts."""
-    counts = common.settle(
-        docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(text_col).mapInArrow(_count_pieces(vocabulary), "piece string, n long")
-        .groupBy("piece").agg(F.sum("n").alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") >= max(2, total * MIN_SHARE)).select("piece")
+    """The compiled automaton of the frequent pre-tokens (at most 1 / MIN_SHARE) of all texts."""
+    # what occurs once is not frequent; the row without a piece holds the number of all
+    counts = common.written(
+        docs.select(text_col).mapInArrow(_count_pieces(vocabulary), "piece string, n long")
+        .groupBy("piece").agg(F.sum("n").alias("n")).where("piece is null or n > 1"))
+    total = counts.where("piece is null").agg(F.max("n")).first()[0] or 0
+    frequent = counts.where(F.col("piece").isNotNull() & (F.col("n") >= max(2, total * MIN_SHARE))).select("piece")
     rows = frequent.mapInArrow(_merge_pieces(vocabulary), "piece string, ids array<int>").collect()
     return compile_automaton({r.piece.encode(): list(r.ids) for r in rows})
 

@@ -87,3 +87,13 @@ def test_many_words_merge_as_one_by_one():
     assert vocabulary.merge_all(words) == [bpe.pack(vocabulary.merge(w)) for w in words]
     encoder, texts_ = bpe.Encoder(vocabulary), [t or "" for t in texts()]
     assert list(encoder.encode_all(pa.array(texts_))) == [bpe.Encoder(vocabulary).encode(t) for t in texts_]
+
+
+def test_lexicon_counts_all_documents(spark):
+    """A word of a single document among many is in the automaton if it is frequent enough there."""
+    rows = [(i, f"text{i} of words") for i in range(40)] + [(100, "zebraword " * 300 + "once"), (101, None)]
+    for k in range(5):
+        vocabulary, block = bpe._prepared(spark.createDataFrame([(i, t and f"{k} {t}") for i, t in rows], "doc_id long, text string"), "text", PATH)
+        automaton = bpe.Automaton(block.value)
+        assert automaton.find(b" zebraword").tolist() == vocabulary.value.merge(b" zebraword") and automaton.find(b" of") is not None
+        assert automaton.find(b" once") is None and automaton.find(b"zebraword") is None
