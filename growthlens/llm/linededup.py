@@ -1,4 +1,4 @@
-"""Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
+"""Line dedup by deletion neighbourhoods and shared runs, in DataFrame operations only.
 
 A line is a word sequence (white space parts words).  A line is removed if an
 earlier line - by document id, then line number - lies within the edit bound;
@@ -16,20 +16,20 @@ the earliest stays.  Bounds, each by the shorter line:
    From here on a line is its class: two hashes and the place.
 2. Each line gives a few 64-bit keys.  Where the bound is one edit: its halves, as
    two such lines agree in the first or the last half of the shorter one.  Where it is
-   more: its segments, cut where the text itself says so, so that an edit moves no
-   cut but those beside it, and the runs at both ends.  Lines that share no key with another class are set aside.
-3. The others emit their deletion neighbourhood as hashed keys: for a bound of one edit the
-   line and every variant with one unit left out, for larger bounds the same of each
-   segment that is shared by nobody but lies beside one that is shared (a bound is at
-   most a tenth, so segments average less than one edit), while shared segments are
-   keys as they are.  A hot segment - a heading or template of many lines - thus
-   does not hide copies: what tells them apart has keys of its own.
-4. Equal keys are joined by minima per key, never as pairs: each line meets the earliest line of each of its keys.
+   more: of the hashes of all runs of ``GRAM`` units the least in each window of a few runs
+   that follow each other.  Edits within the bound leave a run as long as such a window
+   untouched, and both lines choose the same hash in it.  Lines that share no key with another class are set aside.
+3. Of the others, those with a bound of one edit emit their deletion neighbourhood as hashed keys: the
+   line and every variant with one unit left out.
+4. Equal keys are joined by minima per key: each line meets the earliest line of each of its keys.
 5. The words of every pair so found are compared, which confirms the edit distance.
 
-For a bound of one edit the result is exact.  For larger bounds a pair is missed if
-each key it shares also belongs to an earlier line, or all its segments are
-edited twice; the README has the measured recall.
+6. Lines with a larger bound that no such pair removes meet every earlier line with which they share one of the
+   rarest of all their runs: an edit touches at most ``GRAM`` runs, so ``GRAM`` times the bound
+   and one more hold the rarest run that both lines have.  A heading or template of many lines
+   is thus a key only for lines that hold little else.
+
+The result is exact: no key drops a partner.
 
 Defined cases: null text counts as empty and stays null; blank lines stay; an
 empty table gives no rows; rows with equal id and equal text count as one
@@ -39,7 +39,7 @@ their names (but ``n_lines`` and ``n_removed`` are replaced).  Texts and lines o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.llm import common
@@ -48,12 +48,8 @@ MIN_WORDS = 1
 EDIT_WORDS, CHAR_WORDS = 8, 10
 #: Share of a line's words that may differ in the registered query and the pipeline.
 EDIT_PERCENT = 10
-#: Letters and digits after which a segment may end: a rough third of what words end with, in several scripts.
-_CUTS = "dnray,1379\u00e0-\u00ef\u03b1-\u03b9\u0430-\u0439\u05d0-\u05d8\u0627-\u062f\u0905-\u0918\u3041-\u3056\u30a1-\u30b6\u4e00-\u5fff\uac00-\ub7ff"
-#: A segment of words has four to eight and ends where the letter says so, or has eight; of characters nine to eighteen.
-_SEGMENT = {"word": rf"(?:\S++ ){{3,7}}?\S++(?<=[{_CUTS}])|\S++(?: \S++){{0,7}}", "char": rf"(?s).{{9,17}}?(?<=[{_CUTS}])|.{{1,18}}"}
-#: Units of a segment that is a key, and of the runs at both ends.
-LEAST, RUN = {"word": 3, "char": 9}, {"word": 6, "char": 15}
+#: Units of a run that is hashed, at most; a run that edits within the bound leave untouched is no shorter.
+GRAM = {"word": 5, "char": 10}
 
 
 def _plain(line: Column) -> Column:
@@ -89,18 +85,32 @@ def _size(text: Column, kind: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1 if kind == "word" else F.char_length(text)
 
 
-def _segments(line: Column, kind: str) -> Column:
-    """array<string>: the line in segments."""
-    return F.regexp_extract_all(line, F.lit(_SEGMENT[kind]), F.lit(0))
+def _gram(kind: str, percent: int) -> int:
+    """Units of a hashed run."""
+    return min(GRAM[kind], _untouched(kind, percent, 2))
 
 
-def _segment_keys(line: Column, kind: str) -> Column:
-    """A key for each segment in order, null for short ones, then those of the runs at both ends."""
-    size = RUN[kind]
-    first, last = (F.substring_index(line, " ", size), F.substring_index(line, " ", -size)) if kind == "word" else (F.left(line, F.lit(size)), F.right(line, F.lit(size)))
-    return F.concat(
-        F.transform(_segments(line, kind), lambda s: F.when(_size(s, kind) >= LEAST[kind], F.xxhash64(F.lit(kind), s))),
-        F.array(F.xxhash64(F.lit(f"{kind} first"), first), F.xxhash64(F.lit(f"{kind} last"), last)))
+def _untouched(kind: str, percent: int, edits: int) -> int:
+    """Units of the longest run that a line whose bound is ``edits`` or more shares with any line within its bound, at least.
+
+    Of n units t edits leave n - t in t + 1 runs, with t at most a share of n; this grows with n.
+    """
+    whole = 100 if kind == "word" else 200
+    return -(-edits * (whole - percent) // (percent * (edits + 1)))
+
+
+def _grams(units: Column, kind: str, percent: int) -> Column:
+    """Hashes of all runs of units, in order."""
+    size = _gram(kind, percent)
+    return F.transform(F.sequence(F.lit(1), F.size(units) - size + 1), lambda i: F.xxhash64(F.lit(kind), F.slice(units, i, F.lit(size))))
+
+
+def _window_keys(units: Column, kind: str, percent: int) -> Column:
+    """The least hash in each window of runs; windows are wider where every line within the bound has a bound of four edits."""
+    wide = -(-4 * (100 if kind == "word" else 200) // percent)
+    at_least = lambda edits: F.lit(_untouched(kind, percent, edits) - _gram(kind, percent) + 1)
+    many = F.when(F.size(units) < wide + _bound(F.lit(wide), kind, percent), at_least(2)).otherwise(at_least(4))
+    return _let(_grams(units, kind, percent), lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - many + 1), lambda i: F.array_min(F.slice(g, i, many)))))
 
 
 def _variants(units: Column) -> Column:
@@ -146,14 +156,15 @@ def _keys(kind: str, percent: int) -> Column:
     """Keys of a line (``line`` of ``n`` words) in one kind of units; null where nothing may differ."""
     line, size = F.col("line"), F.col("n") if kind == "word" else F.char_length("line")
     takes_part = F.col("n") >= EDIT_WORDS - 1 if kind == "word" else (F.col("n") < CHAR_WORDS) & (_bound(size, kind, percent) > 0)
-    return F.when(takes_part, F.struct(
-        F.when(_bound(size - 1, kind, percent) <= 1, _let(F.split(line, " " if kind == "word" else ""), lambda u: _half_keys(u, kind))).alias("halves"),
-        F.when(_bound(size, kind, percent) > 1, _segment_keys(line, kind)).alias("segments")))
+    units = F.split(line, " " if kind == "word" else "")
+    halves = F.when(_bound(size - 1, kind, percent) <= 1, _let(units, lambda u: _half_keys(u, kind)))
+    windows = F.when(_bound(size, kind, percent) > 1, _let(units, lambda u: _window_keys(u, kind, percent))) if percent else F.lit(None).cast("array<bigint>")
+    return F.when(takes_part, F.struct(halves.alias("halves"), windows.alias("windows")))
 
 
-def _open(kind: str) -> Column:
+def _open(kind: str, place: str = "place") -> Column:
     """Whether a line may pair with every other one that takes part; the rest pair with such lines only."""
-    return F.lit(True) if kind == "word" else F.col("place.n") < EDIT_WORDS
+    return F.lit(True) if kind == "word" else F.col(f"{place}.n") < EDIT_WORDS
 
 
 def _shared_keys(classes: DataFrame, kind: str, part: str) -> DataFrame:
@@ -188,18 +199,24 @@ def _near_pairs(known: DataFrame, met: DataFrame, kind: str) -> DataFrame:
     return _meet(lacking, kind, ["key", "left_out"]).unionByName(across(whole, lacking)).unionByName(across(lacking, whole))
 
 
-def _far_pairs(known: DataFrame, met: DataFrame, kind: str) -> DataFrame:
-    """(place, lead) by shared segments, and by the deletion neighbourhoods of the segments beside them."""
-    hits = met.groupBy(*(F.col(f"place.{c}").alias(c) for c in ("h", "g"))).agg(F.first("place").alias("place"), F.collect_set("pos").alias("hits"))
-    beside = F.array_except(F.concat(F.transform("hits", lambda k: k - 1), F.transform("hits", lambda k: k + 1)), F.col("hits"))
-    segments = hits.join(known, ["h", "g"]).select("place", beside.alias("beside"), _segments(F.col("line"), kind).alias("all")).select(
-        "place", F.explode(F.transform("beside", lambda k: F.get("all", k))).alias("segment")).where(_size(F.col("segment"), kind) >= LEAST[kind])
-    # the segment without each of its units in turn, and whole
-    units = F.split("segment", " " if kind == "word" else "")
-    lacking = segments.withColumn("units", units).select("place", "units", F.explode(F.sequence(F.lit(1), F.size("units") + 1)).alias("at")).select(
-        "place", F.xxhash64(F.array_join(F.concat(F.slice("units", F.lit(1), F.col("at") - 1), F.slice("units", F.col("at") + 1, F.size("units"))), " ")).alias("key"))
-    rows = lacking.distinct()
-    return _meet(met, kind, ["key"]).unionByName(_meet(common.written(rows), kind, ["key"]))
+def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(place, lead) of each line not yet ``done(h, g)`` with every earlier line that may lie within a bound of several edits.
+
+    Each line is known by the rarest of its runs.  Lines within the bound share a run, and the first
+    one they share, by rarity, comes after at most the runs that the edits touch.
+    """
+    lines = met.groupBy(*(F.col(f"place.{c}").alias(c) for c in ("h", "g"))).agg(F.first("place").alias("place"))
+    units = F.split("line", " " if kind == "word" else "")
+    rows = common.written(lines.join(known, ["h", "g"]).select(
+        "place", F.explode(_let(units, lambda u: F.array_distinct(_grams(u, kind, percent)))).alias("key")))
+    counts = common.written(rows.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
+    rank = F.row_number().over(Window.partitionBy("place.h", "place.g").orderBy(F.coalesce("lines", F.lit(1)), "key"))
+    rarest = common.written(rows.join(common.bounded(counts), "key", "left").withColumn("rank", rank).where(
+        (F.col("rank") <= _gram(kind, percent) * _bound(F.col("place.size"), kind, percent) + 1) & F.col("lines").isNotNull()).select("place", "key"))
+    late = rarest.join(common.bounded(done), (F.col("place.h") == done["h"]) & (F.col("place.g") == done["g"]), "left_anti")
+    early = rarest.select("key", F.col("place").alias("lead"))
+    near = F.abs(F.col("place.size") - F.col("lead.size")) <= _bound(F.least("place.size", "lead.size"), kind, percent)
+    return late.join(early, "key").where((F.col("lead") < F.col("place")) & near & (_open(kind) | _open(kind, "lead"))).select("place", "lead")
 
 
 def _confirmed(known: DataFrame, pairs: DataFrame, kind: str, percent: int) -> DataFrame:
@@ -226,7 +243,7 @@ def _confirmed(known: DataFrame, pairs: DataFrame, kind: str, percent: int) -> D
 def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     """(doc, removed array<int>): numbers of the lines to remove from documents ``texts(doc, id, text)``."""
     if not 0 <= percent <= 10:
-        raise ValueError("percent is from 0 to 10: beyond that, segments average more than one edit")
+        raise ValueError("percent is from 0 to 10: beyond that, edits may leave no run of some length untouched")
     kinds = ["word", "char"] if percent else ["word"]
     # texts are split and hashed once; what follows reads these narrow rows
     lines = common.written(_lines(texts).select(
@@ -234,7 +251,7 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     classes = common.written(
         lines.select("h", "g", "n", "chars", F.struct("id", "doc", "line_no").alias("place"), *kinds)
         .groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "chars", *kinds))))
-    met = {(kind, part): _shared_keys(classes, kind, part) for kind in kinds for part in ("halves", "segments") if percent or part == "halves"}
+    met = {(kind, part): _shared_keys(classes, kind, part) for kind in kinds for part in ("halves", "windows") if percent or part == "halves"}
     # the words of all lines that share a key are fetched once
     places = [rows.select("place.doc", "place.line_no", "place.h", "place.g") for rows in met.values()]
     wanted = places[0]
@@ -249,10 +266,16 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     for kind in kinds:
         pairs = _near_pairs(known, met[kind, "halves"], kind)
         if percent:
-            pairs = pairs.unionByName(_far_pairs(known, met[kind, "segments"], kind))
+            pairs = pairs.unionByName(_meet(met[kind, "windows"], kind, ["key"]))
         late = _confirmed(known, pairs, kind, percent)
         confirmed = late if confirmed is None else confirmed.unionByName(late)
     confirmed = common.written(confirmed.distinct())
+    if percent:
+        # what the earliest line of a key does not remove may lie near a later one
+        done = confirmed
+        for kind in kinds:
+            confirmed = confirmed.unionByName(_confirmed(known, _far_pairs(known, met[kind, "windows"], done, kind, percent), kind, percent))
+        confirmed = common.written(confirmed.distinct())
     verdict = common.written(
         classes.join(common.bounded(confirmed.withColumn("late", F.lit(True))), ["h", "g"], "left").where("copies > 1 or late")
         .select("h", "g", "first", F.coalesce("late", F.lit(False)).alias("late")))

@@ -166,6 +166,26 @@ def test_recall_at_the_bound(spark):
     assert all(i >= 10_000 for i in ids) and len(ids) >= 0.97 * size
 
 
+def test_no_key_drops_a_later_partner(spark):
+    """Every run of a line may also be in earlier lines that are not near it, be it a line of words or of characters."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(30):
+        line = words(30 + i)
+        copy = list(line)
+        for k in rng.sample(range(len(copy)), len(copy) // 10):
+            copy[k] = "edited"
+        half = len(copy) // 2 + 6
+        text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(100))
+        near_text = "".join("\u3042" if k % 25 == 9 else c for k, c in enumerate(text))
+        rows += [(i, " ".join(copy[:half] + words(30)), ""), (100 + i, " ".join(words(30) + copy[-half:]), ""), (200 + i, " ".join(line), ""),
+                 (300 + i, " ".join(copy), ""), (400 + i, near_text[:60] + "\u3044" * 40, ""), (500 + i, "\u3046" * 40 + near_text[-60:], ""), (600 + i, text, ""), (700 + i, near_text, "")]
+        want |= {300 + i, 700 + i}
+    found = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), percent=10).where("n_removed = 1")
+    assert {r.doc_id for r in found.collect()} == want
+
+
 def test_lines_around_the_smallest_word_bound(spark):
     line = "alpha bravo charlie delta echo foxtrot golf hotel"
     rows = [(1, line, ""), (2, line.rsplit(" ", 1)[0], ""), (3, line.replace("delta echo", "deltaecho"), ""), (4, line + " india", ""),
