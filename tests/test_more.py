@@ -162,6 +162,12 @@ def test_sketches_of_nulls_and_empty_windows(spark):
 
 
 # --- window comparison ----------------------------------------------------------------------------
+def test_compared_windows_shuffle_facts_only(spark):
+    rollup = spark.createDataFrame([(1, dt.date(2024, 1, 1), 3)], "entity_id int, day date, orders long")
+    plan = _plan(trends.compared_windows(rollup, "orders", dt.date(2024, 3, 1)))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_compared_windows_match_plain_sums(spark):
     rng = random.Random(2)
     facts = [(e, dt.datetime.combine(D + dt.timedelta(rng.randrange(60)), dt.time(3))) for e in (1, 1, 1, 2, 3) for _ in range(25)] + [(None, dt.datetime(2024, 1, 1)), (1, None)]
