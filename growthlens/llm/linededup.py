@@ -16,7 +16,10 @@ the earliest stays.  Bounds, each by the shorter line:
    From here on a line is its class: two hashes and the place.
 2. Each line gives a few 64-bit keys.  Where the bound is one edit: its halves, as
    two such lines agree in the first or the last half of the shorter one.  Where it is
-   more: of the hashes of all runs of ``GRAM`` units the least in each window of a few runs
+   more, for words: the first of all its ``RUN``-word runs in a fixed order, long runs before short ones.  An edit
+   touches at most ``RUN`` of them, so ``RUN`` times the bound and k more hold k that both lines have;
+   a line with fewer shared keys is set aside, and of the others the k - 1 that most lines hold are no keys.
+   For characters: of the hashes of all runs of ``GRAM`` units the least in each window of a few runs
    that follow each other.  Edits within the bound leave a run as long as such a window
    untouched, and both lines choose the same hash in it.  Lines that share no key with another class are set aside.
 3. Of the others, those with a bound of one edit emit their deletion neighbourhood as hashed keys: the
@@ -24,10 +27,10 @@ the earliest stays.  Bounds, each by the shorter line:
 4. Equal keys are joined by minima per key: each line meets the earliest line of each of its keys.
 5. The words of every pair so found are compared, which confirms the edit distance.
 
-6. Lines with a larger bound that no such pair removes meet every earlier line with which they share one of the
-   rarest of all their runs: an edit touches at most ``GRAM`` runs, so ``GRAM`` times the bound
-   and one more hold the rarest run that both lines have.  A heading or template of many lines
-   is thus a key only for lines that hold little else.
+6. Lines with a larger bound that no such pair removes meet every earlier line of each of their keys that at most
+   ``GROUP`` lines hold.  All lines of the other keys meet by the rarest of all their runs: an edit touches at most
+   ``GRAM`` runs, so ``GRAM`` times the bound and one more hold the rarest run that both lines have.  A heading or
+   template of many lines is thus a key only for lines that hold little else.
 
 The result is exact: no key drops a partner.
 
@@ -50,6 +53,8 @@ EDIT_WORDS, CHAR_WORDS = 8, 10
 EDIT_PERCENT = 10
 #: Units of a run that is hashed, at most; a run that edits within the bound leave untouched is no shorter.
 GRAM = {"word": 5, "char": 10}
+#: Words of a run that is a key, and lines of a key that all meet each other.
+RUN, GROUP = 2, 32
 
 
 def _plain(line: Column) -> Column:
@@ -113,6 +118,22 @@ def _window_keys(units: Column, kind: str, percent: int) -> Column:
     return _let(_grams(units, kind, percent), lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - many + 1), lambda i: F.array_min(F.slice(g, i, many)))))
 
 
+def _further(bound: Column) -> Column:
+    """Keys of a line beyond the fewest that hold one which a line within ``bound`` edits has too."""
+    return bound
+
+
+def _run_keys(units: Column, percent: int) -> Column:
+    """The first runs of ``RUN`` words, repeats counted, by a hash whose upper bits put long runs before short ones."""
+    def key(w, i):
+        run = [w[i + k] for k in range(RUN)]
+        size = F.least(sum((F.octet_length(x) for x in run), F.lit(0)), F.lit((1 << 15) - 1))
+        return F.xxhash64(*run).bitwiseAND(F.lit((1 << 48) - 1)) - F.shiftleft(size.cast("long"), 48)
+    bound = _bound(F.size(units), "word", percent)
+    runs = F.transform(F.sequence(F.lit(0), F.size(units) - RUN), lambda i: key(units, i))
+    return F.slice(F.sort_array(runs), F.lit(1), RUN * bound + 1 + _further(bound))
+
+
 def _variants(units: Column) -> Column:
     """array<struct<left_out, key>>: all units (left_out 0) and every variant without unit i (from 1)."""
     here = lambda w, i: F.xxhash64(w, i)
@@ -137,10 +158,11 @@ def _bound(size: Column, kind: str, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(size * percent / 100)).cast("int")
 
 
-def _code(units: Column, seed: int) -> Column:
-    """A text with one character for each unit, by hash; edit distances of units are those of such texts."""
-    point = lambda u: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), u), F.lit(15 << 16)) + (1 << 16)), 8, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(units, point), "")), "UTF-32")
+def _codes(units: Column) -> Column:
+    """Two texts with one character for each unit, by hash; edit distances of units are those of such texts."""
+    point = lambda h, bits: F.concat(F.lit("000"), F.hex(F.pmod(F.shiftright(h, bits), F.lit(15 << 16)) + (1 << 16)))
+    text = lambda hashes, bits: F.decode(F.unhex(F.array_join(F.transform(hashes, lambda h: point(h, bits)), "")), "UTF-32")
+    return _let(F.transform(units, lambda u: F.xxhash64(u)), lambda hashes: F.struct(text(hashes, 0).alias("one"), text(hashes, 32).alias("two")))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -158,8 +180,9 @@ def _keys(kind: str, percent: int) -> Column:
     takes_part = F.col("n") >= EDIT_WORDS - 1 if kind == "word" else (F.col("n") < CHAR_WORDS) & (_bound(size, kind, percent) > 0)
     units = F.split(line, " " if kind == "word" else "")
     halves = F.when(_bound(size - 1, kind, percent) <= 1, _let(units, lambda u: _half_keys(u, kind)))
-    windows = F.when(_bound(size, kind, percent) > 1, _let(units, lambda u: _window_keys(u, kind, percent))) if percent else F.lit(None).cast("array<bigint>")
-    return F.when(takes_part, F.struct(halves.alias("halves"), windows.alias("windows")))
+    several = (lambda u: _run_keys(u, percent)) if kind == "word" else (lambda u: _window_keys(u, kind, percent))
+    runs = F.when(_bound(size, kind, percent) > 1, _let(units, several)) if percent else F.lit(None).cast("array<bigint>")
+    return F.when(takes_part, F.struct(halves.alias("halves"), runs.alias("runs")))
 
 
 def _open(kind: str, place: str = "place") -> Column:
@@ -167,13 +190,33 @@ def _open(kind: str, place: str = "place") -> Column:
     return F.lit(True) if kind == "word" else F.col(f"{place}.n") < EDIT_WORDS
 
 
-def _shared_keys(classes: DataFrame, kind: str, part: str) -> DataFrame:
-    """Written (place, pos, key) of the keys that several classes hold."""
-    rows = classes.where(F.col(f"{kind}.{part}").isNotNull()).select(
-        F.struct("first.*", "h", "g", "n", F.col("n" if kind == "word" else "chars").alias("size")).alias("place"),
-        F.posexplode(f"{kind}.{part}").alias("pos", "key")).where("key is not null")
-    shared = common.written(rows.groupBy("key").agg(F.min("place.h").alias("lo"), F.max("place.h").alias("hi")).where("lo <> hi").select("key"))
-    return common.written(rows.join(common.bounded(shared), "key", "left_semi"))
+def _held_by_several(rows: DataFrame) -> DataFrame:
+    """``rows(h, key, ...)`` of the keys that several lines hold; a hot key is two minima and one row."""
+    shared = common.written(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
+    return rows.join(common.bounded(shared), "key", "left_semi")
+
+
+def _least_held(rows: DataFrame, percent: int) -> DataFrame:
+    """Of each line's shared keys ``rows(h, g, n, pos, key)`` all but the ``_further`` ones that most lines hold.
+
+    A line that any partner of its own length or less may lie near shares more keys than those.
+    """
+    rows = common.written(rows)
+    counts = common.written(rows.groupBy("key").agg(F.count("*").alias("lines")))
+    # the least bound of a line within whose bound this one may lie
+    least = F.greatest(F.lit(2), F.floor(F.col("n") * percent / (100 + percent)).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("lines"), F.desc("key"), F.desc("pos")))
+    return rows.join(common.bounded(counts), "key").withColumn("rank", rank).where(F.col("rank") > _further(least)).select("h", "g", "key")
+
+
+def _shared_keys(lines: DataFrame, classes: DataFrame, kind: str, part: str, percent: int) -> DataFrame:
+    """Written (place, key) of the keys that several classes hold."""
+    rows = lines.where(F.col(f"{kind}.{part}").isNotNull()).select("h", "g", "n", F.posexplode(f"{kind}.{part}").alias("pos", "key"))
+    rows = _held_by_several(rows.where("key is not null"))
+    if (kind, part) == ("word", "runs"):
+        rows = _held_by_several(common.written(_least_held(rows.distinct(), percent).distinct()))
+    place = F.struct("first.*", "h", "g", "n", F.col("n" if kind == "word" else "chars").alias("size"))
+    return common.written(rows.select("h", "g", "key").distinct().join(classes.select("h", "g", place.alias("place")), ["h", "g"]).select("place", "key"))
 
 
 def _meet(rows: DataFrame, kind: str, keys: list[str]) -> DataFrame:
@@ -199,11 +242,11 @@ def _near_pairs(known: DataFrame, met: DataFrame, kind: str) -> DataFrame:
     return _meet(lacking, kind, ["key", "left_out"]).unionByName(across(whole, lacking)).unionByName(across(lacking, whole))
 
 
-def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, percent: int) -> DataFrame:
-    """(place, lead) of each line not yet ``done(h, g)`` with every earlier line that may lie within a bound of several edits.
+def _rarest_runs(known: DataFrame, met: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Written (place, key) of the rarest runs of each line of ``met`` that several such lines hold.
 
-    Each line is known by the rarest of its runs.  Lines within the bound share a run, and the first
-    one they share, by rarity, comes after at most the runs that the edits touch.
+    Lines within the bound share a run, and the first one they share, by rarity among these lines,
+    comes after at most the runs that the edits touch.
     """
     lines = met.groupBy(*(F.col(f"place.{c}").alias(c) for c in ("h", "g"))).agg(F.first("place").alias("place"))
     units = F.split("line", " " if kind == "word" else "")
@@ -211,12 +254,26 @@ def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, per
         "place", F.explode(_let(units, lambda u: F.array_distinct(_grams(u, kind, percent)))).alias("key")))
     counts = common.written(rows.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
     rank = F.row_number().over(Window.partitionBy("place.h", "place.g").orderBy(F.coalesce("lines", F.lit(1)), "key"))
-    rarest = common.written(rows.join(common.bounded(counts), "key", "left").withColumn("rank", rank).where(
+    return common.written(rows.join(common.bounded(counts), "key", "left").withColumn("rank", rank).where(
         (F.col("rank") <= _gram(kind, percent) * _bound(F.col("place.size"), kind, percent) + 1) & F.col("lines").isNotNull()).select("place", "key"))
-    late = rarest.join(common.bounded(done), (F.col("place.h") == done["h"]) & (F.col("place.g") == done["g"]), "left_anti")
-    early = rarest.select("key", F.col("place").alias("lead"))
+
+
+def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(place, lead) of each line not yet ``done(h, g)`` with every earlier line that may lie within a bound of several edits.
+
+    Such lines share a key of ``met``.  Where at most ``GROUP`` lines hold it, they meet by it; all lines of the other keys meet by their rarest runs.
+    """
+    hot = common.written(met.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > GROUP).select("key"))
+    few = met.join(common.bounded(hot), "key", "left_anti")
+    rest = _rarest_runs(known, met.join(common.bounded(hot), "key", "left_semi"), kind, percent)
+    done = common.bounded(done)
     near = F.abs(F.col("place.size") - F.col("lead.size")) <= _bound(F.least("place.size", "lead.size"), kind, percent)
-    return late.join(early, "key").where((F.col("lead") < F.col("place")) & near & (_open(kind) | _open(kind, "lead"))).select("place", "lead")
+
+    def before(rows: DataFrame) -> DataFrame:
+        late = rows.join(done, (F.col("place.h") == done["h"]) & (F.col("place.g") == done["g"]), "left_anti")
+        early = rows.select("key", F.col("place").alias("lead"))
+        return late.join(early, "key").where((F.col("lead") < F.col("place")) & near & (_open(kind) | _open(kind, "lead"))).select("place", "lead")
+    return before(few).unionByName(before(rest))
 
 
 def _confirmed(known: DataFrame, pairs: DataFrame, kind: str, percent: int) -> DataFrame:
@@ -228,7 +285,7 @@ def _confirmed(known: DataFrame, pairs: DataFrame, kind: str, percent: int) -> D
         .select(F.greatest("place", "lead").alias("late"), F.least("place", "lead").alias("early"), bound.alias("bound"))
         .where(F.abs(F.col("late.size") - F.col("early.size")) <= F.col("bound"))
         .select(*(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("late", "early") for c in ("h", "g")), "bound").distinct())
-    codes = (F.struct(_code(F.split("line", " "), 1).alias("one"), _code(F.split("line", " "), 2).alias("two")) if kind == "word"
+    codes = (_codes(F.split("line", " ")) if kind == "word"
              else F.struct(F.col("line").alias("one"), F.lit("").alias("two")))
     ends = pairs.select(F.col("late_h").alias("h"), F.col("late_g").alias("g")).unionByName(
         pairs.select(F.col("early_h").alias("h"), F.col("early_g").alias("g"))).distinct()
@@ -249,9 +306,9 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     lines = common.written(_lines(texts).select(
         "doc", "id", "line_no", "h", "g", "n", F.char_length("line").alias("chars"), *(_keys(k, percent).alias(k) for k in kinds)))
     classes = common.written(
-        lines.select("h", "g", "n", "chars", F.struct("id", "doc", "line_no").alias("place"), *kinds)
-        .groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "chars", *kinds))))
-    met = {(kind, part): _shared_keys(classes, kind, part) for kind in kinds for part in ("halves", "windows") if percent or part == "halves"}
+        lines.select("h", "g", "n", "chars", F.struct("id", "doc", "line_no").alias("place"))
+        .groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "chars"))))
+    met = {(kind, part): _shared_keys(lines, classes, kind, part, percent) for kind in kinds for part in ("halves", "runs") if percent or part == "halves"}
     # the words of all lines that share a key are fetched once
     places = [rows.select("place.doc", "place.line_no", "place.h", "place.g") for rows in met.values()]
     wanted = places[0]
@@ -266,7 +323,7 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     for kind in kinds:
         pairs = _near_pairs(known, met[kind, "halves"], kind)
         if percent:
-            pairs = pairs.unionByName(_meet(met[kind, "windows"], kind, ["key"]))
+            pairs = pairs.unionByName(_meet(met[kind, "runs"], kind, ["key"]))
         late = _confirmed(known, pairs, kind, percent)
         confirmed = late if confirmed is None else confirmed.unionByName(late)
     confirmed = common.written(confirmed.distinct())
@@ -274,7 +331,7 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
         # what the earliest line of a key does not remove may lie near a later one
         done = confirmed
         for kind in kinds:
-            confirmed = confirmed.unionByName(_confirmed(known, _far_pairs(known, met[kind, "windows"], done, kind, percent), kind, percent))
+            confirmed = confirmed.unionByName(_confirmed(known, _far_pairs(known, met[kind, "runs"], done, kind, percent), kind, percent))
         confirmed = common.written(confirmed.distinct())
     verdict = common.written(
         classes.join(common.bounded(confirmed.withColumn("late", F.lit(True))), ["h", "g"], "left").where("copies > 1 or late")

@@ -186,6 +186,35 @@ def test_no_key_drops_a_later_partner(spark):
     assert {r.doc_id for r in found.collect()} == want
 
 
+def test_few_rows_are_written_and_repeated_runs_count(spark, monkeypatch):
+    """What is written grows with the keys that lines share, not with all their runs; lines of two words repeated are compared too."""
+    monkeypatch.setitem(globals(), "near", lambda a, b, one=near: one(a, b) or near_by_share(a, b))
+    rng = random.Random(8)
+    rows = []
+    for i in range(15):
+        line = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy = list(line)
+        for k in rng.sample(range(60), 5):
+            copy[k] = "edited"
+        rows += [(i, " ".join(line), ""), (100 + i, " ".join(copy), "")]
+    for i in range(200, 220, 2):
+        line = rng.choices(["red", "blue"], k=24 + i % 7)
+        copy = list(line)
+        for _ in range(2 + i % 4):
+            copy[rng.randrange(len(copy))] = rng.choice(["red", "blue"])
+        rows += [(i, " ".join(line), ""), (i + 1, " ".join(copy), "")]
+    counts, written = [], common.written
+
+    def counted(df):
+        table = written(df)
+        counts.append(table.count())
+        return table
+    monkeypatch.setattr(common, "written", counted)
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), percent=10).collect()}
+    assert got == brute(rows) and all(got[100 + i][1] == 1 for i in range(15))
+    assert max(counts) <= sum(len(r[1].split()) for r in rows) / 2
+
+
 def test_lines_around_the_smallest_word_bound(spark):
     line = "alpha bravo charlie delta echo foxtrot golf hotel"
     rows = [(1, line, ""), (2, line.rsplit(" ", 1)[0], ""), (3, line.replace("delta echo", "deltaecho"), ""), (4, line + " india", ""),
