@@ -30,7 +30,8 @@ the earliest stays.  Bounds, each by the shorter line:
 6. Lines with a larger bound that no such pair removes meet every earlier line of each of their keys that at most
    ``GROUP`` lines hold.  All lines of the other keys meet by the rarest of all their runs: an edit touches at most
    ``GRAM`` runs, so ``GRAM`` times the bound and one more hold the rarest run that both lines have.  A heading or
-   template of many lines is thus a key only for lines that hold little else.
+   template of many lines is thus a key only for lines that hold little else.  Lines that so meet are a pair if the
+   parities of their units allow it: each unit turns one of 256 bits, so an edit turns at most two.
 
 The result is exact: no key drops a partner.
 
@@ -52,9 +53,11 @@ EDIT_WORDS, CHAR_WORDS = 8, 10
 #: Share of a line's words that may differ in the registered query and the pipeline.
 EDIT_PERCENT = 10
 #: Units of a run that is hashed, at most; a run that edits within the bound leave untouched is no shorter.
-GRAM = {"word": 5, "char": 10}
+GRAM = {"word": 3, "char": 10}
 #: Words of a run that is a key, and lines of a key that all meet each other.
 RUN, GROUP = 2, 32
+#: Numbers of 64 bits that hold the parities of a line's units.
+PARITIES = 4
 
 
 def _plain(line: Column) -> Column:
@@ -125,15 +128,22 @@ def _further(bound: Column) -> Column:
 
 def _run_keys(units: Column, percent: int) -> Column:
     """The first runs of ``RUN`` words, repeats counted, by a hash whose upper bits put long runs before short ones."""
-    def key(w, i):
-        run = [w[i + k] for k in range(RUN)]
-        size = F.least(sum((F.octet_length(x) for x in run), F.lit(0)), F.lit((1 << 15) - 1))
-        return F.xxhash64(*run).bitwiseAND(F.lit((1 << 48) - 1)) - F.shiftleft(size.cast("long"), 48)
-    bound = _bound(F.size(units), "word", percent)
-    runs = F.transform(F.sequence(F.lit(0), F.size(units) - RUN), lambda i: key(units, i))
+    def key(a, b):
+        size = F.least(F.octet_length(a) + F.octet_length(b), F.lit((1 << 15) - 1))
+        return F.xxhash64(a, b).bitwiseAND(F.lit((1 << 48) - 1)) - F.shiftleft(size.cast("long"), 48)
+    n = F.size(units)
+    bound = _bound(n, "word", percent)
+    runs = F.zip_with(F.slice(units, F.lit(1), n - 1), F.slice(units, F.lit(RUN), n - 1), key)
     return F.slice(F.sort_array(runs), F.lit(1), RUN * bound + 1 + _further(bound))
 
 
+def _parities(units: Column) -> Column:
+    """``PARITIES`` numbers of 64 bits; each unit turns one bit."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+    turned = lambda k: lambda s, h: F.when(F.pmod(h, F.lit(PARITIES)) == k, s.bitwiseXOR(bit(h))).otherwise(s)
+    return _let(F.transform(units, lambda u: F.xxhash64(u)), lambda hashes: F.array(*(F.aggregate(hashes, F.lit(0).cast("long"), turned(k)) for k in range(PARITIES))))
+
+
 def _variants(units: Column) -> Column:
     """array<struct<left_out, key>>: all units (left_out 0) and every variant without unit i (from 1)."""
     here = lambda w, i: F.xxhash64(w, i)
@@ -167,11 +177,13 @@ def _codes(units: Column) -> Column:
 
 def _lines(texts: DataFrame) -> DataFrame:
     """(doc, id, line_no, line, n, h, g) of every line that takes part; ``line`` has one blank between its ``n`` words."""
-    return (
-        texts.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("doc", "id", "line_no", _plain(F.col("line")).alias("line")).where("line <> ''")
-        .withColumns({"n": _size(F.col("line"), "word"), "h": F.xxhash64("line"), "g": F.hash("line")}).where(F.col("n") >= MIN_WORDS)
+    # blank lines go before their words are looked at, so that this is done once
+    lines = (
+        texts.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^ \t\r\x0B\f]"))
+        .select("doc", "id", "line_no", _plain(F.col("line")).alias("line"))
+        .withColumns({"n": _size(F.col("line"), "word"), "h": F.xxhash64("line"), "g": F.hash("line")})
     )
+    return lines if MIN_WORDS <= 1 else lines.where(F.col("n") >= MIN_WORDS)
 
 
 def _keys(kind: str, percent: int) -> Column:
@@ -191,32 +203,41 @@ def _open(kind: str, place: str = "place") -> Column:
 
 
 def _held_by_several(rows: DataFrame) -> DataFrame:
-    """``rows(h, key, ...)`` of the keys that several lines hold; a hot key is two minima and one row."""
-    shared = common.written(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    return rows.join(common.bounded(shared), "key", "left_semi")
+    """``rows(h, key, ...)`` without repeats, of the keys that several lines hold, and ``lines``, the rows of the key; one shuffle for all of it."""
+    of_key = Window.partitionBy("key")
+    shared = rows.withColumns({"lo": F.min("h").over(of_key), "hi": F.max("h").over(of_key)}).where("lo <> hi").drop("lo", "hi").distinct()
+    return shared.withColumn("lines", F.count("*").over(of_key))
 
 
 def _least_held(rows: DataFrame, percent: int) -> DataFrame:
-    """Of each line's shared keys ``rows(h, g, n, pos, key)`` all but the ``_further`` ones that most lines hold.
+    """Of each line's shared keys ``rows(h, g, n, pos, key, lines)`` all but the ``_further`` ones that most lines hold.
 
     A line that any partner of its own length or less may lie near shares more keys than those.
     """
-    rows = common.written(rows)
-    counts = common.written(rows.groupBy("key").agg(F.count("*").alias("lines")))
     # the least bound of a line within whose bound this one may lie
     least = F.greatest(F.lit(2), F.floor(F.col("n") * percent / (100 + percent)).cast("int"))
     rank = F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("lines"), F.desc("key"), F.desc("pos")))
-    return rows.join(common.bounded(counts), "key").withColumn("rank", rank).where(F.col("rank") > _further(least)).select("h", "g", "key")
-
-
-def _shared_keys(lines: DataFrame, classes: DataFrame, kind: str, part: str, percent: int) -> DataFrame:
-    """Written (place, key) of the keys that several classes hold."""
-    rows = lines.where(F.col(f"{kind}.{part}").isNotNull()).select("h", "g", "n", F.posexplode(f"{kind}.{part}").alias("pos", "key"))
-    rows = _held_by_several(rows.where("key is not null"))
-    if (kind, part) == ("word", "runs"):
-        rows = _held_by_several(common.written(_least_held(rows.distinct(), percent).distinct()))
-    place = F.struct("first.*", "h", "g", "n", F.col("n" if kind == "word" else "chars").alias("size"))
-    return common.written(rows.select("h", "g", "key").distinct().join(classes.select("h", "g", place.alias("place")), ["h", "g"]).select("place", "key"))
+    return rows.withColumn("rank", rank).where(F.col("rank") > _further(least))
+
+
+def _shared_keys(lines: DataFrame, classes: DataFrame, parts: list[tuple[str, str]], percent: int) -> dict[tuple[str, str], DataFrame]:
+    """(place, key) of the keys that several classes hold, by (kind, part); the keys of all kinds and parts go in one pass."""
+    rows = None
+    for k, (kind, part) in enumerate(parts):
+        more = (lines.where(F.col(f"{kind}.{part}").isNotNull())
+                .select(F.lit(k).alias("part"), "h", "g", "n", F.posexplode(f"{kind}.{part}").alias("pos", "key")).where("key is not null"))
+        rows = more if rows is None else rows.unionByName(more)
+    rows = common.written(_held_by_several(rows))
+    kept = rows.select("part", "h", "g", "key").distinct()
+    if ("word", "runs") in parts:
+        runs = F.col("part") == parts.index(("word", "runs"))
+        least = _held_by_several(_least_held(rows.where(runs), percent).select("part", "h", "g", "key")).drop("lines")
+        kept = kept.where(~runs).unionByName(least)
+    kept = common.written(kept)
+    word = F.col("part").isin([k for k, (kind, _) in enumerate(parts) if kind == "word"])
+    place = F.struct("first.*", "h", "g", "n", F.when(word, F.col("n")).otherwise(F.col("chars")).alias("size"))
+    met = common.written(kept.join(classes, ["h", "g"]).select("part", place.alias("place"), "key"))
+    return {of: met.where(F.col("part") == k).drop("part") for k, of in enumerate(parts)}
 
 
 def _meet(rows: DataFrame, kind: str, keys: list[str]) -> DataFrame:
@@ -248,14 +269,15 @@ def _rarest_runs(known: DataFrame, met: DataFrame, kind: str, percent: int) -> D
     Lines within the bound share a run, and the first one they share, by rarity among these lines,
     comes after at most the runs that the edits touch.
     """
-    lines = met.groupBy(*(F.col(f"place.{c}").alias(c) for c in ("h", "g"))).agg(F.first("place").alias("place"))
+    lines = common.written(met.groupBy(*(F.col(f"place.{c}").alias(c) for c in ("h", "g"))).agg(F.first("place").alias("place")))
     units = F.split("line", " " if kind == "word" else "")
-    rows = common.written(lines.join(known, ["h", "g"]).select(
-        "place", F.explode(_let(units, lambda u: F.array_distinct(_grams(u, kind, percent)))).alias("key")))
+    rows = common.written(lines.select("h", "g", "place.size").join(known, ["h", "g"]).select(
+        "h", "g", "size", F.explode(_let(units, lambda u: F.array_distinct(_grams(u, kind, percent)))).alias("key")))
     counts = common.written(rows.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
-    rank = F.row_number().over(Window.partitionBy("place.h", "place.g").orderBy(F.coalesce("lines", F.lit(1)), "key"))
-    return common.written(rows.join(common.bounded(counts), "key", "left").withColumn("rank", rank).where(
-        (F.col("rank") <= _gram(kind, percent) * _bound(F.col("place.size"), kind, percent) + 1) & F.col("lines").isNotNull()).select("place", "key"))
+    rank = F.row_number().over(Window.partitionBy("h", "g").orderBy(F.coalesce("lines", F.lit(1)), "key"))
+    rarest = rows.join(common.bounded(counts), "key", "left").withColumn("rank", rank).where(
+        (F.col("rank") <= _gram(kind, percent) * _bound(F.col("size"), kind, percent) + 1) & F.col("lines").isNotNull())
+    return common.written(rarest.select("h", "g", "key").join(lines, ["h", "g"]).select("place", "key"))
 
 
 def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, percent: int) -> DataFrame:
@@ -266,12 +288,18 @@ def _far_pairs(known: DataFrame, met: DataFrame, done: DataFrame, kind: str, per
     hot = common.written(met.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > GROUP).select("key"))
     few = met.join(common.bounded(hot), "key", "left_anti")
     rest = _rarest_runs(known, met.join(common.bounded(hot), "key", "left_semi"), kind, percent)
+    units = F.split("line", " " if kind == "word" else "")
+    ends = met.select("place.h", "place.g").distinct()
+    parities = common.bounded(common.written(known.join(ends, ["h", "g"], "left_semi").select("h", "g", _let(units, _parities).alias("parities"))))
     done = common.bounded(done)
-    near = F.abs(F.col("place.size") - F.col("lead.size")) <= _bound(F.least("place.size", "lead.size"), kind, percent)
+    bound = _bound(F.least("place.size", "lead.size"), kind, percent)
+    turned = sum((F.bit_count(F.col("parities")[k].bitwiseXOR(F.col("lead_parities")[k])) for k in range(PARITIES)), F.lit(0))
+    near = (F.abs(F.col("place.size") - F.col("lead.size")) <= bound) & (turned <= 2 * bound)
 
     def before(rows: DataFrame) -> DataFrame:
+        rows = rows.join(parities, (F.col("place.h") == parities["h"]) & (F.col("place.g") == parities["g"])).select("key", "place", "parities")
         late = rows.join(done, (F.col("place.h") == done["h"]) & (F.col("place.g") == done["g"]), "left_anti")
-        early = rows.select("key", F.col("place").alias("lead"))
+        early = rows.select("key", F.col("place").alias("lead"), F.col("parities").alias("lead_parities"))
         return late.join(early, "key").where((F.col("lead") < F.col("place")) & near & (_open(kind) | _open(kind, "lead"))).select("place", "lead")
     return before(few).unionByName(before(rest))
 
@@ -308,7 +336,7 @@ def removed_lines(texts: DataFrame, percent: int = 0) -> DataFrame:
     classes = common.written(
         lines.select("h", "g", "n", "chars", F.struct("id", "doc", "line_no").alias("place"))
         .groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "chars"))))
-    met = {(kind, part): _shared_keys(lines, classes, kind, part, percent) for kind in kinds for part in ("halves", "runs") if percent or part == "halves"}
+    met = _shared_keys(lines, classes, [(kind, part) for kind in kinds for part in ("halves", "runs") if percent or part == "halves"], percent)
     # the words of all lines that share a key are fetched once
     places = [rows.select("place.doc", "place.line_no", "place.h", "place.g") for rows in met.values()]
     wanted = places[0]

@@ -215,6 +215,27 @@ def test_few_rows_are_written_and_repeated_runs_count(spark, monkeypatch):
     assert max(counts) <= sum(len(r[1].split()) for r in rows) / 2
 
 
+def test_lines_of_one_template_meet_only_where_their_units_agree(spark, monkeypatch):
+    """Lines that share most of their words, each further from the others than the bound: what goes to the comparison does not grow with their pairs."""
+    rng = random.Random(13)
+    size = 300
+    template = [f"common{k}" for k in range(48)]
+    rows = [(i, " ".join(template[:24] + [f"own{i}x{k}" for k in range(12)] + template[24:]), "") for i in range(size)]
+    late = rows[size // 2][1].split(" ")
+    for k in rng.sample(range(60), 6):
+        late[k] = "edited"
+    rows.append((10_000, " ".join(late), ""))
+    pairs, confirmed = [], linededup._confirmed
+
+    def counted(known, rows, kind, percent):
+        pairs.append(rows.distinct().count())
+        return confirmed(known, rows, kind, percent)
+    monkeypatch.setattr(linededup, "_confirmed", counted)
+    found = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), percent=10).where("n_removed = 1")
+    assert [r.doc_id for r in found.collect()] == [10_000]
+    assert sum(pairs) <= 5 * size
+
+
 def test_lines_around_the_smallest_word_bound(spark):
     line = "alpha bravo charlie delta echo foxtrot golf hotel"
     rows = [(1, line, ""), (2, line.rsplit(" ", 1)[0], ""), (3, line.replace("delta echo", "deltaecho"), ""), (4, line + " india", ""),
