@@ -76,6 +76,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _row_bytes(value: Column, kind: T.DataType) -> Column:
     """About the bytes of a value: eight for a number, the length of texts, the sum of nested ones."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

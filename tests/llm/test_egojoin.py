@@ -1,9 +1,12 @@
 """Epsilon grid order join against all pairs."""
 
+import os
+import threading
+
 import numpy as np
 import pytest
 
-from growthlens.llm import egojoin
+from growthlens.llm import common, egojoin
 
 SCHEMA = "vec_id long, embedding array<float>, component string"
 
@@ -66,3 +69,42 @@ def test_far_boxes_are_skipped_without_losing_links():
     ids, ones = np.arange(900), np.ones(900, np.int64)
     links, _, edges = egojoin.join_intervals(x, x, True, ids, ids, ones, ones, np.eye(4), np.sqrt(.1), .95)
     assert (links == (x @ x.T >= .95).sum(axis=1) - 1).all() and len(edges) < 900 * 8
+
+
+def test_pairs_of_intervals_carry_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(egojoin, "INTERVAL", 32)
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(common.shared_dir(spark).replace("file:", "", 1))
+
+    def used():
+        found = 0
+        for folder in folders:
+            for top, _, names in os.walk(folder):
+                for name in names:
+                    try:
+                        found += os.path.getsize(f"{top}/{name}")
+                    except OSError:
+                        pass
+        return found
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[2990:] = x[:10] + np.float32(.01)
+    frame = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA).repartition(4)
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(.05):
+            most[0] = max(most[0], used() - before)
+    thread, key = threading.Thread(target=watch), "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(key)
+    spark.conf.set(key, "256k")
+    thread.start()
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in egojoin.similar_vectors(frame).collect()}
+    finally:
+        spark.conf.set(key, threshold)
+        over.set()
+        thread.join()
+    assert got == {i: (int(i < 10 or i >= 2990), i - 2990 if i >= 2990 else i) for i in range(3000)}
+    # 94 intervals: all their pairs with both sides' vectors would be 145 MB, the vectors are 0.8 MB
+    assert most[0] < 20e6
